@@ -6,28 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, exact_dedup
+from textloom.llm import decontaminate, exact_dedup, language, near_dedup, packing
 from textloom.llm.common import forget, materialise, table
+from textloom.llm.queries import tokenizer
 
 #: DuckDB SQL for the rows of run(): none, as language ID, MinHash and packing can't be said in SQL.
 ORACLE_SQL: str | None = None
+#: Mean belief in a text's language under which it counts as in no language.
+LEAST_BELIEF = 0.35
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ids, with the columns of docs."""
+    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a recognisable language (null, empty, without letters, of no belief) go."""
+    found = language.identify(docs)
+    return only(docs, found.filter((found["lang_pred"] != "und") & (found["score"] >= LEAST_BELIEF)).select("doc_id"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return only(docs, exact_dedup.exact_dedup(docs).filter("kept").select("doc_id"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the row with the smallest doc_id stays."""
+    return only(docs, near_dedup.near_dedup(docs).filter("kept").select("doc_id"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    clean = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("NOT contaminated").select("doc_id")
-    return docs.join(clean, "doc_id", "left_semi")
+    return only(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("NOT contaminated").select("doc_id"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents and their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_stage),
     ("exact_dedup", exact_stage),
+    ("minhash_near_dedup", near_stage),
     ("decontamination", decontaminate_stage),
+    ("packing", packing_stage),
 ]
 
 

@@ -137,6 +137,7 @@ class SpanHasher:
         return out
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self.grow(len(prefix))
         with np.errstate(over="ignore"):
             return mix((prefix[end] - prefix[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
