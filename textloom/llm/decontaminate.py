@@ -61,7 +61,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     never contaminated; such items match nothing; items of equal text count each.
     Rows that repeat an id are taken as one document each time only if their
     texts are equal; the ids should be unique. An empty benchmark gives clean
-    documents, no documents no rows. Columns not named are not read.
+    documents, no documents no rows. A null id is never hit. Columns not named are not read.
     """
     w = window - k + 1
     bench = items.select(F.col(item_col).cast("string").alias("item"), words_of(text_of(item_text_col)).alias("iw")).filter(F.size("iw") > 0)

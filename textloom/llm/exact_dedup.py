@@ -28,7 +28,7 @@ def flush(rows: DataFrame, keep: str) -> DataFrame:
     extreme = F.max if keep == "max" else F.min
     entries = (
         rows.groupBy("run", "digest")
-        .agg(extreme("id").alias("keep_id"), F.count("*").alias("n"), F.collect_list("id").alias("ids"))
+        .agg(extreme("id").alias("keep_id"), F.count("*").alias("n"), F.collect_list(F.struct("id")).alias("ids"))
         .sortWithinPartitions("digest", "run")
     )
     path = scratch(rows.sparkSession, "runs")
@@ -70,7 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     variants = texts.groupBy("digest", "text").agg(extreme("id").alias("keep_id"), F.count("*").alias("group_size"))
     bad = materialise(variants.groupBy("digest").agg(F.count("*").alias("c")).filter("c > 1").select("digest"), "collisions")
 
-    rows = level0.select("digest", "ids").join(index, "digest").select("digest", "keep_id", "group_size", F.explode("ids").alias("id"))
+    rows = level0.select("digest", "ids").join(index, "digest").select("digest", "keep_id", "group_size", F.explode("ids.id").alias("id"))
     if digest_bits == 256 and bad.isEmpty():
         rows = rows.withColumn("text_sha256", F.lower(F.hex("digest")))
     else:  # different texts with one digest: their rows are told apart by the texts themselves

@@ -130,11 +130,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts without words (null ones too) have no shingles and stay alone; a text
     of one to four words is one shingle. component_id is the smallest id that
     links lead to, kept marks it. Ids must be integers and unique; rows that
-    repeat an id and its text get the same answer. Empty input, no rows.
+    repeat an id and its text get the same answer; a null id links with nothing
+    and is not kept. Empty input, no rows.
     """
     floor = percent / 100
     signed = materialise(sign(docs, id_col, text_col), "signed")
-    reps = materialise(signed.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
+    reps = materialise(signed.filter("n > 0 AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
     banded = reps.select("id", F.explode("bands").alias("key"))
     heads = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("head")).filter("c > 1").select("key", "head")
     members = materialise(banded.join(heads, "key"), "members")
@@ -169,5 +170,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             links = links.unionByName(more)
             labels = materialise(components(links), "labels")
     classes = reps.select("cls", F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("label", "rep").alias("component_id"))
-    out = signed.select("id", "n", "cls").join(classes, "cls", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    out = signed.select("id", "n", "cls").join(classes, "cls", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
