@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from textloom.plans import text  # noqa: F401
+from textloom.plans import allocation, events, quality, relational, stats, text  # noqa: F401
 from textloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

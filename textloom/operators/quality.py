@@ -62,13 +62,13 @@ def insufficient_script(c: Column, least: float = 0.5, script: str = tx.SINHALA)
 CHECKS = ["not_category_only", "not_disambiguation", "sufficient_length", "no_residual_markup", "no_encoding_corruption", "sufficient_script"]
 
 
-def quality_flags(df: DataFrame, text: str = "text", title: str | None = None, min_words: int = 100, script: str = tx.SINHALA, prefix: str = CATEGORY_PREFIX, markers: tuple[str, ...] | list[str] = DISAMBIGUATION, threshold: float = 0.15) -> DataFrame:
+def quality_flags(df: DataFrame, text: str = "text", title: str | None = None, min_words: int = 100, script: str = tx.SINHALA, prefix: str = CATEGORY_PREFIX, markers: tuple[str, ...] | list[str] = DISAMBIGUATION, threshold: float = 0.15, least: float = 0.5) -> DataFrame:
     """df with the six checks and `passed`. Category pages are judged by the raw text, all else without tags. Null is empty."""
     raw = F.coalesce(F.col(text), F.lit(""))
     base = df.withColumn("_body", strip_categories(raw))
     body = F.col("_body")
     bad_title = corrupted(F.coalesce(F.col(title), F.lit("")), threshold) if title else F.lit(False)
-    flags = [~category_only(raw, prefix), ~disambiguation(body, markers), F.size(tx.words(body)) >= min_words, ~contains_any(body, RESIDUAL), ~(corrupted(body, threshold) | bad_title), ~insufficient_script(body, 0.5, script)]
+    flags = [~category_only(raw, prefix), ~disambiguation(body, markers), F.size(tx.words(body)) >= min_words, ~contains_any(body, RESIDUAL), ~(corrupted(body, threshold) | bad_title), ~insufficient_script(body, least, script)]
     out = base.select(*df.columns, "_body", *[f.alias(n) for f, n in zip(flags, CHECKS, strict=True)])
     return out.withColumn("passed", F.forall(F.array(*CHECKS), lambda x: x))
 
