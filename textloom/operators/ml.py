@@ -9,22 +9,29 @@ from pyspark.sql import functions as F
 from textloom.functions import text as tx
 
 
+def places(size: Column, n: int) -> Column:
+    """Starts of the n-long runs in `size` elements; none if there are fewer."""
+    return F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
+
+
 def word_ngrams(c: Column, sizes: tuple[int, ...] = (1, 2)) -> Column:
     """Space-joined n-grams of white-space words."""
     w = tx.words(c)
-    parts = [w if n == 1 else F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i, n=n: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.concat(*parts)
+
+    def of(n: int) -> Column:
+        return F.transform(places(F.size(w), n), lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    return F.concat(*[w if n == 1 else of(n) for n in sizes])
 
 
 def char_ngrams(c: Column, low: int = 2, high: int = 5) -> Column:
-    """Character n-grams inside words that are padded with a space on both sides; a word shorter than n gives itself once."""
+    """Character n-grams inside words that are padded with a space on both sides."""
 
-    def of(word: Column) -> Column:
+    def of(word: Column, n: int) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        sizes = [F.when(F.length(padded) > n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.substring(padded, i, F.lit(n)))).when(F.length(padded) == n, F.array(padded)).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-        return F.concat(*sizes)
+        return F.transform(places(F.length(padded), n), lambda i: F.substring(padded, i, F.lit(n)))
 
-    return F.flatten(F.transform(tx.words(c), of))
+    return F.flatten(F.transform(tx.words(c), lambda word: F.concat(*[of(word, n) for n in range(low, high + 1)])))
 
 
 def tfidf(df: DataFrame, id_col: str, text: str, ngrams: tuple[int, ...] = (1, 2), min_df: int = 2, chars: bool = False, max_features: int | None = None) -> DataFrame:
