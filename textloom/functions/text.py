@@ -6,6 +6,8 @@ and U+001C to U+001F; Spark's own `trim` and `\\s` know fewer.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ SENTENCE_END = r"[.!?\n]+"
 SINHALA_SUFFIXES = ["වලින්", "වලට", "වලදී", "වෙන්", "ගෙන්", "ලාගේ", "න්ගේ", "යින්", "ට්ම", "ෙන්", "ෙහි", "ගේ", "ට", "ෙක්", "යි", "ෙකි", "වේ", "යට", "ක්", "ම", "ය", "න්", "ව", "ි"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once: inside a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def utrim(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^[{WS}]+|[{WS}]+$", "")
 

@@ -16,22 +16,20 @@ def places(size: Column, n: int) -> Column:
 
 def word_ngrams(c: Column, sizes: tuple[int, ...] = (1, 2)) -> Column:
     """Space-joined n-grams of white-space words."""
-    w = tx.words(c)
 
-    def of(n: int) -> Column:
+    def of(w: Column, n: int) -> Column:
         return F.transform(places(F.size(w), n), lambda i: F.array_join(F.slice(w, i, n), " "))
 
-    return F.concat(*[w if n == 1 else of(n) for n in sizes])
+    return tx.let(tx.words(c), lambda w: F.concat(*[w if n == 1 else of(w, n) for n in sizes]))
 
 
 def char_ngrams(c: Column, low: int = 2, high: int = 5) -> Column:
     """Character n-grams inside words that are padded with a space on both sides."""
 
-    def of(word: Column, n: int) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
+    def of(padded: Column, n: int) -> Column:
         return F.transform(places(F.length(padded), n), lambda i: F.substring(padded, i, F.lit(n)))
 
-    return F.flatten(F.transform(tx.words(c), lambda word: F.concat(*[of(word, n) for n in range(low, high + 1)])))
+    return F.flatten(F.transform(tx.words(c), lambda word: tx.let(F.concat(F.lit(" "), word, F.lit(" ")), lambda p: F.concat(*[of(p, n) for n in range(low, high + 1)]))))
 
 
 def tfidf(df: DataFrame, id_col: str, text: str, ngrams: tuple[int, ...] = (1, 2), min_df: int = 2, chars: bool = False, max_features: int | None = None) -> DataFrame:
