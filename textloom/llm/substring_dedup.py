@@ -159,7 +159,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     singles = windows.filter("open").join(twice, "h").groupBy("id").agg(F.collect_list("start").alias("starts"))
     found = materialise(again.join(singles, "id", "full_outer"), "found")
     forget(windows)
-    whole = base.join(found.select("id"), "id", "left_anti")
     ids = bit_filter(found.select("id"), "id", 22).scalar()
     near = base.filter(F.coalesce(might_contain(ids, F.col("id"), 22), F.lit(False))).join(found.withColumn("hit", F.lit(True)), "id", "left")
     far = base.filter(~F.coalesce(might_contain(ids, F.col("id"), 22), F.lit(False)))
