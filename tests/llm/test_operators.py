@@ -122,6 +122,23 @@ def test_near_dedup_chain(spark):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == near_expected(rows)
 
 
+def test_near_dedup_large_bucket(spark, monkeypatch):
+    """Copies edited to different degrees: buckets beyond SMALL go through the blocks."""
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(11)
+    rows = []
+    for base in range(3):
+        words = rnd_text(rng, 150, 10**6).split()
+        for _ in range(40):
+            copy = list(words)
+            for _ in range(rng.randrange(12)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = by_id(near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == near_expected(rows)
+
+
 def test_odd_sketch_tells_similar_from_other():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
@@ -404,3 +421,26 @@ def test_code_switching_is_seen():
     first = [n.argmax() for n in belief[: len(" ".join(de[:8]).split())]]
     rest = [n.argmax() for n in belief[len(" ".join(de[:8]).split()) :]]
     assert np.mean(first) < 0.1 and np.mean(rest) > 0.9
+
+
+def test_null_ids_and_repeated_rows(spark):
+    """Null ids, null texts and repeated rows crash nothing, and no row is lost."""
+    long = " ".join(f"word{k}" for k in range(80))
+    rows = [(None, long), (None, None), (None, long), (7, long), (7, long), (8, None), (8, None), (9, "short text"), (1 << 40, long + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(None, long), (1, None), (2, long)], "item_id long, text string")
+    runs = {
+        "exact": exact_dedup.exact_dedup(df), "near": near_dedup.near_dedup(df), "shards": sharding.shard_rows(df, shards=3), "repeats": substring_dedup.remove_repeats(df),
+        "tokens": token_output.round_trip(df, queries.tokenizer()), "clean": decontaminate.decontaminate(df, bench), "packed": packing.pack_documents(df, queries.tokenizer()),
+        "language": language.identify(df.withColumn("lang", F.lit("en"))),
+    }
+    for name, out in runs.items():
+        got = out.collect()
+        assert len(got) == len(rows), name
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows), name
+    near = {(r["doc_id"], r["component_id"], r["kept"]) for r in runs["near"].collect()}
+    assert near == {(None, None, False), (7, 7, True), (8, 8, True), (9, 9, True), (1 << 40, 7, False)}
+    pages = spark.createDataFrame([(None, None, None), (1, "http://h/x", "<p>a"), (1, "http://h/x", "<p>a"), (None, "http://h/x", "<p>b")], "page_id long, url string, html string")
+    assert sorted((r["page_id"] or 0, r["text"]) for r in html_extract.extract_pages(pages).collect()) == [(0, ""), (0, "b"), (1, "a"), (1, "a")]
+    notices = spark.createDataFrame([(None, "Released under the MIT License."), (None, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(notices).collect()] == [(None, "MIT")]

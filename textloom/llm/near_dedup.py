@@ -8,10 +8,12 @@ well from lower ones before any text is read. Pairs that pass are confirmed on
 their full shingle sets.
 
 A bucket's pairs are never all made. Its members are paired with one member;
-links merge components; members still in other components are paired with a
-second one, and so on. What is then still undecided are members of different
-components in one bucket: those are joined under the sketch's condition, so
-that no candidate is lost and only likely links become rows.
+links merge components. What is then undecided are members of different
+components in one bucket. In buckets of up to SMALL members they are joined
+under the sketch's condition. In larger ones the members outside the bucket's
+commonest component meet all members in blocks: each block compares sketches,
+checks full sets where these allow a link, and gives at most one link for each
+two components that it joins. No candidate is lost either way.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ SAMPLES = ROWS * BANDS
 SKETCH_BITS = 512
 #: Pairs whose sketches suggest a similarity below this go unchecked: over four deviations under 0.75.
 SKETCH_FLOOR = 0.5
-STARS = 3
+SMALL, BLOCK = 64, 1024
 _rng = np.random.default_rng(4711)
 FLIP = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 TURN = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,9 +101,8 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def likely(x: str, y: str, floor: float) -> Column:
     """Sizes and sketches of x and y allow a link: fewer differing bits than at SKETCH_FLOOR, similar sizes."""
-    ones = SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - SKETCH_FLOOR) / SKETCH_BITS))
     differ = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return (differ <= ones) & (F.least(f"{x}.n", f"{y}.n") >= floor * F.greatest(f"{x}.n", f"{y}.n"))
+    return (differ <= most_ones()) & (F.least(f"{x}.n", f"{y}.n") >= floor * F.greatest(f"{x}.n", f"{y}.n"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -124,6 +125,57 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
 
 
+def most_ones() -> float:
+    """Differing bits of two sketches expected at SKETCH_FLOOR."""
+    return SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - SKETCH_FLOOR) / SKETCH_BITS))
+
+
+def link_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the outsiders and the members of each group (key, bo, bm); one for each two labels joined."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out, band = frame[frame["outside"]].reset_index(drop=True), int(frame["band"].iloc[0])
+        all_ = frame[~frame["outside"]].reset_index(drop=True)
+        found: list[tuple[int, int]] = []
+        if len(out) and len(all_):
+            sets: dict[int, np.ndarray] = {}
+
+            def of(part: pd.DataFrame, k: int) -> np.ndarray:
+                i = part["id"].iat[k]
+                if i not in sets:
+                    sets[i] = next(shingle_hashes([part["text"].iat[k]]))
+                return sets[i]
+
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while up.get(x, x) != x:
+                    x = up[x]
+                return x
+
+            sk = np.array(all_["sketch"].tolist(), np.int64).view(np.uint64)
+            bands = np.array(all_["bands"].tolist(), np.int64)
+            labels, sizes = all_["label"].to_numpy(), all_["n"].to_numpy()
+            for k in range(len(out)):
+                ones = np.bitwise_count(sk ^ np.array(out["sketch"].iat[k], np.int64).view(np.uint64)).sum(1)
+                n, label = out["n"].iat[k], out["label"].iat[k]
+                near = np.flatnonzero((ones <= most_ones()) & (labels != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                # a pair that shares several bands is checked in the first of them
+                near = near[(bands[near] == np.array(out["bands"].iat[k], np.int64)).argmax(1) == band]
+                for j in near[np.argsort(ones[near], kind="stable")].tolist():
+                    x, y = root(label), root(labels[j])
+                    if x == y:
+                        continue
+                    s, t = of(out, k), of(all_, j)
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        up[max(x, y)] = min(x, y)
+                        found.append((out["id"].iat[k], all_["id"].iat[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("key", "bo", "bm").applyInPandas(run, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -136,39 +188,48 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     floor = percent / 100
     signed = materialise(sign(docs, id_col, text_col), "signed")
     reps = materialise(signed.filter("n > 0 AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    heads = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("head")).filter("c > 1").select("key", "head")
+    banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    heads = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("head")).filter("c > 1")
     members = materialise(banded.join(heads, "key"), "members")
-    about = materialise(reps.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi"), "about")
+    about = materialise(reps.select("id", "n", "sketch", "bands").join(members.select("id").distinct(), "id", "left_semi"), "about")
     words = bit_filter(about.select("id"), "id", 22).scalar()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = materialise(texts.filter(might_contain(words, F.col("id"), 22)).join(about.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
 
-    def checked(pairs: DataFrame, sketched: bool = False) -> DataFrame:
-        if not sketched:
-            x, y = about.alias("x"), about.alias("y")
-            pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).filter(likely("x", "y", floor)).select("a", "b")
-        return materialise(confirm(pairs, texts, percent), "links")
+    def undecided(labels: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components."""
+        placed = members.join(labels, F.col("id") == F.col("node"), "left").select("key", "band", "c", "id", F.coalesce("label", "id").alias("label"))
+        several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+        return placed.join(several, "key")
 
-    links = checked(members.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+    x, y = about.alias("x"), about.alias("y")
+    star = members.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    star = star.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).filter(likely("x", "y", floor)).select("a", "b")
+    links = materialise(confirm(star, texts, percent), "links")
     labels = materialise(components(links), "labels")
-    for last in [False] * (STARS - 1) + [True]:
-        placed = members.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        spans = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("id", F.struct("label", "id")).alias("second")).filter("lo < hi")
-        open_rows = materialise(placed.join(spans, "key"), "open")
-        if open_rows.isEmpty():
-            break
-        if last:
-            full = open_rows.select("key", "id", "label").join(about, "id").select("key", "id", "label", "n", "sketch")
-            x, y = full.alias("x"), full.alias("y")
-            wanted = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y", floor)
-            more = checked(x.join(y, wanted).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), True)
-        else:
-            more = checked(open_rows.filter("label <> hi").select(F.col("id").alias("a"), F.col("second").alias("b")).distinct())
-        forget(open_rows)
+
+    large = materialise(undecided(labels).filter(F.col("c") > SMALL), "large")
+    if not large.isEmpty():
+        common = large.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("common"), F.sum("k").alias("all"), F.max("k").alias("most"))
+        both = large.join(common, "key").withColumn("nm", F.ceil(F.col("all") / BLOCK)).withColumn("no", F.ceil((F.col("all") - F.col("most")) / BLOCK))
+        spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+        every = both.withColumn("outside", F.lit(False)).withColumn("bm", spot("nm")).withColumn("bo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("no") - 1)))
+        outside = both.filter("label <> common").withColumn("outside", F.lit(True)).withColumn("bo", spot("no")).withColumn("bm", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1)))
+        cols = ["key", "bo", "bm", "band", "outside", "id", "label"]
+        rows = every.select(*cols).unionByName(outside.select(*cols)).join(about, "id").join(texts, "id")
+        more = materialise(link_blocks(rows, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = materialise(components(links), "labels")
+    forget(large)
+
+    full = undecided(labels).filter(F.col("c") <= SMALL).join(about, "id").select("key", "id", "label", "n", "sketch")
+    x, y = full.alias("x"), full.alias("y")
+    wanted = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y", floor)
+    pairs = x.join(y, wanted).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
+    more = materialise(confirm(pairs.join(star, ["a", "b"], "left_anti"), texts, percent), "links")
+    if not more.isEmpty():
+        labels = materialise(components(links.unionByName(more)), "labels")
     classes = reps.select("cls", F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("label", "rep").alias("component_id"))
     out = signed.select("id", "n", "cls").join(classes, "cls", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
