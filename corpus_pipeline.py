@@ -12,8 +12,6 @@ from textloom.llm.queries import tokenizer
 
 #: DuckDB SQL for the rows of run(): none, as language ID, MinHash and packing can't be said in SQL.
 ORACLE_SQL: str | None = None
-#: Mean belief in a text's language under which it counts as in no language.
-LEAST_BELIEF = 0.35
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -22,9 +20,8 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a recognisable language (null, empty, without letters, of no belief) go."""
-    found = language.identify(docs)
-    return only(docs, found.filter((found["lang_pred"] != "und") & (found["score"] >= LEAST_BELIEF)).select("doc_id"))
+    """Texts in no language (null, empty, without letters) go; mixed ones stay."""
+    return only(docs, language.identify(docs).filter("lang_pred <> 'und'").select("doc_id"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
