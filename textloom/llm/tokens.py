@@ -10,13 +10,16 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 
 #: Pieces that a worker remembers; beyond it, new ones are encoded again in each batch.
-MEMO = 600_000
+MEMO = 800_000
 #: Below U+0250 lower-casing a letter never depends on its neighbours, so it can be done before the split.
 BEYOND = re.compile("[^\x00-ɏ]")
+#: Words on which asking the BPE model directly must agree with the whole tokenizer, else it isn't done.
+PROBES = ["the", "a", "thtionst", "ing", "ciónosta", "über", "ßtz", "êelleque", "straße", "xqzjv"]
 _encoders: dict[int, Encoder] = {}
 
 
@@ -34,20 +37,35 @@ class Encoder:
         self.size = np.zeros(1 << 16, np.int64)
         self.n, self.used = 1, 0
 
+        self.bytes_to_text = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+        self.bytes_to_text |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self.bytes_to_text)}
+        self.plain = self.lowers and all([t.id for t in self.tokenizer.model.tokenize(self.spelled(w))] == self.whole(w) for w in PROBES)
+
+    def spelled(self, word: str) -> str:
+        """A word as byte-level BPE spells it: each UTF-8 byte one printable character (a fixed public table)."""
+        return word if word.isascii() else "".join(map(self.bytes_to_text.__getitem__, word.encode()))
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def letters(self, word: str) -> bool:
+        """Lower-case letters below U+0250 alone: one piece for the pre-tokenizer, so the BPE model can be asked directly."""
+        return self.plain and word.isalpha() and word.islower() and not BEYOND.search(word)
+
     def learn(self, pieces: list[str]) -> dict[str, int]:
         """Numbers of new pieces; the pool grows by their ids."""
-        got: list[list[int]] = []
-        asked, known = [], {}
-        for p in pieces:  # a known word with a comma or full stop behind it needs no call
-            base = self.memo.get(p[:-1]) if len(p) > 1 and p[-1] in ",." and p[-2].isalpha() and p[-2] < "ɐ" else None
-            end = self.memo.get(p[-1]) if base is not None else None
-            if base is None or end is None or not 0 < base < self.n:
-                asked.append(p)
+        known: dict[str, list[int]] = {}
+        asked = []
+        model = self.tokenizer.model
+        for p in pieces:
+            word, end = (p[:-1], p[-1]) if len(p) > 1 and p[-1] in ",." else (p, "")
+            if self.letters(word) and (not end or end in self.memo):
+                known[p] = [t.id for t in model.tokenize(self.spelled(word))]
+                if end:
+                    k = self.memo[end]
+                    known[p] += self.flat[self.at[k] : self.at[k] + self.size[k]].tolist()
             else:
-                known[p] = [*self.flat[self.at[base] : self.at[base] + self.size[base]], *self.flat[self.at[end] : self.at[end] + self.size[end]]]
+                asked.append(p)
         encoded = iter(self.tokenizer.encode_batch_fast(asked, add_special_tokens=False))
         got = [known[p] if p in known else next(encoded).ids for p in pieces]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
@@ -66,32 +84,36 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """uint32 ids of each text, in order."""
         kept = self.n, self.used
-        pieces: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        memo = self.memo
-        for text in texts:
+        if len(self.memo) == 1:
+            self.memo |= self.learn([",", "."])
+            kept = self.n, self.used
+        odd: dict[int, np.ndarray] = {}
+        words: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
             if any(s in text for s in self.specials):
-                pieces.append(None)
+                odd[k] = np.array(self.whole(text), np.uint32)
                 continue
             if self.lowers and (text.isascii() or not BEYOND.search(text)):
                 text = text.lower()
-            words = text.replace("\n", " ").split(" ")
-            pieces.append(words)
-            new.update((w, None) for w in words if w not in memo)
-        numbers = self.learn([*new]) if new else {}
-        if len(memo) + len(numbers) <= MEMO:
-            memo.update(numbers)
-            numbers, kept = {}, (self.n, self.used)
-        find = memo.__getitem__ if not numbers else lambda w: memo[w] if w in memo else numbers[w]
-        for words, text in zip(pieces, texts, strict=True):
-            if words is None:
-                yield np.array(self.whole(text), np.uint32)
-                continue
-            idx = np.fromiter(map(find, words), np.int64, len(words))
-            sizes = self.size[idx]
-            ends = np.cumsum(sizes)
-            yield self.flat[np.repeat(self.at[idx] - ends + sizes, sizes) + np.arange(ends[-1])]
+            pieces = text.replace("\n", " ").split(" ")
+            counts[k] = len(pieces)
+            words += pieces
+        idx = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(idx < 0)):
+            unknown = [words[i] for i in new.tolist()]
+            numbers = self.learn([*dict.fromkeys(unknown)])
+            idx[new] = np.fromiter(map(numbers.__getitem__, unknown), np.int64, len(new))
+            if len(self.memo) + len(numbers) <= MEMO:
+                self.memo.update(numbers)
+                kept = self.n, self.used
+        sizes = self.size[idx]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(self.at[idx] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         self.n, self.used = kept
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            yield odd[k] if k in odd else flat[a:b]
 
 
 def encoder(tokenizer_json: str) -> Encoder:
