@@ -16,12 +16,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bit_literal, materialise, might_contain, text_of
+from textloom.llm.common import bit_filter, bit_literal, materialise, might_contain, text_of
 
 #: Fixed by the contract: what lies between words, after A-Z are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_BITS = 18
+MAX_BITS, ID_BITS = 18, 22
 #: A benchmark of at most so many words in all is broadcast; beyond it joins shuffle.
 BROADCAST_WORDS = 4_000_000
 
@@ -102,6 +102,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         .join(near(fps), "h").select("id", "item", (F.col("pos") - F.col("ipos")).alias("diagonal"))
         .groupBy("id", "item").agg(F.collect_set("diagonal").alias("diagonals"))
     )
+    aligned = materialise(aligned, "aligned")
+    ids = bit_filter(aligned.select(F.xxhash64("id").alias("h")), "h", ID_BITS).scalar()
+    some = some.filter(might_contain(ids, F.xxhash64("id"), ID_BITS))  # words of documents without a shared fingerprint aren't shuffled
 
     def occurrences(words: Column, iw: Column, diagonals: Column) -> Column:
         """Places of document words in windows that equal the item's, along the diagonals."""
