@@ -370,6 +370,32 @@ def test_license_scan(spark):
     assert got == {1: {"MIT"}, 2: {"MIT"}, 6: {None}, 7: {"Apache-2.0"}, 8: {"LGPL-3.0"}}
 
 
+def test_license_scan_long_lines():
+    """A notice in the middle of a long line is found whatever rank compression gives its template."""
+    rng = random.Random(6)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    plain = "the of and to in software version rights work terms public general under use copy person any subject time free".split()
+    for name, wordings in license_scan.TEMPLATES.items():
+        for wording in wordings:
+            for n in (30, 300, 3000):
+                around = [rng.choice(plain) if rng.random() < 0.3 else f"w{rng.randrange(10**4)}" for _ in range(n)]
+                block = f"{' '.join(around[: n // 2])}. {wording}. {' '.join(around[n // 2 :])}"
+                assert name in str(scanner.judge(block)), (wording, n)
+
+
+def test_common_words_in_order():
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(12))] for _ in range(2))
+        best = [0] * (len(b) + 1)
+        for x in a:
+            last = best
+            best = [0]
+            for k, y in enumerate(b):
+                best.append(max(best[k], last[k + 1], last[k] + (x == y)))
+        assert license_scan.common(a, b) == best[-1]
+
+
 def test_license_scan_equals_plain_search(spark, sf_dir):
     """Every name template that stands in a line is found there."""
     docs = table(spark, sf_dir, "documents").collect()

@@ -3,9 +3,9 @@
 A candidate block is a run of lines without an empty line between them that
 holds a trigger word, and each such line by itself. It is compressed alone and
 with each template as zstandard raw dictionary; templates rank by how much
-smaller that makes it. The leading ones are then compared word by word: a
-licence is confirmed if the template's words stand in the block in order, save
-for a small share.
+smaller that makes it. Every template is then compared word by word, whatever
+its rank: a licence is confirmed if the template's words stand in the block in
+order, save for a small share.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ TEMPLATES = {
 TRIGGER = r"(?i)licen[cs]|copyright|permission|redistribut|rights reserved|creative commons|\bcc0\b|\bcc[ -]by\b|warrant|public domain"
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 #: Share of a longer notice's words that may be missing; names of up to NAME words must be whole.
-MISSING, NAME, LEADING = 0.1, 10, 4
+MISSING, NAME = 0.1, 10
 
 
 def words(text: str) -> list[str]:
@@ -57,28 +57,52 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
                 yield m.span()
 
 
+def common(ws: list[str], own: list[str]) -> int:
+    """Length of the longest common subsequence; a bit of `rows` is 0 where it grows."""
+    at: dict[str, int] = {}
+    for k, w in enumerate(ws):
+        at[w] = at.get(w, 0) | 1 << k
+    full = rows = (1 << len(ws)) - 1
+    for w in own:
+        if hit := at.get(w):
+            rows = (rows + (rows & hit) | rows & ~hit) & full
+    return len(ws) - rows.bit_count()
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]]) -> None:
         import zstandard
 
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.rows = [(name, t, words(t), zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, ts in templates.items() for t in ts]
+        self.diff = difflib.SequenceMatcher(None, autojunk=False)
         self.judge = lru_cache(maxsize=20_000)(self._judge)
 
+    def in_order(self, ws: list[str], allowed: float) -> int:
+        """Words of `ws` that stand in the block in order: longest runs first, and exactly if those leave too many out."""
+        self.diff.set_seq1(ws)
+        same = sum(m.size for m in self.diff.get_matching_blocks())
+        return same if len(ws) - same <= allowed else common(ws, self.diff.b)
+
     def _judge(self, block: str) -> tuple[str | None, float, int, int]:
         """(confirmed licence, size reduction, template words missing, block words besides them)."""
         plain = " ".join(block.lower().split()).encode("utf-8", "replace")
         size = len(self.alone.compress(plain))
         order = sorted(((1 - len(c.compress(plain)) / size, name, t, ws) for name, t, ws, c in self.rows), key=lambda x: (-x[0], x[1], x[2]))
         own = words(block)
+        has = set(own)
+        self.diff.set_seq2(own)
         best: tuple[str | None, float, int, int] = (None, order[0][0], len(order[0][3]), len(own))
         found = []
-        for gain, name, _, ws in order[:LEADING]:
-            same = sum(m.size for m in difflib.SequenceMatcher(None, ws, own, autojunk=False).get_matching_blocks()) if len(ws) > NAME else len(ws) * any(own[i : i + len(ws)] == ws for i in range(len(own) - len(ws) + 1))
-            if len(ws) - same <= (MISSING * len(ws) if len(ws) > NAME else 0):
-                found.append((-len(ws), -gain, name, len(ws) - same, len(own) - same))
+        for gain, name, _, ws in order:
+            allowed = MISSING * len(ws) if len(ws) > NAME else 0
+            if sum(w not in has for w in ws) > allowed:
+                continue
+            same = self.in_order(ws, allowed) if len(ws) > NAME else len(ws) * any(own[i : i + len(ws)] == ws for i in range(len(own) - len(ws) + 1))
+            if len(ws) - same <= allowed:
+                found.append((-len(ws), len(ws) - same, -gain, name, len(own) - same))
         if found:
-            _, gain, name, missing, extra = min(found)
+            _, missing, gain, name, extra = min(found)
             best = (name, -gain, missing, extra)
         return best
 
