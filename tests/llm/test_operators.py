@@ -383,6 +383,26 @@ def test_license_scan_long_lines():
                 assert name in str(scanner.judge(block)), (wording, n)
 
 
+def test_license_scan_several_in_a_line(spark):
+    """Each licence of a block has its row; wordings over the same words give one."""
+    t = license_scan.TEMPLATES
+    gpl2, gpl3 = t["GPL-2.0"][1], t["GPL-3.0"][1]
+    texts = [
+        ("Licensed under the Apache License, Version 2.0 or the MIT License.", {"Apache-2.0", "MIT"}),
+        (f"{t['MIT'][1]}. All rights reserved.", {"MIT", "ALL-RIGHTS"}),
+        (" ".join(w for ws in t.values() for w in ws), set(t)),
+        (f"{gpl2}. We have 3 of the license texts.", {"GPL-2.0"}),
+        (f"{gpl3}. And {gpl2}.", {"GPL-2.0", "GPL-3.0"}),
+        ("the MIT License, again the MIT License", {"MIT"}),
+        ("My driving license is old.", {None}),
+    ]
+    df = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(texts)], "doc_id long, text string")
+    got = [(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(k, name) for k, (_, names) in enumerate(texts) for name in names}
+    inner = license_scan.scan_licenses(df.filter("doc_id = 0"), templates={"A": ["Apache License, Version 2.0 or the MIT License"], "M": ["the MIT License"]}).collect()
+    assert [r["license"] for r in inner] == ["A"]
+
+
 def test_common_words_in_order():
     rng = random.Random(8)
     for _ in range(200):

@@ -78,40 +78,54 @@ class Scanner:
         self.diff = difflib.SequenceMatcher(None, autojunk=False)
         self.judge = lru_cache(maxsize=20_000)(self._judge)
 
-    def in_order(self, ws: list[str], allowed: float) -> int:
-        """Words of `ws` that stand in the block in order: longest runs first, and exactly if those leave too many out."""
+    def in_order(self, ws: list[str], allowed: float) -> tuple[int, set[int]]:
+        """(words of `ws` that stand in the block in order, places of the longest runs); counted exactly if the runs leave too many out."""
         self.diff.set_seq1(ws)
-        same = sum(m.size for m in self.diff.get_matching_blocks())
-        return same if len(ws) - same <= allowed else common(ws, self.diff.b)
+        runs = self.diff.get_matching_blocks()
+        at = {k for m in runs for k in range(m.b, m.b + m.size)}
+        return (len(at) if len(ws) - len(at) <= allowed else common(ws, self.diff.b)), at
 
-    def _judge(self, block: str) -> tuple[str | None, float, int, int]:
-        """(confirmed licence, size reduction, template words missing, block words besides them)."""
+    def _judge(self, block: str) -> list[tuple[str | None, float, int, int]]:
+        """(licence, size reduction, template words missing, block words besides them) of each confirmed licence; without any, of the leading template."""
         plain = " ".join(block.lower().split()).encode("utf-8", "replace")
         size = len(self.alone.compress(plain))
         order = sorted(((1 - len(c.compress(plain)) / size, name, t, ws) for name, t, ws, c in self.rows), key=lambda x: (-x[0], x[1], x[2]))
         own = words(block)
         has = set(own)
         self.diff.set_seq2(own)
-        best: tuple[str | None, float, int, int] = (None, order[0][0], len(order[0][3]), len(own))
-        found = []
+        notices, names = [], []
         for gain, name, _, ws in order:
-            allowed = MISSING * len(ws) if len(ws) > NAME else 0
+            n = len(ws)
+            allowed = MISSING * n if n > NAME else 0
             if sum(w not in has for w in ws) > allowed:
                 continue
-            same = self.in_order(ws, allowed) if len(ws) > NAME else len(ws) * any(own[i : i + len(ws)] == ws for i in range(len(own) - len(ws) + 1))
-            if len(ws) - same <= allowed:
-                found.append((-len(ws), len(ws) - same, -gain, name, len(own) - same))
-        if found:
-            _, missing, gain, name, extra = min(found)
-            best = (name, -gain, missing, extra)
-        return best
+            if n <= NAME:
+                names += [(-n, -gain, name, i) for i in range(len(own) - n + 1) if own[i : i + n] == ws]
+                continue
+            same, at = self.in_order(ws, allowed)
+            if n - same <= allowed:
+                notices.append((n - len(at), -gain, name, n - same, n, at))
+        kept: dict[str | None, tuple[str | None, float, int, int]] = {}
+        taken: list[set[int]] = []
+        wording: dict[int, tuple[int, int]] = {}  # (length, number) of the wording that a word is a part of
+        for _, gain, name, missing, n, at in sorted(notices, key=lambda x: x[:3]):
+            if not any(2 * len(at & other) > n for other in taken):  # of two notices over the same words the closer one holds
+                wording |= dict.fromkeys(at, (n, -len(taken)))
+                taken.append(at)
+                kept.setdefault(name, (name, -gain, missing, len(own) - n + missing))
+        for n, gain, name, first in sorted(names):
+            around = {wording.setdefault(k, (-n, first)) for k in range(first, first - n)}
+            if len(around) > 1 or max(around)[0] <= -n:  # a name inside a longer wording is a part of it
+                kept.setdefault(name, (name, -gain, 0, len(own) + n))
+        return list(kept.values()) or [(None, order[0][0], len(order[0][3]), len(own))]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per candidate block: id, start, length (code points), license, reduction, n_missing, n_extra, confirmed.
+    """One row per confirmed licence of each candidate block: id, start, length (code points), license, reduction, n_missing, n_extra, confirmed.
 
     Only texts with a trigger word leave the scan. A block without a confirmed
-    licence has a null `license`. A paragraph of several lines is judged as one
+    licence has one row with a null `license`. A name inside a longer confirmed
+    wording is no licence of its own. A paragraph of several lines is judged as one
     and line by line. Null and empty texts give no rows; repeated rows repeat.
     """
     wanted = templates or TEMPLATES
@@ -119,7 +133,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(wanted)
         for frame in frames:
-            rows = [(i, a, b - a, *scanner.judge(text[a:b])) for i, text in zip(frame["id"].tolist(), frame["text"].tolist(), strict=True) for a, b in candidates(text)]
+            rows = [(i, a, b - a, *judged) for i, text in zip(frame["id"].tolist(), frame["text"].tolist(), strict=True) for a, b in candidates(text) for judged in scanner.judge(text[a:b])]
             out = pd.DataFrame(rows, columns=["id", "start", "length", "license", "reduction", "n_missing", "n_extra"])
             yield out.assign(confirmed=out["license"].notna())
 
