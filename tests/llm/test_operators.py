@@ -350,6 +350,27 @@ def test_html(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ('<p>one <svg class="i"/> two</p><p>three</p>', ["one two", "three"]),
+        ("<p>one <math/> two</p><p>three <svg><path d='M0'/><text>no</text></svg> four</p>", ["one two", "three four"]),
+        ('<p>one <svg class="i"><use href="#a"/></svg> two</p><p>three</p>', ["one two", "three"]),
+        ("<p>one <svg><path d='M0'> </p><p>three</p><p>four <svg><g/></svg></p>", ["one", "three", "four"]),
+        ("<div>one <svg><g>no</div><p>three</p>", ["one", "three"]),
+        ("<p>one <svg><title/><style/><![CDATA[ <p>no ]]><g/></svg> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one <svg><svg/><g>no</g><foreignObject><div><p>no</p></div></foreignObject></svg> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one <button>no <div>no</div> no</button> two</p><p>three</p>", ["one two", "three"]),
+        ("<div><p>one</p><button>no</div><p>two</p><button>no</button><p>three</p>", ["one", "two", "three"]),
+        ("<p>one</p><canvas><p>no</p></canvas><div><canvas>no</div><p>two</p>", ["one", "two"]),
+        ("<p>one</p><script src=x/>no</script><p>two</p><textarea>no", ["one", "two"]),
+    ],
+)
+def test_html_inert_elements(inner, want):
+    """Icons, formulas and buttons leave out what is in them and nothing behind them."""
+    assert html_extract.extract(f"<body><article>{inner}</article></body>", []).split("\n\n") == want
+
+
 def test_html_on_the_table(spark, sf_dir):
     """The pages' articles by a plain cut of their known layout."""
     import html

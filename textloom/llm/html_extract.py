@@ -20,7 +20,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|title|textarea|noscript|template|svg|iframe|select|button|object|canvas|math"
+#: Skipped up to their end tag or the end of the page, as HTML does.
+RAW = "script|style|title|textarea|noscript|template|iframe|select|object"
+#: Skipped as elements: they may be self-closed, or end with what is around them.
+INERT = frozenset("svg math button canvas".split())
+FOREIGN = frozenset("svg math".split())
+#: Elements of svg and math that hold HTML, and tags that end svg and math anywhere else.
+HOLDS_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: An open paragraph, list item or text element around these isn't ended from inside.
+SCOPE = frozenset("button foreignobject annotation-xml".split())
 DROPPED = frozenset("nav footer aside form menu dialog header head".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body center blockquote figure fieldset".split())
@@ -34,9 +43,10 @@ JUNK = frozenset(
 )
 GOOD = frozenset("article articlebody content entry story post main maincontent text body".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S | re.I,
 )
+START = re.compile(r"<[a-z]+(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", re.S | re.I)
 ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PARTS = re.compile(r"[a-z]+")
 DECAY = 0.9
@@ -44,16 +54,17 @@ TOP = 3
 
 
 class Node:
-    __slots__ = ("tag", "path", "junk", "good", "up", "depth")
+    __slots__ = ("tag", "path", "junk", "good", "up", "depth", "inert")
 
     def __init__(self, tag: str, path: str, junk: bool, good: bool, up: Node | None) -> None:
         self.tag, self.path, self.junk, self.good, self.up = tag, path, junk, good, up
         self.depth = up.depth + 1 if up else 0
+        self.inert = tag in INERT or up is not None and up.inert
 
 
 def opened(tag: str, attrs: str, up: Node) -> Node:
     """An element; junk if it, or anything around it, is marked as no article."""
-    name, junk, good = tag, tag in DROPPED, tag in ("article", "main")
+    name, junk, good = tag, tag in DROPPED or tag in INERT, tag in ("article", "main")
     if tag == "header" and any_up(up, ("article", "main")):
         junk = False  # an article's own heading
     if attrs.strip():
@@ -76,6 +87,15 @@ def any_up(node: Node | None, tags: tuple[str, ...]) -> bool:
     return False
 
 
+def foreign(node: Node | None) -> Node | None:
+    """The svg or math whose own content `node` is, not HTML inside it."""
+    while node and node.tag not in HOLDS_HTML:
+        if node.tag in FOREIGN:
+            return node
+        node = node.up
+    return None
+
+
 def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
     """(element that holds it, text, characters of it in links) of each block that isn't junk, in page order."""
     root = top = Node("", "", False, False, None)
@@ -90,7 +110,8 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
         n, linked = linked, 0
         return (holder, joined, min(n, len(joined))) if joined else None
 
-    for m in [*TOKEN.finditer(page), None]:
+    while True:
+        m = TOKEN.search(page, at)
         said = page[at : m.start() if m else len(page)]
         if said and not top.junk:
             if not text:
@@ -105,39 +126,57 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
         at = m.end()
         tag = (m[3] or m[6] or "").lower()
         if not tag:
+            if top.inert and foreign(top):
+                if m[1] and (start := START.match(page, m.start())) and start[0].endswith("/>"):
+                    at = start.end()  # a self-closed title, style or script of svg
+                elif m[0].startswith("<![CDATA["):
+                    at = end + 3 if (end := page.find("]]>", m.start())) >= 0 else len(page)
             continue
         closing = m[2] or m[5]
+        was = top
+        if top.inert and (tag in BREAKS and not closing or tag in ("p", "br") and closing):
+            while (node := foreign(top)) and node.up:
+                top = node.up
+            links = any_up(top, ("a",))
         if tag == "br":
             text.append(" ")
             continue
-        if (tag in BLOCK or tag == "hr") and (done := flush()):
-            yield done
         if tag in VOID:
+            if tag == "hr" and not top.inert and (done := flush()):
+                yield done
             continue
         if closing:
             node: Node | None = top
             while node and node.tag != tag:
-                if tag == "p" and node.tag in BLOCK or tag not in BLOCK and node.tag in BLOCK:
+                if tag not in INERT and (tag == "p" or tag not in BLOCK) and (node.tag in BLOCK or node.tag in SCOPE):
                     node = None  # an end tag of a text element doesn't reach past its block
                     break
                 node = node.up
             if node and node.up:
                 top = node.up
-        else:
+        elif not (m[4] or m[7] or "").endswith("/") or not (tag in FOREIGN or top.inert and foreign(top)):
             if tag in BLOCK:  # ends an open paragraph, with what is open inside it
                 node = top
-                while node.up and node.tag not in BLOCK:
+                while node.up and node.tag not in BLOCK and node.tag not in SCOPE:
                     node = node.up
                 if node.tag == "p":
                     top = node.up
             if tag in ENDS:
                 ended, barrier = ENDS[tag]
                 node = top
-                while node.up and node.tag not in barrier and node.tag not in ended:
+                while node.up and node.tag not in barrier and node.tag not in ended and node.tag not in SCOPE:
                     node = node.up
                 if node.tag in ended:
                     top = node.up
+            if tag == "button" and top.inert:  # ends an open button
+                node = top
+                while node.up and node.tag != "button":
+                    node = node.up
+                if node.up:
+                    top = node.up
             top = opened(tag, m[4] or m[7] or "", top)
+        if tag in BLOCK and not (was.inert and top.inert) and (done := flush()):
+            yield done
         links = any_up(top, ("a",))
     if done := flush():
         yield done
