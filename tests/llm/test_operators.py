@@ -371,6 +371,28 @@ def test_html_inert_elements(inner, want):
     assert html_extract.extract(f"<body><article>{inner}</article></body>", []).split("\n\n") == want
 
 
+def test_html_takes_the_whole_article(spark):
+    """A container that holds most of the text brings the rest of its article with it."""
+    long = [f"Paragraph {k} " + "of the long text " * 40 for k in range(4)]
+    inner = '<div class="entry-content">' + "".join(f"<p>{p}</p>" for p in long) + "</div>"
+    links = "<p><a href=x>An older story with a long headline</a></p>"
+    texts = [p.strip() for p in long]
+    head, body = "<h1>Title</h1><p class=lead>The lead</p>", f"{inner}<section><p>Sources</p></section>"
+    shapes = {
+        f"<article>{head}{body}{links}</article><div><p>Elsewhere</p></div>": ["Title", "The lead", *texts, "Sources", "An older story with a long headline"],
+        f"<main>{head}{body}<div>{links}</div></main><p>Elsewhere</p>": ["Title", "The lead", *texts, "Sources"],
+        f'<div class="post">{head}<div class="text">{inner}</div>{links}</div><div><p>Elsewhere</p></div>': ["Title", "The lead", *texts],
+        f"<main><article>{head}{inner}</article><section><p>Elsewhere</p></section></main>": ["Title", "The lead", *texts],
+        f"<div>{inner}</div><div><p>Elsewhere</p></div>": texts,
+    }
+    for shape, want in shapes.items():
+        assert html_extract.extract(f"<body>{shape}</body>", []).split("\n\n") == want, shape[:40]
+    short = "<body><article><h1>Short</h1><p class=lead>Its lead</p><div class='entry-content'><p>Few words</p></div></article></body>"
+    pages = [(k, f"http://a.example/{k}", f"<body>{next(iter(shapes))}</body>") for k in range(4)] + [(9, "http://a.example/9", short)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0].startswith("Title\n\nThe lead\n\nParagraph 0") and got[9] == "Short\n\nIts lead\n\nFew words"
+
+
 def test_html_on_the_table(spark, sf_dir):
     """The pages' articles by a plain cut of their known layout."""
     import html

@@ -5,7 +5,8 @@ for a container, link text against it, less with each level of depth. The
 page's best containers vote with their generalised path (tags and classes
 without digits). Votes are summed per host in Spark, and every page is then
 extracted again with its host's leading path that it has; a page that has none
-of them falls back to its own best container.
+of them falls back to its own best container. The container may be an inner part
+of the article: what is taken is the article around it.
 """
 
 from __future__ import annotations
@@ -202,20 +203,55 @@ def ranked(found: list[tuple[Node, str, int]]) -> list[tuple[str, float]]:
     return sorted(((p, s) for p, s in paths.items() if s > 0), key=lambda x: (-x[1], len(x[0]), x[0]))
 
 
-def inside(node: Node, path: str) -> bool:
+def inside(node: Node, path: str) -> Node | None:
+    """The container of this path that holds the element."""
     up: Node | None = node
     while up:
         if up.path == path and up.tag in CONTAINER:
-            return True
+            return up
         up = up.up
-    return False
+    return None
+
+
+def ups(node: Node | None) -> Iterator[Node]:
+    while node:
+        yield node
+        node = node.up
+
+
+def around(won: dict[int, Node], found: list[tuple[Node, str, int]]) -> dict[int, Node]:
+    """What the containers are parts of: the article element around each, else main, else the nearest marked container with more text than links besides."""
+    wider: dict[int, Node] = {}
+    counts: dict[int, int] = {}
+    for node in won.values():
+        chain = list(ups(node))
+        whole = next((same[-1] for tag in ("article", "main") if (same := [u for u in chain if u.tag == tag])), None)
+        if whole is None:
+            if not counts:
+                for holder, text, linked in found:
+                    for u in ups(holder):
+                        counts[id(u)] = counts.get(id(u), 0) + (2 * linked < len(text))
+            whole = next((u for u in chain[1:] if u.good and u.tag in CONTAINER and u.tag != "body" and counts[id(u)] > counts[id(node)]), node)
+        wider[id(whole)] = whole
+    return wider
 
 
 def extract(page: str | None, paths: list[str]) -> str:
-    """Blocks inside the first of `paths` that the page has; else inside its own best container; else all of them."""
+    """Blocks of the article that the first of `paths` on the page is a part of; else that its own best container is; else all of them.
+
+    An article element gives all its blocks. From main, and from a container that
+    is only marked, blocks outside the path come if they aren't mostly links.
+    """
     found = list(blocks(page)) if page else []
     for path in [*paths, *(p for p, _ in ranked(found)[:1])]:
-        if got := [text for node, text, _ in found if inside(node, path)]:
+        held = [inside(node, path) for node, _, _ in found]
+        if won := {id(c): c for c in held if c}:
+            wider = around(won, found)
+            got = []
+            for (node, text, linked), c in zip(found, held, strict=True):
+                whole = next((u for u in ups(node) if id(u) in wider), None)
+                if c or whole and (whole.tag == "article" or 2 * linked < len(text)):
+                    got.append(text)
             return "\n\n".join(got)
     return "\n\n".join(text for _, text, _ in found)
 
