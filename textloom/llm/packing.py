@@ -3,7 +3,8 @@
 Each input split packs its own pieces best-fit, longest first. Bins that are
 nearly full are final; underfull ones go, as items, to the next round, where
 bins of fan_in groups meet and are packed best-fit again, until one group is
-left or a round no longer merges anything.
+left. Where that would make groups too large, bins are dealt to groups anew in
+each round, until a round no longer lowers the number of underfull ones.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise
+from textloom.llm.common import forget, materialise
 
+#: A bin's id is its round, from this bit on, then its split and, in the lower 32 bits, its number there.
+SHIFT = 52
 PIECES = "id long, piece int, start long, length long, ids_crc32 long, bin long, offset long"
 
 
@@ -71,18 +74,19 @@ def cut(docs: DataFrame, id_col: str, text_col: str, tokenizer_json: str, capaci
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(pack, PIECES)
 
 
-def merge_round(bins: DataFrame, groups: int, capacity: int, level: int) -> DataFrame:
-    """(bin, length) -> (bin, into, offset): best-fit of underfull bins inside each of `groups` groups."""
+def merge_round(bins: DataFrame, groups: int, capacity: int, level: int, dealt: bool) -> DataFrame:
+    """(bin, length) -> (bin, into, offset): best-fit of underfull bins inside each of `groups` groups, whole groups of the last round or bins dealt anew."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         frame = pd.concat([pd.DataFrame({"bin": pd.Series(dtype="int64"), "length": pd.Series(dtype="int64")}), *frames]).sort_values(["length", "bin"], ascending=[False, True], ignore_index=True)
         at, offsets = best_fit(frame["length"].to_numpy(np.int64), capacity)
-        into = at + ((level << 56) | (TaskContext.get().partitionId() << 32))
+        into = at + ((level << SHIFT) | (TaskContext.get().partitionId() << 32))
         yield pd.DataFrame({"bin": frame["bin"], "into": into, "offset": offsets})
 
-    return bins.repartition(groups, F.pmod(F.shiftright("bin", 32), F.lit(groups))).mapInPandas(pack, "bin long, into long, offset long")
+    key = F.col("bin") if dealt else F.pmod(F.shiftright("bin", 32), F.lit(groups))
+    return bins.repartition(groups, key).mapInPandas(pack, "bin long, into long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, fan_in: int = 8, slack: int = 8, group_rows: int = 250_000) -> DataFrame:
@@ -93,27 +97,30 @@ def pack_documents(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id",
     end_id alone. Rows that repeat an id are packed as documents of their own.
     Offsets are gapless from 0 in each sequence. A bin within `slack` of capacity
     is final; others are merged in rounds of fan_in groups, of about group_rows
-    bins or fewer each. Empty input gives no rows.
+    bins or fewer each: with more bins than that, rounds go on with other groups
+    until they no longer lower the number of underfull bins. Empty input gives no rows.
     """
     pieces = materialise(cut(docs, id_col, text_col, tokenizer_json, capacity, end_id), "pieces")
     bins = pieces.groupBy("bin").agg(F.sum("length").alias("length"))
     placed = materialise(bins.select("bin", F.col("bin").alias("into"), F.lit(0).cast("long").alias("offset"), "length"), "bins")
     groups = max(1, pieces.rdd.getNumPartitions())
-    for level in range(1, 64):
+    before, dealt = 0, False
+    for level in range(1, 1 << 63 - SHIFT):
         fills = placed.groupBy("into").agg(F.sum("length").alias("length"))
         under = fills.filter(F.col("length") < capacity - slack).select(F.col("into").alias("bin"), "length")
         n = under.count()
-        groups = max(1, -(-groups // fan_in), -(-n // group_rows))
-        if n < 2:
-            break
-        moved = materialise(merge_round(under, groups, capacity, level), "merge")
-        if moved.select("into").distinct().count() == n and groups == 1:
+        if n < 2 or dealt and n >= before:
             break
+        before, least, fewer = n, -(-n // group_rows), -(-groups // fan_in)
+        groups, dealt = max(least, fewer), least > fewer
+        moved = materialise(merge_round(under, groups, capacity, level, dealt), "merge")
         step = moved.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("offset").alias("shift"))
-        placed = materialise(
+        last, placed = placed, materialise(
             placed.join(step, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"), "length"), "bins"
         )
-        if groups <= max(1, -(-n // group_rows)):
+        forget(moved)
+        forget(last)
+        if groups == 1:  # no two bins of a group fit into one
             break
     where = placed.select("bin", F.col("into").alias("sequence_id"), F.col("offset").alias("shift"))
     return pieces.join(where, "bin").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", (F.col("offset") + F.col("shift")).alias("offset"))
