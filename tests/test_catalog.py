@@ -54,3 +54,17 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_strip_categories_keeps_tagged_pages(spark, tmp_path):
+    pages = [
+        (1, "Text.\n\nCategory:Rivers\nCategory : Lakes", True, "Text."),
+        (2, "It flows.Category:Rivers\n\n\n\nMore.", True, "It flows.\n\nMore."),
+        (3, "[[Category:A]]\nOne\n\nCategory:B\n\nTwo", True, "One\n\nTwo"),
+        (4, "An award in the Category: best film", True, "An award in the Category: best film"),
+        (5, " no tag ", False, " no tag "),
+        (6, None, None, None),
+    ]
+    spark.createDataFrame([p[:2] for p in pages], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["strip_categories"](spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["tagged"], r["text"]) for r in got) == [(k, tagged, text) for k, _, tagged, text in pages]
