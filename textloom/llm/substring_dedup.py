@@ -1,20 +1,20 @@
-"""Repeated byte strings of at least `length` bytes, by prefix doubling on anchors.
+"""Repeated byte strings of at least `length` bytes, by hash grouping on anchors.
 
 Every window of `length` bytes is filed under its anchor: the leftmost GRAM-byte
 string in it with the smallest hash. Equal windows have equal anchors, at equal
 places, so only windows of equal anchors can be equal, and the windows of one
-anchor lie side by side. Ranks of growing strings are then compared in Spark:
+anchor lie side by side. 64-bit hashes are then grouped in Spark, once each:
 
-1. rank of the anchor's GRAM bytes; anchors that are unique drop out with all
-   their windows;
-2. rank pair of (anchor, all bytes that the anchor's windows cover); where that
-   whole string occurs again, all its windows do;
+1. of the anchor's GRAM bytes; anchors that are unique drop out with all their
+   windows;
+2. of the anchor with all bytes that its windows cover; where that whole string
+   occurs again, all its windows do;
 3. what is left - anchors that occur again, in other surroundings - has its
-   single windows ranked, at the full length, against one anchor of each of
-   the other surroundings.
+   single windows hashed, at the full length, and compared with one anchor of
+   each of the other surroundings.
 
-Ranks are 64-bit hashes of the strings. Doubling on anchors instead of on every
-byte keeps the rows that Spark sorts to about one for every 70 bytes.
+This replaces prefix doubling: nothing is sorted by rank and no offset grows.
+Anchors keep the rows that Spark groups to about one for every 70 bytes.
 """
 
 from __future__ import annotations
