@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 M64 = (1 << 64) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+_written: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,18 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the setting is missing (tests, one machine) a temporary folder
-    is made and remembered in the session.
+    Where the setting is missing, a temporary folder is made and remembered in
+    the session, but only for a local master: on a cluster each machine would
+    write to its own disk, so that is an error.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("textloom.shared.dir", "")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("textloom.shared.dir", folder)
     return folder.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/textloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -48,14 +55,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what materialise() wrote, once nothing reads it any more."""
-    path = getattr(df, "textloom_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+    if path := getattr(df, "textloom_path", None):
+        delete(df.sparkSession, path)
+
+
+def forget_all(spark: SparkSession, *but: DataFrame) -> None:
+    """Deletes all that the operators wrote in this session, save for these frames; results not yet read are lost."""
+    for path in _written - {getattr(df, "textloom_path", None) for df in but}:
+        delete(spark, path)
 
 
 def text_of(col: str = "text") -> Column:
@@ -95,6 +110,27 @@ def might_contain(words: Column, key: Column, log2_bits: int = 20) -> Column:
     return F.getbit(F.get(words, F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
 
 
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, by: list[str], per: int = 1024) -> DataFrame:
+    """Inner join on keys where the rows of a hot key go to several tasks.
+
+    small has one row for each key and, in column `rows`, how many rows of big
+    have it; it is read several times, so it should be materialised. Keys of over
+    `per` rows (and of over a 1024th of the hottest) are marked in a bitmap of
+    fixed size. Rows of big with a marked key are dealt by the columns `by` over
+    salts, and small's row of it is repeated for each salt. Without a hot key it
+    is a plain join. Null keys join with nothing.
+    """
+    most = small.agg(F.max(rows)).first()[0] or 0
+    salts = min(1024, -(-most // per))
+    if salts < 2:
+        return big.join(small, keys)
+    digest = F.xxhash64(*keys)
+    hot = bit_filter(small.filter(F.col(rows) > max(per, most // 1024)).select(digest.alias("h")), "h", 20).scalar()
+    dealt = F.when(might_contain(hot, digest, 20), F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)
+    every = F.when(might_contain(hot, digest, 20), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return big.withColumn("_salt", dealt).join(small.withColumn("_salt", F.explode(every)), [*keys, "_salt"]).drop("_salt")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes every output bit."""
     x = x ^ (x >> np.uint64(33))
