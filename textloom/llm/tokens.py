@@ -1,12 +1,15 @@
 """Token ids by the tokenizers library, with a bounded memo of words.
 
-The tokenizer drops white space, so a text's ids are those of its pieces between
-spaces and newlines, one after another. Each worker keeps the ids of the pieces
-it has seen (at most MEMO of them) and asks the library for new ones only.
+A tokenizer whose file is of the kind WORDS drops white space and never joins
+anything across it, so a text's ids are those of its pieces between spaces and
+newlines, one after another. Each worker keeps the ids of the short pieces it has
+seen and asks the library for new ones only. Texts with a special token's string,
+in whatever case, and all texts of any other kind of tokenizer are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -14,8 +17,22 @@ from itertools import repeat
 
 import numpy as np
 
-#: Pieces that a worker remembers; beyond it, new ones are encoded again in each batch.
-MEMO = 800_000
+#: Pieces that a worker remembers, and the code points of the longest; others are encoded again in each batch. 250 MB at the worst.
+MEMO, LONGEST = 800_000, 32
+#: The parts of a tokenizer's file for which the split at spaces is exact. NFC composes nothing with a
+#: space or newline, lower-casing is by character, and no match of the pattern has white space in it.
+WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
 #: Below U+0250 lower-casing a letter never depends on its neighbours, so it can be done before the split.
 BEYOND = re.compile("[^\x00-ɏ]")
 #: Words on which asking the BPE model directly must agree with the whole tokenizer, else it isn't done.
@@ -29,8 +46,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.lowers = '"Lowercase"' in tokenizer_json
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(tokenizer_json)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.by_words = all(spec.get(k) == v for k, v in WORDS.items()) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
+        self.specials = [t.content for t in added]
         self.memo: dict[str, int] = {"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 16, np.int64)  # where each piece's ids start
@@ -39,7 +58,7 @@ class Encoder:
 
         self.bytes_to_text = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
         self.bytes_to_text |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self.bytes_to_text)}
-        self.plain = self.lowers and all([t.id for t in self.tokenizer.model.tokenize(self.spelled(w))] == self.whole(w) for w in PROBES)
+        self.plain = self.by_words and all([t.id for t in self.tokenizer.model.tokenize(self.spelled(w))] == self.whole(w) for w in PROBES)
 
     def spelled(self, word: str) -> str:
         """A word as byte-level BPE spells it: each UTF-8 byte one printable character (a fixed public table)."""
@@ -83,6 +102,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """uint32 ids of each text, in order."""
+        if not self.by_words:
+            yield from (np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+            return
         kept = self.n, self.used
         if len(self.memo) == 1:
             self.memo |= self.learn([",", "."])
@@ -91,22 +113,24 @@ class Encoder:
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            if any(s in text for s in self.specials):
+            low = text.lower() if text.isascii() or not BEYOND.search(text) else text
+            if any(s in text or s in low for s in self.specials):  # lower-casing must not make a special token
                 odd[k] = np.array(self.whole(text), np.uint32)
                 continue
-            if self.lowers and (text.isascii() or not BEYOND.search(text)):
-                text = text.lower()
+            text = low
             pieces = text.replace("\n", " ").split(" ")
             counts[k] = len(pieces)
             words += pieces
         idx = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
         if len(new := np.flatnonzero(idx < 0)):
             unknown = [words[i] for i in new.tolist()]
-            numbers = self.learn([*dict.fromkeys(unknown)])
-            idx[new] = np.fromiter(map(numbers.__getitem__, unknown), np.int64, len(new))
+            distinct = [*dict.fromkeys(unknown)]
+            numbers = self.learn([p for p in distinct if len(p) <= LONGEST])
             if len(self.memo) + len(numbers) <= MEMO:
                 self.memo.update(numbers)
                 kept = self.n, self.used
+            numbers |= self.learn([p for p in distinct if len(p) > LONGEST])
+            idx[new] = np.fromiter(map(numbers.__getitem__, unknown), np.int64, len(new))
         sizes = self.size[idx]
         ends = np.cumsum(sizes)
         flat = self.flat[np.repeat(self.at[idx] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
