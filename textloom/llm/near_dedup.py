@@ -1,6 +1,8 @@
 """Near-duplicate components by MinHash bands, odd sketches and exact checks.
 
-Texts with the same shingle set are one class, handled by its smallest id. Each
+Words are named by keyed 64-bit digests (BLAKE2b) and shingles by mixing five of
+them in order. Texts with the same shingle set are one class, handled by its
+smallest id. Each
 class has SAMPLES MinHash values. They key its bands, and, folded into a parity
 bitmap, are its odd sketch: the XOR of two sketches has about
 bits/2 * (1 - exp(-4 * differing / bits)) ones, which tells high similarities
@@ -11,15 +13,18 @@ A bucket's pairs are never all made. Its members are paired with one member;
 links merge components. What is then undecided are members of different
 components in one bucket. In buckets of up to SMALL members they are joined
 under the sketch's condition. In larger ones the members outside the bucket's
-commonest component meet all members in blocks: each block compares sketches,
-checks full sets where these allow a link, and gives at most one link for each
-two components that it joins. No candidate is lost either way.
+commonest component meet all members in blocks: each block compares sketches
+first, asks for the texts of those that these allow a link, checks their full
+sets, and gives at most one link for each two components that it joins. No
+candidate is lost either way. Rows of a hot bucket are dealt over salts wherever
+buckets are joined.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SpanHasher, bit_filter, forget, materialise, might_contain, mix
+from textloom.llm.common import bit_filter, forget, materialise, might_contain, mix, spread_join
 from textloom.llm.components import components
 
 ROWS, BANDS = 4, 30
@@ -36,29 +41,67 @@ SKETCH_BITS = 512
 #: Pairs whose sketches suggest a similarity below this go unchecked: over four deviations under 0.75.
 SKETCH_FLOOR = 0.5
 SMALL, BLOCK = 64, 1024
+#: Rows of a bucket that one task gets in a join; more are dealt over several.
+HOT = 256
 _rng = np.random.default_rng(4711)
 FLIP = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 TURN = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-hasher = SpanHasher()
+KEY = b"textloom shingle words"
+#: Words that a worker remembers, and the bytes of the longest: 100 MB at the worst.
+MEMO, LONGEST = 400_000, 48
+#: Bytes of a text that are split into words at once.
+PART = 1 << 22
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+class WordNames(dict[bytes, int]):
+    """Keyed 64-bit digest of each word, with a bounded memo."""
+
+    def __missing__(self, word: bytes) -> int:
+        name = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY).digest(), "little")
+        if len(word) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = name
+        return name
+
+
+names = WordNames()
+
+
+def word_names(text: str | None) -> np.ndarray:
+    """Names of a text's words in order; bytes.lower() and bytes.split() know A-Z and the six ASCII spaces only."""
+    raw = (text or "").encode("utf-8", "replace").lower()
+    parts, at = [], 0
+    while at < len(raw) or not parts:
+        gap = GAP.search(raw, at + PART) if len(raw) - at > PART else None
+        end = gap.start() if gap else len(raw)
+        words = raw[at:end].split()
+        parts.append(np.fromiter(map(names.__getitem__, words), np.uint64, len(words)))
+        at = end + 1
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def shingle_hashes(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; empty for no words."""
-    raw = [b" ".join((t or "").encode("utf-8", "replace").lower().split()) for t in texts]
-    data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
-    prefix = hasher.prefix(data)
-    gaps = np.flatnonzero(data == 32)
-    at = 1
-    for r in raw:
-        if not r:
-            at += 1
+    words = [word_names(t) for t in texts]
+    flat = np.concatenate([np.zeros(0, np.uint64), *words])
+    n = len(flat) - width + 1
+    every = mix(np.full(max(n, 0), width, np.uint64))
+    for k in range(width):
+        every = mix(every + flat[k : n + k]) if n > 0 else every
+    at = 0
+    for w in words:
+        if len(w) >= width:
+            yield np.unique(every[at : at + len(w) - width + 1])
+        elif len(w):
+            few = mix(np.full(1, len(w), np.uint64))
+            for k in range(len(w)):
+                few = mix(few + w[k : k + 1])
+            yield few
+        else:
             yield np.zeros(0, np.uint64)
-            continue
-        a, b = np.searchsorted(gaps, (at - 1, at + len(r)))
-        starts, ends = gaps[a:b] + 1, gaps[a + 1 : b + 1]
-        n = max(1, len(starts) - width + 1)
-        yield np.unique(hasher.spans(prefix, starts[:n], ends[min(width, len(ends)) - 1 :]))
-        at += len(r) + 1
+        at += len(w)
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,47 +173,63 @@ def most_ones() -> float:
     return SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - SKETCH_FLOOR) / SKETCH_BITS))
 
 
+def candidates(frame: pd.DataFrame, percent: int) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, int, np.ndarray]]:
+    """(outsiders, members, number of an outsider, numbers of the members that its sketch may link with) of a block."""
+    out, all_ = (frame[frame["outside"] == side].reset_index(drop=True) for side in (True, False))
+    if not len(out) or not len(all_):
+        return
+    band = int(frame["band"].iloc[0])
+    sk, bands = np.array(all_["sketch"].tolist(), np.int64).view(np.uint64), np.array(all_["bands"].tolist(), np.int64)
+    labels, sizes = all_["label"].to_numpy(), all_["n"].to_numpy()
+    for k in range(len(out)):
+        ones = np.bitwise_count(sk ^ np.array(out["sketch"].iat[k], np.int64).view(np.uint64)).sum(1)
+        n = out["n"].iat[k]
+        near = np.flatnonzero((ones <= most_ones()) & (labels != out["label"].iat[k]) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+        # a pair that shares several bands is checked in the first of them
+        near = near[(bands[near] == np.array(out["bands"].iat[k], np.int64)).argmax(1) == band]
+        if len(near):
+            yield out, all_, k, near[np.argsort(ones[near], kind="stable")]
+
+
+def asked(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, bo, bm, id) of those whose texts a block needs."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = {i for out, all_, k, near in candidates(frame, percent) for i in (out["id"].iat[k], *all_["id"].to_numpy()[near].tolist())}
+        return pd.DataFrame({"id": np.array(sorted(ids), np.int64)}).assign(key=frame["key"].iloc[0], bo=frame["bo"].iloc[0], bm=frame["bm"].iloc[0])[["key", "bo", "bm", "id"]]
+
+    return rows.groupBy("key", "bo", "bm").applyInPandas(run, "key long, bo long, bm long, id long")
+
+
 def link_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the outsiders and the members of each group (key, bo, bm); one for each two labels joined."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out, band = frame[frame["outside"]].reset_index(drop=True), int(frame["band"].iloc[0])
-        all_ = frame[~frame["outside"]].reset_index(drop=True)
+        sets: dict[int, np.ndarray] = {}
+        up: dict[int, int] = {}
         found: list[tuple[int, int]] = []
-        if len(out) and len(all_):
-            sets: dict[int, np.ndarray] = {}
-
-            def of(part: pd.DataFrame, k: int) -> np.ndarray:
-                i = part["id"].iat[k]
-                if i not in sets:
-                    sets[i] = next(shingle_hashes([part["text"].iat[k]]))
-                return sets[i]
-
-            up: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while up.get(x, x) != x:
-                    x = up[x]
-                return x
-
-            sk = np.array(all_["sketch"].tolist(), np.int64).view(np.uint64)
-            bands = np.array(all_["bands"].tolist(), np.int64)
-            labels, sizes = all_["label"].to_numpy(), all_["n"].to_numpy()
-            for k in range(len(out)):
-                ones = np.bitwise_count(sk ^ np.array(out["sketch"].iat[k], np.int64).view(np.uint64)).sum(1)
-                n, label = out["n"].iat[k], out["label"].iat[k]
-                near = np.flatnonzero((ones <= most_ones()) & (labels != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-                # a pair that shares several bands is checked in the first of them
-                near = near[(bands[near] == np.array(out["bands"].iat[k], np.int64)).argmax(1) == band]
-                for j in near[np.argsort(ones[near], kind="stable")].tolist():
-                    x, y = root(label), root(labels[j])
-                    if x == y:
-                        continue
-                    s, t = of(out, k), of(all_, j)
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(t) - both):
-                        up[max(x, y)] = min(x, y)
-                        found.append((out["id"].iat[k], all_["id"].iat[j]))
+
+        def of(part: pd.DataFrame, k: int) -> np.ndarray:
+            i = part["id"].iat[k]
+            if i not in sets:
+                sets[i] = next(shingle_hashes([part["text"].iat[k]]))
+            return sets[i]
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for out, all_, k, near in candidates(frame, percent):
+            for j in near.tolist():
+                x, y = root(out["label"].iat[k]), root(all_["label"].iat[j])
+                if x == y:
+                    continue
+                s, t = of(out, k), of(all_, j)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    up[max(x, y)] = min(x, y)
+                    found.append((out["id"].iat[k], all_["id"].iat[j]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "bo", "bm").applyInPandas(run, "a long, b long")
@@ -189,8 +248,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = materialise(sign(docs, id_col, text_col), "signed")
     reps = materialise(signed.filter("n > 0 AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
     banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    heads = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("head")).filter("c > 1")
-    members = materialise(banded.join(heads, "key"), "members")
+    heads = materialise(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("head")).filter("c > 1"), "heads")
+    members = materialise(spread_join(banded, heads, ["key"], "c", ["id"], HOT), "members")
+    forget(heads)
     about = materialise(reps.select("id", "n", "sketch", "bands").join(members.select("id").distinct(), "id", "left_semi"), "about")
     words = bit_filter(about.select("id"), "id", 22).scalar()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -199,8 +259,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def undecided(labels: DataFrame) -> DataFrame:
         """Members of buckets that hold several components."""
         placed = members.join(labels, F.col("id") == F.col("node"), "left").select("key", "band", "c", "id", F.coalesce("label", "id").alias("label"))
-        several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        return placed.join(several, "key")
+        several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("c").alias("size")).filter("lo < hi").select("key", "size")
+        return spread_join(placed, materialise(several, "several"), ["key"], "size", ["id"], HOT).drop("size")
 
     x, y = about.alias("x"), about.alias("y")
     star = members.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
@@ -211,13 +271,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     large = materialise(undecided(labels).filter(F.col("c") > SMALL), "large")
     if not large.isEmpty():
         common = large.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("common"), F.sum("k").alias("all"), F.max("k").alias("most"))
-        both = large.join(common, "key").withColumn("nm", F.ceil(F.col("all") / BLOCK)).withColumn("no", F.ceil((F.col("all") - F.col("most")) / BLOCK))
+        both = spread_join(large, materialise(common, "common"), ["key"], "all", ["id"], HOT).withColumn("nm", F.ceil(F.col("all") / BLOCK)).withColumn("no", F.ceil((F.col("all") - F.col("most")) / BLOCK))
         spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
         every = both.withColumn("outside", F.lit(False)).withColumn("bm", spot("nm")).withColumn("bo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("no") - 1)))
         outside = both.filter("label <> common").withColumn("outside", F.lit(True)).withColumn("bo", spot("no")).withColumn("bm", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1)))
         cols = ["key", "bo", "bm", "band", "outside", "id", "label"]
-        rows = every.select(*cols).unionByName(outside.select(*cols)).join(about, "id").join(texts, "id")
-        more = materialise(link_blocks(rows, percent), "links")
+        rows = materialise(every.select(*cols).unionByName(outside.select(*cols)).join(about, "id"), "blocks")
+        wanted = materialise(asked(rows, percent), "asked")
+        more = materialise(link_blocks(rows.join(wanted, ["key", "bo", "bm", "id"], "left_semi").join(texts, "id"), percent), "links")
+        forget(rows)
+        forget(wanted)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = materialise(components(links), "labels")
@@ -231,5 +294,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not more.isEmpty():
         labels = materialise(components(links.unionByName(more)), "labels")
     classes = reps.select("cls", F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("label", "rep").alias("component_id"))
+    for done in (members, about, texts):
+        forget(done)
     out = signed.select("id", "n", "cls").join(classes, "cls", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
