@@ -459,17 +459,61 @@ def test_license_scan_several_in_a_line(spark):
     assert [r["license"] for r in inner] == ["A"]
 
 
-def test_common_words_in_order():
+def test_word_distances_equal_the_table_of_edits():
     rng = random.Random(8)
-    for _ in range(200):
-        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(12))] for _ in range(2))
-        best = [0] * (len(b) + 1)
-        for x in a:
-            last = best
-            best = [0]
-            for k, y in enumerate(b):
-                best.append(max(best[k], last[k + 1], last[k] + (x == y)))
-        assert license_scan.common(a, b) == best[-1]
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(least, 12))] for least in (1, 0))
+        got, column = [], list(range(len(a) + 1))
+        for y in b:
+            last, column = column, [0]
+            for k, x in enumerate(a):
+                column.append(min(last[k] + (x != y), last[k + 1] + 1, column[k] + 1))
+            got.append(column[-1])
+        assert [*license_scan.distances(a, b)] == got
+
+
+def test_license_scan_tells_places_and_differences(spark):
+    mit = license_scan.TEMPLATES["MIT"][1]
+    changed = mit.replace("free of charge", "free of any charge").replace("hereby ", "").replace("merge", "fuse")
+    around = " ".join(f"w{k}" for k in range(10_000))
+    texts = [f"Intro.\n\n{around} {changed} {around}", "x. the MIT License y the MIT License", "the MIT License", "my licence", "", None]
+    df = spark.createDataFrame([(k, t, 1, "a", "b") for k, t in enumerate(texts)], "doc_id long, text string, start int, license string, at string")
+    got = license_scan.scan_licenses(df).collect()
+    first = [r for r in got if r["doc_id"] == 0]
+    assert {(r["license"], r["n_missing"], r["missing"], r["extra"], r["n_places"]) for r in first} == {("MIT", 2, "hereby merge", "any fuse", 1)}
+    assert all(texts[0][r["at"] : r["at"] + r["at_length"]] == changed.rstrip(".") for r in first)
+    assert {(r["doc_id"], r["license"], r["at"], r["at_length"], r["n_places"]) for r in got if r["doc_id"]} == {(1, "MIT", 3, 15, 2), (2, "MIT", 0, 15, 1), (3, None, 0, 0, 0)}
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def brute_licenses(text):
+    """Licences whose name stands in a line word for word, or whose notice some run of its words equals but for a tenth."""
+    out = set()
+    for line in text.split("\n"):
+        own = license_scan.words(line)
+        for name, wordings in license_scan.TEMPLATES.items():
+            for ws in map(license_scan.words, wordings):
+                allowed = int(license_scan.DIFFER * len(ws)) if len(ws) > license_scan.NAME else 0
+                column = list(range(len(ws) + 1))
+                for y in own:
+                    last, column = column, [0]
+                    for k, x in enumerate(ws):
+                        column.append(min(last[k] + (x != y), last[k + 1] + 1, column[k] + 1))
+                    if column[-1] <= allowed:
+                        out.add(name)
+                        break
+    return out
+
+
+def test_license_scan_equals_word_alignment(spark, sf_dir):
+    """Licences found line by line in the whole table; every other line has no trigger or no wording."""
+    got = {}
+    for r in license_scan.scan_licenses(table(spark, sf_dir, "documents")).collect():
+        if r["license"]:
+            got.setdefault(r["doc_id"], set()).add(r["license"])
+    trigger = re.compile(license_scan.TRIGGER)
+    want = {d["doc_id"]: found for d in table(spark, sf_dir, "documents").collect() if (found := brute_licenses("\n".join(x for x in (d["text"] or "").split("\n") if trigger.search(x))))}
+    assert got == want and want
 
 
 def test_license_scan_equals_plain_search(spark, sf_dir):

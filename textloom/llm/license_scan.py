@@ -3,17 +3,19 @@
 A candidate block is a run of lines without an empty line between them that
 holds a trigger word, and each such line by itself. It is compressed alone and
 with each template as zstandard raw dictionary; templates rank by how much
-smaller that makes it. Every template is then compared word by word, whatever
-its rank: a licence is confirmed if the template's words stand in the block in
-order, save for a small share.
+smaller that makes it. Every template is then compared exactly, whatever its
+rank: a licence is confirmed where some run of the block's words can be turned
+into the template's by changing, adding or leaving out a small share of them
+(word edit distance, by one pass of bit vectors over the block); short names must
+stand there word for word. The differing words are part of the result.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +31,9 @@ TEMPLATES = {
     "AGPL-3.0": ["the GNU Affero General Public License, version 3"],
     "BSD": ["the BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "MPL-2.0": ["the Mozilla Public License, version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "BSL-1.0": ["the Boost Software License, Version 1.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain"],
+    "Zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "CC-BY-4.0": ["licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA-4.0": ["licensed under CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
@@ -38,8 +43,10 @@ TEMPLATES = {
 }
 TRIGGER = r"(?i)licen[cs]|copyright|permission|redistribut|rights reserved|creative commons|\bcc0\b|\bcc[ -]by\b|warrant|public domain"
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-#: Share of a longer notice's words that may be missing; names of up to NAME words must be whole.
-MISSING, NAME = 0.1, 10
+#: Share of a longer notice's words that may differ; names of up to NAME words must be whole.
+DIFFER, NAME = 0.1, 10
+#: Characters of judged blocks that a worker remembers, and of the longest of them.
+MEMO, LONGEST = 4_000_000, 4_000
 
 
 def words(text: str) -> list[str]:
@@ -57,16 +64,37 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
                 yield m.span()
 
 
-def common(ws: list[str], own: list[str]) -> int:
-    """Length of the longest common subsequence; a bit of `rows` is 0 where it grows."""
+def distances(wording: list[str], own: list[str]) -> Iterator[int]:
+    """For each word of `own`, the least edits that turn `wording` into some run of words that ends there (bit-parallel, after Myers)."""
+    n = len(wording)
     at: dict[str, int] = {}
-    for k, w in enumerate(ws):
+    for k, w in enumerate(wording):
         at[w] = at.get(w, 0) | 1 << k
-    full = rows = (1 << len(ws)) - 1
+    full, top, plus, minus, score = (1 << n) - 1, 1 << n - 1, (1 << n) - 1, 0, n
     for w in own:
-        if hit := at.get(w):
-            rows = (rows + (rows & hit) | rows & ~hit) & full
-    return len(ws) - rows.bit_count()
+        eq = at.get(w, 0)
+        zero = ((eq & plus) + plus ^ plus) | eq | minus
+        up, down = minus | ~(zero | plus) & full, plus & zero
+        score += bool(up & top) - bool(down & top)
+        up, down = up << 1 & full, down << 1 & full  # a run may begin at any word: row 0 stays 0
+        plus, minus = (down | ~(zero | up)) & full, up & zero & full
+        yield score
+
+
+def places(wording: list[str], own: list[str], allowed: int) -> list[tuple[int, int, int]]:
+    """(edits, first word, end) of the closest run in each stretch of the block that is close enough."""
+    n, out = len(wording), []
+    best: tuple[int, int] | None = None  # (edits, end) of the stretch at hand
+    for k, score in enumerate([*distances(wording, own), n + 1]):
+        if score <= allowed:
+            if best is None or score < best[0]:
+                best = score, k + 1
+        elif best:
+            edits, end = best
+            back = [*distances(wording[::-1], own[max(0, end - n - allowed) : end][::-1])]
+            out.append((edits, end - 1 - min(range(len(back)), key=lambda i: (back[i], -i)), end))
+            best = None
+    return out
 
 
 class Scanner:
@@ -75,67 +103,81 @@ class Scanner:
 
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.rows = [(name, t, words(t), zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, ts in templates.items() for t in ts]
-        self.diff = difflib.SequenceMatcher(None, autojunk=False)
-        self.judge = lru_cache(maxsize=20_000)(self._judge)
-
-    def in_order(self, ws: list[str], allowed: float) -> tuple[int, set[int]]:
-        """(words of `ws` that stand in the block in order, places of the longest runs); counted exactly if the runs leave too many out."""
-        self.diff.set_seq1(ws)
-        runs = self.diff.get_matching_blocks()
-        at = {k for m in runs for k in range(m.b, m.b + m.size)}
-        return (len(at) if len(ws) - len(at) <= allowed else common(ws, self.diff.b)), at
-
-    def _judge(self, block: str) -> list[tuple[str | None, float, int, int]]:
-        """(licence, size reduction, template words missing, block words besides them) of each confirmed licence; without any, of the leading template."""
+        self.memo: OrderedDict[str, list[tuple]] = OrderedDict()
+        self.held = 0
+
+    def judge(self, block: str) -> list[tuple]:
+        if (known := self.memo.get(block)) is not None:
+            return known
+        found = self._judge(block)
+        if len(block) <= LONGEST:
+            self.memo[block] = found
+            self.held += len(block)
+            while self.held > MEMO:
+                self.held -= len(self.memo.popitem(last=False)[0])
+        return found
+
+    def _judge(self, block: str) -> list[tuple]:
+        """(licence, size reduction, words missing, words added, place and length in the block, the missing words, the added ones, number of places) of each confirmed licence.
+
+        A block without any gives its leading template's name-less row. Of wordings
+        over the same words the closer one holds (ties: the longer, then the first in
+        order of names); a name inside a longer confirmed wording is a part of it.
+        """
         plain = " ".join(block.lower().split()).encode("utf-8", "replace")
         size = len(self.alone.compress(plain))
         order = sorted(((1 - len(c.compress(plain)) / size, name, t, ws) for name, t, ws, c in self.rows), key=lambda x: (-x[0], x[1], x[2]))
-        own = words(block)
+        spans = [m.span() for m in WORD.finditer(block)]
+        own = [block[a:b].lower() for a, b in spans]
         has = set(own)
-        self.diff.set_seq2(own)
-        notices, names = [], []
+        found = []  # (is a name, edits, -words, licence, first, end, gain, wording)
         for gain, name, _, ws in order:
             n = len(ws)
-            allowed = MISSING * n if n > NAME else 0
+            allowed = int(DIFFER * n) if n > NAME else 0
             if sum(w not in has for w in ws) > allowed:
                 continue
             if n <= NAME:
-                names += [(-n, -gain, name, i) for i in range(len(own) - n + 1) if own[i : i + n] == ws]
+                found += [(True, 0, -n, name, i, i + n, gain, ws) for i in range(len(own) - n + 1) if own[i] == ws[0] and own[i : i + n] == ws]
+            else:
+                found += [(False, edits, -n, name, a, b, gain, ws) for edits, a, b in places(ws, own, allowed)]
+        kept: dict[str, list] = {}
+        taken: list[tuple[int, int]] = []
+        for is_name, _, _, name, a, b, gain, ws in sorted(found, key=lambda x: x[:6]):
+            within = (x <= a and b <= y for x, y in taken) if is_name else (2 * (min(b, y) - max(a, x)) > b - a for x, y in taken)
+            if any(within):
                 continue
-            same, at = self.in_order(ws, allowed)
-            if n - same <= allowed:
-                notices.append((n - len(at), -gain, name, n - same, n, at))
-        kept: dict[str | None, tuple[str | None, float, int, int]] = {}
-        taken: list[set[int]] = []
-        wording: dict[int, tuple[int, int]] = {}  # (length, number) of the wording that a word is a part of
-        for _, gain, name, missing, n, at in sorted(notices, key=lambda x: x[:3]):
-            if not any(2 * len(at & other) > n for other in taken):  # of two notices over the same words the closer one holds
-                wording |= dict.fromkeys(at, (n, -len(taken)))
-                taken.append(at)
-                kept.setdefault(name, (name, -gain, missing, len(own) - n + missing))
-        for n, gain, name, first in sorted(names):
-            around = {wording.setdefault(k, (-n, first)) for k in range(first, first - n)}
-            if len(around) > 1 or max(around)[0] <= -n:  # a name inside a longer wording is a part of it
-                kept.setdefault(name, (name, -gain, 0, len(own) + n))
-        return list(kept.values()) or [(None, order[0][0], len(order[0][3]), len(own))]
+            taken.append((a, b))
+            if name in kept:
+                kept[name][-1] += 1
+                continue
+            steps = difflib.SequenceMatcher(None, ws, own[a:b], autojunk=False).get_opcodes()
+            gone = [w for op, i, j, _, _ in steps if op in ("delete", "replace") for w in ws[i:j]]
+            more = [w for op, _, _, i, j in steps if op in ("insert", "replace") for w in own[a + i : a + j]]
+            kept[name] = [name, gain, len(gone), len(own) - len(ws) + len(gone), spans[a][0], spans[b - 1][1] - spans[a][0], " ".join(gone), " ".join(more), 1]
+        if kept:
+            return [tuple(x) for x in kept.values()]
+        return [(None, order[0][0], len(order[0][3]), len(own), 0, 0, "", "", 0)]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per confirmed licence of each candidate block: id, start, length (code points), license, reduction, n_missing, n_extra, confirmed.
+    """One row per confirmed licence of each candidate block: id, start, length (the block, in code points), license, reduction, n_missing, n_extra, at, at_length (its first and closest wording, from the text's start), missing, extra (the differing words), n_places, confirmed.
 
     Only texts with a trigger word leave the scan. A block without a confirmed
-    licence has one row with a null `license`. A name inside a longer confirmed
-    wording is no licence of its own. A paragraph of several lines is judged as one
-    and line by line. Null and empty texts give no rows; repeated rows repeat.
+    licence has one row with a null `license` and n_places 0. n_extra counts the
+    block's words besides the wording. A paragraph of several lines is judged as one
+    and line by line. Null and empty texts give no rows; repeated rows repeat; no
+    rows in, none out; only the two named columns are read.
     """
     wanted = templates or TEMPLATES
+    names = ["id", "start", "length", "license", "reduction", "n_missing", "n_extra", "at", "at_length", "missing", "extra", "n_places"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(wanted)
         for frame in frames:
-            rows = [(i, a, b - a, *judged) for i, text in zip(frame["id"].tolist(), frame["text"].tolist(), strict=True) for a, b in candidates(text) for judged in scanner.judge(text[a:b])]
-            out = pd.DataFrame(rows, columns=["id", "start", "length", "license", "reduction", "n_missing", "n_extra"])
+            rows = [(i, a, b - a, *x[:4], a + x[4], *x[5:]) for i, text in zip(frame["id"].tolist(), frame["text"].tolist(), strict=True) for a, b in candidates(text) for x in scanner.judge(text[a:b])]
+            out = pd.DataFrame(rows, columns=names)
             yield out.assign(confirmed=out["license"].notna())
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(TRIGGER))
-    return base.mapInPandas(run, f"id {dict(base.dtypes)['id']}, start long, length long, license string, reduction double, n_missing long, n_extra long, confirmed boolean").withColumnRenamed("id", id_col)
+    kinds = f"id {dict(base.dtypes)['id']}, start long, length long, license string, reduction double, n_missing long, n_extra long, at long, at_length long, missing string, extra string, n_places long, confirmed boolean"
+    return base.mapInPandas(run, kinds).withColumnRenamed("id", id_col)
