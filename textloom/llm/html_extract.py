@@ -1,8 +1,9 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Every page is parsed once to score its containers: text outside links counts
-for a container, link text against it, less with each level of depth. The
-page's best containers vote with their generalised path (tags and classes
+for a container, link text against it, less with each level of depth; words in
+class names are one sign among these and never decide against an element that
+holds the article. The page's best containers vote with their generalised path (tags and classes
 without digits). Votes are summed per host in Spark, and every page is then
 extracted again with its host's leading path that it has; a page that has none
 of them falls back to its own best container. The container may be an inner part
@@ -13,30 +14,35 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.llm.common import materialise
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Skipped up to their end tag or the end of the page, as HTML does.
 RAW = "script|style|title|textarea|noscript|template|iframe|select|object"
 #: Skipped as elements: they may be self-closed, or end with what is around them.
-INERT = frozenset("svg math button canvas".split())
+INERT = frozenset("svg button canvas annotation annotation-xml".split())
 FOREIGN = frozenset("svg math".split())
 #: Elements of svg and math that hold HTML, and tags that end svg and math anywhere else.
 HOLDS_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: An open paragraph, list item or text element around these isn't ended from inside.
 SCOPE = frozenset("button foreignobject annotation-xml".split())
-DROPPED = frozenset("nav footer aside form menu dialog header head".split())
+#: Never the article, wherever they stand; header only outside an article.
+DROPPED = frozenset("nav footer aside menu dialog header head".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body center blockquote figure fieldset".split())
-#: An opening tag ends an open element of these kinds, up to the barrier.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Words in class, id or role that mark what is not the article.
+#: Containers that are left out if they are lists of links.
+LISTS = frozenset("ul ol dl div section table".split())
+#: Words in class, id or role that speak against an element; evidence inside it can outweigh them, see Page.judge().
 JUNK = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
     "subscription signup login sidebar rail widget widgets menu menus nav navbar navigation navi breadcrumb breadcrumbs toc pagination pager footer header masthead topbar toolbar share sharing social related "
@@ -50,190 +56,287 @@ TOKEN = re.compile(
 START = re.compile(r"<[a-z]+(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", re.S | re.I)
 ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PARTS = re.compile(r"[a-z]+")
+DIGITS = re.compile(r"\d+")
+#: A class name that begins so speaks of what is absent or stands beside.
+BESIDE = frozenset("has no non not with without hide hides show shows enable enables is".split())
+#: A heading's own words, which are no sign against it inside an article.
+OWN = frozenset("header masthead".split())
 DECAY = 0.9
 TOP = 3
+#: Links and the share of linked text from which a container is a list of links.
+LINKS, LINKED = 3, 0.75
+#: Shares of the page's text at which a marked element is no side matter: with an article, main or h1 in it; on a page without.
+PROVEN, MOST = 0.3, 0.7
+#: Characters of hosts and paths that are broadcast at most.
+BROADCAST = 20_000_000
 
 
 class Node:
-    __slots__ = ("tag", "path", "junk", "good", "up", "depth", "inert")
-
-    def __init__(self, tag: str, path: str, junk: bool, good: bool, up: Node | None) -> None:
-        self.tag, self.path, self.junk, self.good, self.up = tag, path, junk, good, up
-        self.depth = up.depth + 1 if up else 0
-        self.inert = tag in INERT or up is not None and up.inert
-
-
-def opened(tag: str, attrs: str, up: Node) -> Node:
-    """An element; junk if it, or anything around it, is marked as no article."""
-    name, junk, good = tag, tag in DROPPED or tag in INERT, tag in ("article", "main")
-    if tag == "header" and any_up(up, ("article", "main")):
-        junk = False  # an article's own heading
-    if attrs.strip():
-        found = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)}
-        classes = found.get("class", "").lower()
-        marks = set(PARTS.findall(f"{classes} {found.get('id', '')} {found.get('role', '')}".lower()))
-        if classes:
-            name += "." + ".".join(sorted({re.sub(r"\d+", "", c) for c in classes.split()}))
-        good = good or bool(marks & GOOD) or "articlebody" in found.get("itemprop", "").lower()
-        if marks & JUNK and tag not in ("html", "body", "article", "main") or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-            junk = True
-    return Node(tag, f"{up.path}/{name}" if tag in BLOCK else up.path, junk or up.junk, good, up)
-
-
-def any_up(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node:
-        if node.tag in tags:
-            return True
-        node = node.up
-    return False
-
-
-def foreign(node: Node | None) -> Node | None:
-    """The svg or math whose own content `node` is, not HTML inside it."""
-    while node and node.tag not in HOLDS_HTML:
-        if node.tag in FOREIGN:
-            return node
-        node = node.up
-    return None
-
-
-def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
-    """(element that holds it, text, characters of it in links) of each block that isn't junk, in page order."""
-    root = top = Node("", "", False, False, None)
-    text: list[str] = []
-    linked = links = at = 0
-    holder = root
-
-    def flush() -> tuple[Node, str, int] | None:
-        nonlocal linked
-        joined = " ".join(entities.unescape("".join(text)).split())
-        text.clear()
-        n, linked = linked, 0
-        return (holder, joined, min(n, len(joined))) if joined else None
-
-    while True:
-        m = TOKEN.search(page, at)
-        said = page[at : m.start() if m else len(page)]
-        if said and not top.junk:
-            if not text:
-                holder = top
-                while holder.up and holder.tag not in BLOCK:
-                    holder = holder.up
-            text.append(said)
-            if links:
-                linked += len(said)
-        if m is None:
-            break
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
-            if top.inert and foreign(top):
-                if m[1] and (start := START.match(page, m.start())) and start[0].endswith("/>"):
-                    at = start.end()  # a self-closed title, style or script of svg
-                elif m[0].startswith("<![CDATA["):
-                    at = end + 3 if (end := page.find("]]>", m.start())) >= 0 else len(page)
-            continue
-        closing = m[2] or m[5]
-        was = top
-        if top.inert and (tag in BREAKS and not closing or tag in ("p", "br") and closing):
-            while (node := foreign(top)) and node.up:
-                top = node.up
-            links = any_up(top, ("a",))
-        if tag == "br":
-            text.append(" ")
-            continue
-        if tag in VOID:
-            if tag == "hr" and not top.inert and (done := flush()):
-                yield done
-            continue
-        if closing:
-            node: Node | None = top
-            while node and node.tag != tag:
-                if tag not in INERT and (tag == "p" or tag not in BLOCK) and (node.tag in BLOCK or node.tag in SCOPE):
-                    node = None  # an end tag of a text element doesn't reach past its block
-                    break
+    __slots__ = ("tag", "name", "pid", "up", "place", "hard", "mark", "good", "article", "inert", "foreign", "linked", "holder", "scope", "open", "li", "dd", "row", "cell")
+
+    def __init__(self, tag: str, up: Node | None) -> None:
+        self.tag, self.up, self.name, self.pid, self.place = tag, up, tag, 0, 0
+        self.hard = self.mark = self.good = self.article = self.inert = self.linked = False
+        self.foreign: Node | None = None
+        self.open: dict[str, int] = {}
+        self.holder = self.scope = self
+        self.li: Node | None = None
+        self.dd = self.row = self.cell = self.li
+        if up is None:
+            return
+        self.article, self.inert, self.linked = up.article, up.inert or tag in INERT, up.linked or tag == "a"
+        self.foreign = None if tag in HOLDS_HTML else self if tag in FOREIGN else up.foreign
+        self.holder = self if tag in BLOCK else up.holder
+        self.scope = self if tag in BLOCK or tag in SCOPE else up.scope
+        if tag not in SCOPE:  # the nearest element that an opening tag of each kind ends, if no barrier stands between
+            self.li = self if tag == "li" else None if tag in ("ul", "ol", "menu") else up.li
+            self.dd = self if tag in ("dt", "dd") else None if tag == "dl" else up.dd
+            self.row = self if tag in ("tr", "td", "th") else None if tag == "table" else up.row
+            self.cell = self if tag in ("td", "th") else None if tag in ("tr", "table") else up.cell
+
+
+class Block(NamedTuple):
+    holder: Node
+    text: str
+    linked: int  # characters in links
+    links: int
+
+
+class Page:
+    """The elements of a page in order of their start, and the blocks that aren't side matter.
+
+    One pass; each element knows what it needs of those around it, so no step walks
+    to the root and time is linear in the page's size, however deep it nests.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.nodes = [Node("", None)]
+        self.names: list[tuple[int, str]] = [(0, "")]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.total: dict[str, int] = {}  # open elements by tag
+        self.blocks: list[Block] = []
+        self.parse(page)
+        self.judge()
+
+    def opened(self, tag: str, attrs: str, up: Node) -> Node:
+        node = Node(tag, up)
+        words: set[str] = set()
+        classes: list[str] = []
+        if attrs.strip():
+            found = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)}
+            classes = found.get("class", "").lower().split()
+            for token in [*classes, found.get("id", "").lower(), *found.get("role", "").lower().split()]:
+                parts = PARTS.findall(token)
+                if parts and parts[0] not in BESIDE:
+                    words.update(parts)
+            node.hard = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+            node.good = bool(words & GOOD) or "articlebody" in found.get("itemprop", "").lower()
+        node.good = node.good or tag in ("article", "main")
+        node.hard = up.hard or node.hard or node.inert or tag in DROPPED and not (tag == "header" and up.article)
+        node.mark = tag == "form" or bool(words & JUNK - (OWN if up.article else frozenset())) and tag not in ("html", "body", "article", "main")
+        node.article = up.article or tag in ("article", "main") or node.good and tag in CONTAINER and tag != "body" and not node.mark
+        node.pid = up.pid
+        if tag in BLOCK:
+            if classes:
+                node.name = tag + "." + ".".join(sorted({DIGITS.sub("", c).replace("/", "_") for c in classes}))
+            node.pid = self.paths.setdefault((up.pid, node.name), len(self.names))
+            if node.pid == len(self.names):
+                self.names.append((up.pid, node.name))
+        node.place = len(self.nodes)
+        self.nodes.append(node)
+        return node
+
+    def parse(self, page: str) -> None:
+        top = holder = self.nodes[0]
+        text: list[str] = []
+        linked = links = at = 0
+
+        def flush() -> None:
+            nonlocal linked, links
+            if text and (joined := " ".join("".join(text).split())):
+                self.blocks.append(Block(holder, joined, min(linked, len(joined)), max(links, linked > 0)))
+            text.clear()
+            linked = links = 0
+
+        def shut(node: Node) -> None:
+            """Ends node and all that is open inside it."""
+            nonlocal top
+            end = node.up
+            while top is not end and top.up:
+                self.total[top.tag] -= 1
+                if top.tag not in BLOCK:
+                    top.up.scope.open[top.tag] -= 1
+                top = top.up
+
+        def nearest(tag: str) -> Node:
+            node = top
+            while node.tag != tag and node.up:
                 node = node.up
-            if node and node.up:
-                top = node.up
-        elif not (m[4] or m[7] or "").endswith("/") or not (tag in FOREIGN or top.inert and foreign(top)):
-            if tag in BLOCK:  # ends an open paragraph, with what is open inside it
-                node = top
-                while node.up and node.tag not in BLOCK and node.tag not in SCOPE:
-                    node = node.up
-                if node.tag == "p":
-                    top = node.up
-            if tag in ENDS:
-                ended, barrier = ENDS[tag]
-                node = top
-                while node.up and node.tag not in barrier and node.tag not in ended and node.tag not in SCOPE:
-                    node = node.up
-                if node.tag in ended:
-                    top = node.up
-            if tag == "button" and top.inert:  # ends an open button
-                node = top
-                while node.up and node.tag != "button":
-                    node = node.up
-                if node.up:
-                    top = node.up
-            top = opened(tag, m[4] or m[7] or "", top)
-        if tag in BLOCK and not (was.inert and top.inert) and (done := flush()):
-            yield done
-        links = any_up(top, ("a",))
-    if done := flush():
-        yield done
-
-
-def ranked(found: list[tuple[Node, str, int]]) -> list[tuple[str, float]]:
-    """Container paths of a page, best first."""
-    scores: dict[int, float] = {}
-    nodes: dict[int, Node] = {}
-    for node, text, linked in found:
-        worth, up = float(len(text) - 2 * linked), node
-        while up.up:
-            if up.tag in CONTAINER:
-                scores[id(up)] = scores.get(id(up), 0.0) + worth
-                nodes[id(up)] = up
-                worth *= DECAY
-            up = up.up
-    paths: dict[str, float] = {}
-    for key, score in scores.items():
-        node = nodes[key]
-        score *= (1.25 if node.good else 1.0) * (0.5 if node.tag == "body" else 1.0)
-        paths[node.path] = max(paths.get(node.path, 0.0), score)
-    return sorted(((p, s) for p, s in paths.items() if s > 0), key=lambda x: (-x[1], len(x[0]), x[0]))
-
-
-def inside(node: Node, path: str) -> Node | None:
-    """The container of this path that holds the element."""
-    up: Node | None = node
-    while up:
-        if up.path == path and up.tag in CONTAINER:
-            return up
-        up = up.up
-    return None
-
-
-def ups(node: Node | None) -> Iterator[Node]:
-    while node:
-        yield node
-        node = node.up
-
-
-def around(won: dict[int, Node], found: list[tuple[Node, str, int]]) -> dict[int, Node]:
-    """What the containers are parts of: the article element around each, else main, else the nearest marked container with more text than links besides."""
-    wider: dict[int, Node] = {}
-    counts: dict[int, int] = {}
-    for node in won.values():
-        chain = list(ups(node))
-        whole = next((same[-1] for tag in ("article", "main") if (same := [u for u in chain if u.tag == tag])), None)
-        if whole is None:
-            if not counts:
-                for holder, text, linked in found:
-                    for u in ups(holder):
-                        counts[id(u)] = counts.get(id(u), 0) + (2 * linked < len(text))
-            whole = next((u for u in chain[1:] if u.good and u.tag in CONTAINER and u.tag != "body" and counts[id(u)] > counts[id(node)]), node)
-        wider[id(whole)] = whole
-    return wider
+            return node
+
+        while True:
+            m = TOKEN.search(page, at)
+            said = page[at : m.start() if m else len(page)]
+            if said and not top.hard:
+                if not text:
+                    holder = top.holder
+                said = entities.unescape(said)  # here, as a reference doesn't go on behind a tag
+                text.append(said)
+                if top.linked:
+                    linked += len(said)
+            if m is None:
+                break
+            at = m.end()
+            tag = (m[3] or m[6] or "").lower()
+            if not tag:
+                if top.foreign:
+                    if m[1] and (start := START.match(page, m.start())) and start[0].endswith("/>"):
+                        at = start.end()  # a self-closed title, style or script of svg
+                    elif m[0].startswith("<![CDATA["):
+                        at = end + 3 if (end := page.find("]]>", m.start())) >= 0 else len(page)
+                continue
+            closing = m[2] or m[5]
+            was = top
+            if tag in BREAKS and not closing or tag in ("p", "br") and closing:
+                while top.foreign:
+                    shut(top.foreign)
+            if tag == "br":
+                text.append(" ")
+                continue
+            if tag in VOID:
+                if tag == "hr" and not top.inert:
+                    flush()
+                continue
+            if closing:
+                if tag in BLOCK and tag != "p" or tag in INERT:
+                    if self.total.get(tag):
+                        shut(nearest(tag))
+                elif top.scope.tag == tag:
+                    shut(top.scope)
+                elif tag != "p" and top.scope.open.get(tag):  # the end of a text element doesn't reach past its block
+                    shut(nearest(tag))
+            elif not (m[4] or m[7] or "").endswith("/") or not (tag in FOREIGN or top.foreign):
+                if tag in BLOCK and top.scope.tag == "p":  # ends an open paragraph, with what is open inside it
+                    shut(top.scope)
+                ended = top.li if tag == "li" else top.dd if tag in ("dt", "dd") else top.row if tag == "tr" else top.cell if tag in ("td", "th") else None
+                if ended is not None:
+                    shut(ended)
+                if tag == "button" and top.inert and self.total.get("button"):
+                    shut(nearest("button"))
+                if tag not in BLOCK:
+                    top.scope.open[tag] = top.scope.open.get(tag, 0) + 1
+                self.total[tag] = self.total.get(tag, 0) + 1
+                top = self.opened(tag, m[4] or m[7] or "", top)
+                links += tag == "a"
+            if tag in BLOCK and not (was.inert and top.inert):
+                flush()
+        flush()
+
+    def judge(self) -> None:
+        """Leaves out side matter: what is hidden or of such a kind, what marks and evidence speak against, and lists of links.
+
+        A marked element stays if it holds an article, main or h1 and a good share of
+        the page's text and no unmarked article or main stands beside it, or if it
+        holds most of the text of a page that has none of these.
+        """
+        n = len(self.nodes)
+        plain, size, linked, links, proof = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
+        for b in self.blocks:
+            i = b.holder.place
+            plain[i] += len(b.text) - b.linked
+            size[i] += len(b.text)
+            linked[i] += b.linked
+            links[i] += b.links
+        for i in range(n - 1, 0, -1):
+            node = self.nodes[i]
+            up = node.up.place  # type: ignore[union-attr]
+            proof[i] = proof[i] or node.tag in ("article", "main", "h1") and not node.hard and not node.mark
+            for sums in (plain, size, linked, links):
+                sums[up] += sums[i]
+            proof[up] = proof[up] or proof[i]
+        marked, above, free = [False] * n, [0] * n, 0  # above: unmarked articles around each element
+        for i, node in enumerate(self.nodes[1:], 1):
+            up = node.up.place  # type: ignore[union-attr]
+            marked[i] = marked[up] or node.mark
+            own = node.tag in ("article", "main") and not marked[i] and not node.hard and plain[i] > 0
+            above[i], free = above[up] + own, free + own
+        for i, node in enumerate(self.nodes[1:], 1):
+            node.hard = node.hard or node.up.hard  # type: ignore[union-attr]
+            if node.mark and not node.hard:
+                node.hard = not (proof[i] and free == above[i] and plain[i] >= PROVEN * plain[0] or not proof[0] and plain[i] >= MOST * plain[0])
+            elif node.tag in LISTS and links[i] >= LINKS and linked[i] >= LINKED * size[i] and not proof[i]:
+                node.hard = True
+        self.blocks = [b for b in self.blocks if not b.holder.hard]
+
+    def path(self, pid: int) -> str:
+        names = []
+        while pid:
+            pid, name = self.names[pid]
+            names.append(f"/{name}")
+        return "".join(reversed(names))
+
+    def find(self, path: str) -> int | None:
+        pid: int | None = 0
+        for name in path.split("/")[1:]:
+            if (pid := self.paths.get((pid, name))) is None:  # type: ignore[arg-type]
+                return None
+        return pid
+
+    def below(self, chosen: Callable[[Node], bool]) -> list[Node | None]:
+        """For each element the nearest chosen one that it is or that is around it."""
+        out: list[Node | None] = []
+        for node in self.nodes:
+            out.append(node if chosen(node) else out[node.up.place] if node.up else None)
+        return out
+
+    def inside(self, pid: int) -> list[Node | None]:
+        """For each block the container of this path that holds it."""
+        of = self.below(lambda node: node.pid == pid and node.tag in CONTAINER)
+        return [of[b.holder.place] for b in self.blocks]
+
+    def ranked(self, top: int = TOP) -> list[tuple[int, str, float]]:
+        """The best container paths (number, path, score)."""
+        worth = [0.0] * len(self.nodes)
+        for b in self.blocks:
+            worth[b.holder.place] += len(b.text) - 2 * b.linked
+        best: dict[int, float] = {}
+        for node in reversed(self.nodes[1:]):
+            score = worth[node.place]
+            up = node.up.place  # type: ignore[union-attr]
+            if node.tag in CONTAINER:
+                worth[up] += score * DECAY
+                score *= (1.25 if node.good else 1.0) * (0.5 if node.tag == "body" else 1.0)
+                best[node.pid] = max(best.get(node.pid, 0.0), score)
+            else:
+                worth[up] += score
+        scores = sorted((s for s in best.values() if s > 0), reverse=True)[:top]
+        named = [(p, self.path(p), s) for p, s in best.items() if scores and s >= scores[-1]]
+        return sorted(named, key=lambda x: (-x[2], len(x[1]), x[1]))[:top]
+
+    def around(self, won: list[Node]) -> set[int]:
+        """Places of what the containers are parts of: the outermost article element around each, else main, else the nearest marked container with more text than links besides."""
+        outer: dict[str, list[Node | None]] = {}
+        for tag in ("article", "main"):
+            of: list[Node | None] = []
+            for node in self.nodes:
+                of.append((of[node.up.place] if node.up else None) or (node if node.tag == tag else None))
+            outer[tag] = of
+        good = self.below(lambda node: node.good and node.tag in CONTAINER and node.tag != "body")
+        texts = [0] * len(self.nodes)
+        for b in self.blocks:
+            texts[b.holder.place] += 2 * b.linked < len(b.text)
+        for node in reversed(self.nodes[1:]):
+            texts[node.up.place] += texts[node.place]  # type: ignore[union-attr]
+        wider = set()
+        for node in won:
+            whole = outer["article"][node.place] or outer["main"][node.place]
+            if whole is None:
+                up = good[node.up.place] if node.up else None
+                while up and texts[up.place] <= texts[node.place]:
+                    up = good[up.up.place] if up.up else None
+                whole = up or node
+            wider.add(whole.place)
+        return wider
 
 
 def extract(page: str | None, paths: list[str]) -> str:
@@ -242,18 +345,19 @@ def extract(page: str | None, paths: list[str]) -> str:
     An article element gives all its blocks. From main, and from a container that
     is only marked, blocks outside the path come if they aren't mostly links.
     """
-    found = list(blocks(page)) if page else []
-    for path in [*paths, *(p for p, _ in ranked(found)[:1])]:
-        held = [inside(node, path) for node, _, _ in found]
-        if won := {id(c): c for c in held if c}:
-            wider = around(won, found)
+    found = Page(page or "")
+    for pid in [*map(found.find, paths), *(p for p, _, _ in found.ranked(1))]:
+        held = found.inside(pid) if pid is not None else []
+        if won := list({c.place: c for c in held if c}.values()):
+            wider = found.around(won)
+            of = found.below(lambda node: node.place in wider)
             got = []
-            for (node, text, linked), c in zip(found, held, strict=True):
-                whole = next((u for u in ups(node) if id(u) in wider), None)
-                if c or whole and (whole.tag == "article" or 2 * linked < len(text)):
-                    got.append(text)
+            for b, c in zip(found.blocks, held, strict=True):
+                whole = of[b.holder.place]
+                if c or whole and (whole.tag == "article" or 2 * b.linked < len(b.text)):
+                    got.append(b.text)
             return "\n\n".join(got)
-    return "\n\n".join(text for _, text, _ in found)
+    return "\n\n".join(b.text for b in found.blocks)
 
 
 def host_of(url: str) -> F.Column:
@@ -261,20 +365,30 @@ def host_of(url: str) -> F.Column:
 
 
 def consensus(pages: DataFrame, per_host: int = 4) -> DataFrame:
-    """host, paths: the leading container paths by summed votes; a page has one vote in all."""
+    """host, paths: the leading container paths by summed votes; a page has one vote in all.
+
+    A path whose text is the same on most of a host's pages that have it is a
+    template's, not an article's: its votes count by the share of distinct texts.
+    """
 
     def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            votes: dict[tuple[str, str], float] = {}
+            votes: dict[tuple[str, str, int], list[float]] = {}
             for host, page in zip(frame["host"].tolist(), frame["html"].tolist(), strict=True):
-                best = ranked(list(blocks(page)))[:TOP] if page else []
-                total = sum(s for _, s in best)
-                for path, score in best:
-                    votes[host, path] = votes.get((host, path), 0.0) + score / total * (2.0 if path == best[0][0] else 0.5)
-            yield pd.DataFrame([(h, p, v) for (h, p), v in votes.items()], columns=["host", "path", "vote"])
-
-    sums = pages.select("host", "html").mapInPandas(vote, "host string, path string, vote double").groupBy("host", "path").agg(F.sum(F.round("vote", 6).cast("decimal(28,6)")).alias("vote"))
-    leading = sums.withColumn("place", F.row_number().over(W.partitionBy("host").orderBy(F.desc("vote"), F.length("path"), "path"))).filter(F.col("place") <= per_host)
+                found = Page(page or "")
+                best = found.ranked()
+                total = sum(s for _, _, s in best)
+                for pid, path, score in best:
+                    text = "\n".join(b.text for b, c in zip(found.blocks, found.inside(pid), strict=True) if c)
+                    sums = votes.setdefault((host, path, zlib.crc32(text.encode("utf-8", "replace"))), [0.0, 0])
+                    sums[0] += score / total * (2.0 if pid == best[0][0] else 0.5)
+                    sums[1] += 1
+            yield pd.DataFrame([(*k, *v) for k, v in votes.items()], columns=["host", "path", "digest", "vote", "n"])
+
+    rows = pages.select("host", "html").mapInPandas(vote, "host string, path string, digest long, vote double, n long")
+    sums = rows.groupBy("host", "path").agg(F.sum(F.round("vote", 6).cast("decimal(28,6)")).alias("vote"), F.sum("n").alias("n"), F.approx_count_distinct("digest").alias("texts"))
+    weight = F.col("vote") * F.when(2 * F.col("texts") >= F.col("n"), 1.0).otherwise(F.col("texts") / F.col("n"))
+    leading = sums.withColumn("place", F.row_number().over(W.partitionBy("host").orderBy(F.desc(weight), F.length("path"), "path"))).filter(F.col("place") <= per_host)
     return leading.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("p")).select("host", F.col("p.path").alias("paths"))
 
 
@@ -283,15 +397,15 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null or empty html gives an empty text; a null url counts as a host of its own
     kind. Repeated rows are extracted alike. Hosts' paths are broadcast up to
-    broadcast_hosts hosts; beyond, they are joined with salts, so that a host of
-    any size is spread.
+    broadcast_hosts hosts and BROADCAST characters; beyond, they are joined with
+    salts, so that a host of any size is spread. No rows in, none out; only the
+    three named columns are read.
     """
-    from textloom.llm.common import materialise
-
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
     kind = dict(base.dtypes)["id"]
     winners = materialise(consensus(base), "paths")
-    if winners.count() <= broadcast_hosts:
+    hosts, characters = winners.agg(F.count("*"), F.sum(F.length("host") + F.length(F.array_join("paths", "/")))).first()
+    if hosts <= broadcast_hosts and (characters or 0) <= BROADCAST:
         joined = base.join(F.broadcast(winners), "host", "left")
     else:
         spread = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
