@@ -3,9 +3,10 @@
 Words are hashed, every k-gram of word hashes gets a hash, and of each sliding
 window of w k-grams the smallest hash is a fingerprint. Any span of
 w + k - 1 = `window` words that a document shares with an item therefore gives
-both the same fingerprint. Documents are tested against a fixed-size bitmap of
-the benchmark's fingerprints in the scan; only those that pass are kept with
-their words, joined with the fingerprints, and each (document, item, diagonal)
+both the same fingerprint. Documents are tested against a bitmap of the
+benchmark's fingerprints in the scan, sized by their number and bounded: where no
+k-gram is in it, no minimum can be, so only the others are winnowed. Fingerprints
+that pass are joined with the benchmark's, and each (document, item, diagonal)
 is extended word by word, so that what is reported is exact.
 """
 
@@ -21,7 +22,8 @@ from textloom.llm.common import bit_filter, bit_literal, materialise, might_cont
 #: Fixed by the contract: what lies between words, after A-Z are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_BITS, ID_BITS = 18, 22
+#: Bits of the fingerprint bitmap at most (2 MB; 64 bits each up to 260,000 fingerprints, beyond it lets more through) and of the one for documents.
+MAX_BITS, ID_BITS = 24, 22
 #: A benchmark of at most so many words in all is broadcast; beyond it joins shuffle.
 BROADCAST_WORDS = 4_000_000
 
@@ -59,9 +61,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     words of an item, or of a whole item of fewer words. contaminated: n_hit > 0
     and share * n_hit >= n_words. Null or wordless texts have no words and are
     never contaminated; such items match nothing; items of equal text count each.
-    Rows that repeat an id are taken as one document each time only if their
-    texts are equal; the ids should be unique. An empty benchmark gives clean
-    documents, no documents no rows. A null id is never hit. Columns not named are not read.
+    Documents are told apart by id and text, so rows that repeat an id, and rows
+    without one, are judged each by its own text. An empty benchmark gives clean
+    documents, no documents no rows. Columns not named are not read.
     """
     w = window - k + 1
     bench = items.select(F.col(item_col).cast("string").alias("item"), words_of(text_of(item_text_col)).alias("iw")).filter(F.size("iw") > 0)
@@ -83,28 +85,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     bits = bit_literal(fps, "h", log2_bits)
 
     def candidates(h: Column) -> Column:
-        """Positions (gram size, place, hash) whose hash may be a fingerprint."""
-        seen = lambda a: F.filter(a, lambda x: might_contain(bits, x, log2_bits))
-        places = lambda g, m: F.filter(F.transform(g, lambda x, i: F.struct(i.alias("pos"), x.alias("h"))), lambda s: F.array_contains(m, s["h"]))
+        """Positions (place, hash) of fingerprints that may be the benchmark's."""
+        known = lambda x: might_contain(bits, x, log2_bits)
         none = F.array().cast("array<struct<pos:int,h:bigint>>")
-        pick = lambda g, m: let(seen(m(g)), lambda found: F.when(F.size(found) > 0, places(g, found)).otherwise(none))
+
+        def pick(g: Column, minima: Callable[[Column], Column]) -> Column:
+            """Places of g's minima that are in the bitmap; minima are sought only if some gram is."""
+            of = lambda m: F.filter(F.transform(g, lambda x, i: F.struct(i.alias("pos"), x.alias("h"))), lambda s: known(s["h"]) & F.array_contains(m, s["h"]))
+            return F.when(F.exists(g, known), let(F.filter(minima(g), known), of)).otherwise(none)
+
         parts = [let(grams(h, k), lambda g: pick(g, lambda x: winnow(x, w)))]
         parts += [let(grams(h, n), lambda g: pick(g, F.array_distinct)) for n in short]
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-    base = docs.select(F.col(id_col).alias("id"), words_of(text_of(text_col)).alias("words"))
-    found = base.select("id", let(F.col("words"), lambda ws: let(let(word_hashes(ws), candidates), lambda c: F.struct(F.size(ws).cast("long").alias("n_words"), c.alias("c"), F.when(F.size(c) > 0, ws).alias("words")))).alias("x"))
+    key = ["k", "t"]  # k: the id with null as "", t: hash of id and text
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k"), F.xxhash64(F.col(id_col), text_of(text_col)).alias("t"), words_of(text_of(text_col)).alias("words"))
+    found = base.select("id", *key, let(F.col("words"), lambda ws: let(let(word_hashes(ws), candidates), lambda c: F.struct(F.size(ws).cast("long").alias("n_words"), c.alias("c"), F.when(F.size(c) > 0, ws).alias("words")))).alias("x"))
     found = materialise(found, "candidates")
 
     some = found.filter("size(x.c) > 0")
     aligned = (
-        some.select("id", F.explode("x.c").alias("c")).select("id", "c.pos", "c.h")
-        .join(near(fps), "h").select("id", "item", (F.col("pos") - F.col("ipos")).alias("diagonal"))
-        .groupBy("id", "item").agg(F.collect_set("diagonal").alias("diagonals"))
+        some.select(*key, F.explode("x.c").alias("c")).select(*key, "c.pos", "c.h")
+        .join(near(fps), "h").select(*key, "item", (F.col("pos") - F.col("ipos")).alias("diagonal"))
+        .groupBy(*key, "item").agg(F.collect_set("diagonal").alias("diagonals"))
     )
     aligned = materialise(aligned, "aligned")
-    ids = bit_filter(aligned.select(F.xxhash64("id").alias("h")), "h", ID_BITS).scalar()
-    some = some.filter(might_contain(ids, F.xxhash64("id"), ID_BITS))  # words of documents without a shared fingerprint aren't shuffled
+    ids = bit_filter(aligned.select("t"), "t", ID_BITS).scalar()
+    some = some.filter(might_contain(ids, F.col("t"), ID_BITS)).select(*key, "x.words").dropDuplicates(key)  # words of documents without a shared fingerprint aren't shuffled
 
     def occurrences(words: Column, iw: Column, diagonals: Column) -> Column:
         """Places of document words in windows that equal the item's, along the diagonals."""
@@ -120,14 +127,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     hits = (
         aligned.join(near(bench.select("item", "iw").dropDuplicates(["item", "iw"])), "item")
-        .join(some.select("id", "x.words"), "id")
-        .select("id", "item", occurrences(F.col("words"), F.col("iw"), F.col("diagonals")).alias("hit")).filter(F.size("hit") > 0)
-        .groupBy("id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
+        .join(some, key)
+        .select(*key, "item", occurrences(F.col("words"), F.col("iw"), F.col("diagonals")).alias("hit")).filter(F.size("hit") > 0)
+        .groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
     )
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     nothing = F.array().cast("array<string>")
     return (
-        found.select("id", "x.n_words").join(hits, "id", "left")
+        found.select("id", *key, "x.n_words").join(hits, key, "left")
         .select(
             F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(F.coalesce("items", nothing)).cast("long").alias("n_items"),
             F.sha2(F.array_join(F.coalesce("items", nothing), ","), 256).alias("items_sha256"),
