@@ -42,14 +42,16 @@ def pick(sample: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return sorted(set(out))
 
 
-def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 8, sample_per_range: int = 48) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 8, sample_per_range: int = 48, rows_per_range: int = 1_000_000) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard.
 
     law is `bytes`: shards differ by at most a large row or WHOLE of a shard.
     size: UTF-8 bytes plus 8; a null text has size 8 and the crc32 of no bytes.
     Equal texts share a shard unless together they exceed WHOLE of one. Slots are
     gapless from 0; rows that repeat id and text get neighbouring slots in either
-    order. Ids must be integers; a null id sorts first. Empty input, no rows.
+    order. Ids must be integers; a null id sorts first. Empty input, no rows. Only
+    the two named columns are read. There are ranges_per_shard ranges a shard, and
+    so many that each, sorted by one task, has about rows_per_range rows at most.
     """
     spark = docs.sparkSession
     base = materialise(
@@ -58,8 +60,8 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
         "sizes",
     )
     point = F.struct("key", F.coalesce("id", F.lit(-(1 << 63) + 1)).alias("id"))
-    total = base.agg(F.sum("size")).first()[0] or 0
-    n = shards * ranges_per_shard
+    total, count = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    n = max(shards * ranges_per_shard, -(-count // rows_per_range))
     chance = (F.pmod(F.xxhash64("id", "key", F.lit(77)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
 
     def sample(rows: DataFrame, rate: float) -> list[tuple[int, int]]:
