@@ -21,7 +21,9 @@ from textloom.llm.common import forget, materialise, scratch
 
 STEP = 64
 BLOCK = 1 << 18
-IDS = "part long, seq long, id long, part_start long, n long, ids binary"
+#: Stands for a null id in the files: it sorts first.
+NO_ID = -(1 << 63)
+IDS = "id long, n long, ids binary"
 BLOCKS = "part long, block long, doc_ids binary, doc_starts binary, doc_lengths binary, checkpoints binary, n long, bits binary"
 
 
@@ -109,28 +111,24 @@ def decode_block(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.n
     return out.reshape(-1)[:n]
 
 
-def tokenise(docs: DataFrame, id_col: str, text_col: str, tokenizer_json: str, end_id: int, parts: int) -> DataFrame:
-    """Ids of each document, in ascending id order within and over the parts."""
+def tokenise(docs: DataFrame, id_col: str, text_col: str, tokenizer_json: str, end_id: int) -> DataFrame:
+    """Ids of each document, encoded where its text is read; 16-bit ones as such."""
     shipped = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
         from textloom.llm.tokens import batches, encoder
 
-        enc, part, at, seq = encoder(shipped.value), TaskContext.get().partitionId(), 0, 0
+        enc = encoder(shipped.value)
         for frame in frames:
             ids = iter(frame["id"].tolist())
             for texts in batches(frame["text"].tolist()):
                 rows = []
                 for got in enc.encode(texts):
                     got = np.append(got, np.uint32(end_id)).astype("<u4")
-                    rows.append((part, seq, next(ids), at, len(got), (got.astype("<u2") if got.max() < 1 << 16 else got).tobytes()))
-                    at, seq = at + len(got), seq + 1
-                yield pd.DataFrame(rows, columns=["part", "seq", "id", "part_start", "n", "ids"])
+                    rows.append((next(ids), len(got), (got.astype("<u2") if got.max() < 1 << 16 else got).tobytes()))
+                yield pd.DataFrame(rows, columns=["id", "n", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInPandas(run, IDS)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, IDS)
 
 
 def unpack(raw: bytes, n: int) -> np.ndarray:
@@ -161,7 +159,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str =
     """
     spark = docs.sparkSession
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    ids = materialise(tokenise(docs, id_col, text_col, tokenizer_json, end_id, parts), "ids")
+    ids = materialise(tokenise(docs, id_col, text_col, tokenizer_json, end_id), "ids")
     counted = count_ids(ids)
     counts = np.zeros(max(counted, default=0) + 1, np.int64)
     for t, c in counted.items():
@@ -170,33 +168,35 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str =
     shipped = spark.sparkContext.broadcast(lengths)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = shipped.value
+        from pyspark import TaskContext
+
+        size, part = shipped.value, TaskContext.get().partitionId()
         of = codes(size)
         held: list[tuple] = []
+        number = at = n = 0
 
         def block() -> pd.DataFrame:
-            symbols = np.concatenate([unpack(r[5], r[4]) for r in held])
+            symbols = np.concatenate([unpack(raw, many) for _, many, raw in held])
             bits, checkpoints = encode_block(symbols, of, size)
-            cols = [np.array([r[k] for r in held], "<i8").tobytes() for k in (2, 3, 4)]
-            row = (held[0][0], held[0][1], *cols, checkpoints.tobytes(), len(symbols), bits)
+            ids, sizes = (np.array([r[k] for r in held], "<i8") for k in (0, 1))
+            starts = at - n + np.cumsum(sizes) - sizes
+            row = (part, number, ids.tobytes(), starts.astype("<i8").tobytes(), sizes.tobytes(), checkpoints.tobytes(), len(symbols), bits)
             held.clear()
             return pd.DataFrame([row], columns=["part", "block", "doc_ids", "doc_starts", "doc_lengths", "checkpoints", "n", "bits"])
 
-        n = 0
         for frame in frames:
             for row in frame.itertuples(index=False, name=None):
-                if held and (row[0] != held[-1][0] or row[1] != held[-1][1] + 1 or n >= BLOCK):
-                    yield block()
-                    n = 0
                 held.append(row)
-                n += row[4]
+                at, n = at + row[1], n + row[1]
+                if n >= BLOCK:
+                    yield block()
+                    number, n = number + 1, 0
         if held:
             yield block()
 
-    filled = ids.withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))
-    filled.mapInPandas(run, BLOCKS).write.parquet(f"{path}/blocks")
+    ids.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInPandas(run, BLOCKS).write.parquet(f"{path}/blocks")
     starts, at = [], 0
-    for part, n in sorted(ids.groupBy("part").agg(F.sum("n")).collect()):
+    for part, n in sorted(spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n")).collect()):
         starts.append((part, at))
         at += n
     spark.createDataFrame(starts, "part long, start long").coalesce(1).write.parquet(f"{path}/parts")
@@ -220,7 +220,7 @@ def read_tokens(spark, path: str) -> DataFrame:
 
     rows = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInPandas(run, "part long, id long, part_start long, n long, crc long")
     parts = spark.read.schema("part long, start long").parquet(f"{path}/parts")
-    return rows.join(F.broadcast(parts), "part").select(F.nullif("id", F.lit(-(1 << 63))).alias("id"), (F.col("part_start") + F.col("start")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    return rows.join(F.broadcast(parts), "part").select(F.nullif("id", F.lit(NO_ID)).alias("id"), (F.col("part_start") + F.col("start")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
 def round_trip(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
