@@ -43,7 +43,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), doubling=True)
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

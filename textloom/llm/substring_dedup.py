@@ -20,14 +20,14 @@ Anchors keep the rows that Spark groups to about one for every 70 bytes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SpanHasher, bit_filter, forget, materialise, might_contain
+from textloom.llm.common import SpanHasher, bit_filter, forget, materialise, might_contain, spread_join
 
 LENGTH, GRAM = 200, 64
 PLACE = 20
@@ -35,26 +35,26 @@ CHUNK = 1 << PLACE
 hasher = SpanHasher()
 
 
-def anchors(prefix: np.ndarray, n: int, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window) of each run of windows with one anchor, over n bytes."""
-    found = []
+def pieces(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, hash prefix, anchor, first window, last window) of pieces of a text; anchors and windows count from the piece's place.
+
+    Each has at most CHUNK bytes, so that the arrays of a very long text stay small.
+    """
     per = length - gram + 1
-    for base in range(0, max(0, n - length + 1), CHUNK - length):
-        windows = min(CHUNK - length, n - length + 1 - base)
-        at = np.arange(base, base + windows + per - 1)
-        value = hasher.spans(prefix, at, at + gram) >> np.uint64(PLACE) << np.uint64(PLACE) | (at - base).astype(np.uint64)
+    for base in range(0, max(0, len(data) - length + 1), CHUNK - length):
+        windows = min(CHUNK - length, len(data) - length + 1 - base)
+        prefix = hasher.prefix(data[base : base + windows + length - 1])
+        at = np.arange(windows + per - 1)
+        value = hasher.spans(prefix, at, at + gram) >> np.uint64(PLACE) << np.uint64(PLACE) | at.astype(np.uint64)
         size = 1
         while size * 2 <= per:
             value = np.minimum(value[:-size], value[size:])
             size *= 2
         if rest := per - size:
             value = np.minimum(value[:-rest], value[rest:])
-        anchor = (value & np.uint64(CHUNK - 1)).astype(np.int64) + base
+        anchor = (value & np.uint64(CHUNK - 1)).astype(np.int64)
         heads = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        found.append((anchor[heads], heads + base, np.r_[heads[1:], windows] - 1 + base))
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
+        yield base, prefix, anchor[heads], heads, np.r_[heads[1:], windows] - 1
 
 
 def raw(text: str | None) -> np.ndarray:
@@ -72,33 +72,41 @@ def rank_anchors(docs: DataFrame, length: int) -> DataFrame:
         for frame in frames:
             ids, ks, gs, fs = [], [], [], []
             for i, text in zip(frame["id"].tolist(), frame["text"].tolist(), strict=True):
-                data = raw(text)
-                if len(data) < length:
-                    continue
-                prefix = hasher.prefix(data)
-                at, first, last = anchors(prefix, len(data), length)
-                ids.append(np.full(len(at), i, np.int64))
-                ks.append(np.arange(len(at), dtype=np.int32))
-                gs.append(hasher.spans(prefix, at, at + GRAM))
-                fs.append(hasher.spans(prefix, first, last + length))
+                n = 0
+                for _, prefix, at, first, last in pieces(raw(text), length):
+                    ids.append(np.full(len(at), i, np.int64))
+                    ks.append(np.arange(n, n + len(at), dtype=np.int32))
+                    gs.append(hasher.spans(prefix, at, at + GRAM))
+                    fs.append(hasher.spans(prefix, first, last + length))
+                    n += len(at)
             if ids:
                 yield pd.DataFrame({"g": np.concatenate(gs).view(np.int64), "f": np.concatenate(fs).view(np.int64), "id": np.concatenate(ids), "k": np.concatenate(ks)})
 
     return docs.mapInPandas(run, "g long, f long, id long, k int")
 
 
+def chosen(data: np.ndarray, ks: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, hash prefix, first, last, which of ks) of the anchors `ks`, piece by piece; ks counts through the text."""
+    order = np.argsort(ks, kind="stable")
+    n = at = 0
+    for base, prefix, anchor, first, last in pieces(data, length):
+        end = at + int(np.searchsorted(ks[order[at:]], n + len(anchor)))
+        mine = order[at:end]
+        if len(mine):
+            yield base, prefix, first[ks[mine] - n], last[ks[mine] - n], mine
+        n, at = n + len(anchor), end
+
+
 def rank_windows(rows: DataFrame, length: int) -> DataFrame:
     """Single windows of the anchors `ks` of each text; `open` ones are still undecided."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i, text, ks, undecided in zip(frame["id"].tolist(), frame["text"].tolist(), frame["ks"].tolist(), frame["opens"].tolist(), strict=True):
-                data, ks = raw(text), np.asarray(ks, np.int64)
-                prefix = hasher.prefix(data)
-                _, first, last = anchors(prefix, len(data), length)
-                start = spread(first[ks], last[ks])
-                many = last[ks] - first[ks] + 1
-                yield pd.DataFrame({"h": hasher.spans(prefix, start, start + length).view(np.int64), "id": i, "start": start.astype(np.int32), "open": np.repeat(np.asarray(undecided, bool), many)})
+                undecided = np.asarray(undecided, bool)
+                for base, prefix, first, last, mine in chosen(raw(text), np.asarray(ks, np.int64), length):
+                    start = spread(first, last)
+                    yield pd.DataFrame({"h": hasher.spans(prefix, start, start + length).view(np.int64), "id": i, "start": (start + base).astype(np.int32), "open": np.repeat(undecided[mine], last - first + 1)})
 
     return rows.mapInPandas(run, "h long, id long, start int, open boolean")
 
@@ -111,14 +119,14 @@ def cut(rows: DataFrame, length: int) -> DataFrame:
             out = []
             for i, text, ks, starts in zip(frame["id"].tolist(), frame["text"].tolist(), frame["ks"].tolist(), frame["starts"].tolist(), strict=True):
                 data = raw(text)
+                edge = np.zeros(len(data) + 1, np.int32)
                 first = np.asarray(starts if starts is not None else [], np.int64)
-                last = first
-                if ks is not None and len(ks):
-                    _, a, b = anchors(hasher.prefix(data), len(data), length)
-                    first, last = np.r_[first, a[ks]], np.r_[last, b[ks]]
-                edge = np.zeros(len(data) + 1, np.int64)
                 np.add.at(edge, first, 1)
-                np.add.at(edge, last + length, -1)
+                np.add.at(edge, first + length, -1)
+                if ks is not None and len(ks):
+                    for base, _, first, last, _ in chosen(data, np.asarray(ks, np.int64), length):
+                        np.add.at(edge, first + base, 1)
+                        np.add.at(edge, last + base + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 runs = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
                 out.append((i, len(data), int(gone.sum()), runs, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
@@ -127,42 +135,99 @@ def cut(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInPandas(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, doubling: bool = False) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Bytes under any `length`-byte string that starts anywhere else too are removed,
     in every place. Texts shorter than that keep all; null counts as empty. Ids
-    must be unique integers: rows that repeat an id and its text count as two
-    texts; a null id keeps its text. Empty input, no rows.
+    must be integers: rows that repeat an id and its text count as two texts, and
+    so do rows without an id, which are told apart by their text. Empty input, no
+    rows; only the two named columns are read. With `doubling`, places are found by
+    prefix doubling over all positions under anchors that occur again.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ranks = materialise(rank_anchors(base.filter("id IS NOT NULL"), length), "ranks")
-    pairs = ranks.groupBy("g", "f").agg(F.count("*").alias("n"), F.min(F.struct("id", "k")).alias("at"))
-    pairs = materialise(pairs, "pairs")
-    grams = pairs.groupBy("g").agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("open")).filter("total > 1")
-    live = materialise(pairs.join(grams, "g").select("g", "f", "n", "at", "open"), "live")
-    forget(pairs)
-
-    words = bit_filter(live.filter("n > 1").select("f"), "f", 24).scalar()
-    again = ranks.filter(might_contain(words, F.col("f"), 24)).join(live.filter("n > 1").select("g", "f"), ["g", "f"]).groupBy("id").agg(F.collect_list("k").alias("ks"))
-    again = materialise(again, "again")
-    forget(ranks)
+    base = docs.select(F.col(id_col).cast("long").alias("given"), F.col(text_col).cast("string").alias("text"))
+    base = base.select("given", F.coalesce("given", F.xxhash64("text", F.lit("no id"))).alias("id"), "text")
+    ranks = materialise(rank_anchors(base.select("id", "text"), length), "ranks")
 
     def with_text(rows: DataFrame) -> DataFrame:
         """Joins texts by id; a fixed-size bitmap keeps the other texts out of the shuffle."""
         ids = bit_filter(rows.select("id"), "id", 22).scalar()
-        return base.filter(might_contain(ids, F.col("id"), 22)).join(rows, "id")
+        return base.select("id", "text").filter(might_contain(ids, F.col("id"), 22)).join(rows, "id")
 
-    asked = materialise(live.filter("open > 0").select("at.id", "at.k", (F.col("n") == 1).alias("open")).groupBy("id").agg(F.collect_list(F.struct("k", "open")).alias("x")).select("id", F.col("x.k").alias("ks"), F.col("x.open").alias("opens")), "asked")
-    windows = materialise(rank_windows(with_text(asked), length), "windows")
-    twice = windows.groupBy("h").agg(F.count("*").alias("c"), F.max("open").alias("open")).filter("c > 1 AND open").select("h")
-    singles = windows.filter("open").join(twice, "h").groupBy("id").agg(F.collect_list("start").alias("starts"))
-    found = materialise(again.join(singles, "id", "full_outer"), "found")
-    forget(windows)
+    if doubling:
+        found = doubled(ranks, with_text, length)
+    else:
+        found = grouped(ranks, with_text, length)
     ids = bit_filter(found.select("id"), "id", 22).scalar()
-    near = base.filter(F.coalesce(might_contain(ids, F.col("id"), 22), F.lit(False))).join(found.withColumn("hit", F.lit(True)), "id", "left")
-    far = base.filter(~F.coalesce(might_contain(ids, F.col("id"), 22), F.lit(False)))
-    plain = far.unionByName(near.filter("hit IS NULL").select("id", "text"))
+    met = F.coalesce(might_contain(ids, F.col("id"), 22), F.lit(False))
+    near = base.filter(met).join(found.withColumn("hit", F.lit(True)), "id", "left")
+    plain = base.filter(~met).unionByName(near.filter("hit IS NULL").select("given", "id", "text"))
     zero = F.lit(0).cast("long")
-    plain = plain.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-    return cut(near.filter("hit").select("id", "text", "ks", "starts"), length).unionByName(plain).withColumnRenamed("id", id_col)
+    plain = plain.select("given", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return cut(near.filter("hit").select(F.col("given").alias("id"), "text", "ks", "starts"), length).withColumnRenamed("id", "given").unionByName(plain).withColumnRenamed("given", id_col)
+
+
+def grouped(ranks: DataFrame, with_text: Callable[[DataFrame], DataFrame], length: int) -> DataFrame:
+    """(id, ks, starts): anchors all of whose windows occur again, and single windows that do."""
+    pairs = materialise(ranks.groupBy("g", "f").agg(F.count("*").alias("n"), F.min(F.struct("id", "k")).alias("at")), "pairs")
+    grams = pairs.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), F.count_if(F.col("n") == 1).alias("open")).filter("total > 1")
+    grams = materialise(grams.select("g", "rows", "open"), "grams")
+    live = materialise(spread_join(pairs, grams, ["g"], "rows", ["f"]).select("g", "f", "n", "at", "open"), "live")
+    forget(pairs)
+    forget(grams)
+
+    twice = materialise(live.filter("n > 1").select("g", "f", "n"), "twice")
+    words = bit_filter(twice.select("f"), "f", 24).scalar()
+    again = spread_join(ranks.filter(might_contain(words, F.col("f"), 24)), twice, ["g", "f"], "n", ["id", "k"])
+    again = materialise(again.groupBy("id").agg(F.collect_list("k").alias("ks")), "again")
+    forget(ranks)
+    forget(twice)
+
+    asked = live.filter("open > 0").select("at.id", "at.k", (F.col("n") == 1).alias("open")).groupBy("id").agg(F.collect_list(F.struct("k", "open")).alias("x"))
+    asked = materialise(asked.select("id", F.col("x.k").alias("ks"), F.col("x.open").alias("opens")), "asked")
+    forget(live)
+    windows = materialise(rank_windows(with_text(asked), length), "windows")
+    hits = materialise(windows.groupBy("h").agg(F.count("*").alias("c"), F.max("open").alias("open")).filter("c > 1 AND open").select("h", "c"), "hits")
+    singles = spread_join(windows.filter("open"), hits, ["h"], "c", ["id", "start"]).groupBy("id").agg(F.collect_list("start").alias("starts"))
+    found = materialise(again.join(singles, "id", "full_outer"), "found")
+    for done in (windows, hits, asked, again):
+        forget(done)
+    return found
+
+
+def doubled(ranks: DataFrame, with_text: Callable[[DataFrame], DataFrame], length: int) -> DataFrame:
+    """(id, ks, starts) by prefix doubling: names of GRAM bytes, then of pairs of names at growing offsets, until `length`.
+
+    In each round names that occur once drop out with their positions; the other
+    positions are sorted by name, paired with the one `offset` on, and named anew.
+    Positions start as those under windows of anchors that occur again.
+    """
+    many = ranks.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = spread_join(ranks.select("g", "id", "k"), materialise(many, "many"), ["g"], "n", ["id", "k"]).groupBy("id").agg(F.collect_list("k").alias("ks"))
+
+    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i, text, ks in zip(frame["id"].tolist(), frame["text"].tolist(), frame["ks"].tolist(), strict=True):
+                for base, prefix, first, last, _ in chosen(raw(text), np.asarray(ks, np.int64), length):
+                    at = np.unique(spread(first, last + length - GRAM))
+                    yield pd.DataFrame({"name": hasher.spans(prefix, at, at + GRAM).view(np.int64), "id": i, "at": (at + base).astype(np.int32)})
+
+    named = materialise(with_text(materialise(asked, "asked")).mapInPandas(grams, "name long, id long, at int").distinct(), "names")
+    forget(ranks)
+    size = GRAM
+    while True:
+        often = materialise(named.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+        kept = materialise(spread_join(named, often, ["name"], "n", ["id", "at"]).select("name", "id", "at").sortWithinPartitions("name"), "kept")
+        forget(named)
+        forget(often)
+        if size == length:
+            break
+        offset = min(size, length - size)
+        ahead = kept.select("id", (F.col("at") - offset).alias("at"), F.col("name").alias("then"))
+        named = materialise(kept.join(ahead, ["id", "at"]).select(F.xxhash64("name", "then").alias("name"), "id", "at"), "names")
+        forget(kept)
+        size += offset
+    none = F.lit(None).cast("array<int>")
+    found = materialise(kept.groupBy("id").agg(F.collect_list("at").alias("starts")).select("id", none.alias("ks"), "starts"), "found")
+    forget(kept)
+    return found
