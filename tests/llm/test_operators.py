@@ -256,6 +256,44 @@ def test_substring_dedup_borders(spark):
     assert got == repeats(rows, 200)
 
 
+def test_substring_dedup_in_pieces_and_without_ids(spark, monkeypatch):
+    """Long texts go through in pieces; rows without an id count like others."""
+    monkeypatch.setattr(substring_dedup, "CHUNK", 1 << 10)
+    monkeypatch.setattr(substring_dedup, "PLACE", 10)
+    rng = random.Random(12)
+    shared = rnd_text(rng, 900, 10**6)
+    texts = [rnd_text(rng, 700, 10**6) + shared[a:] for a in (0, 100, 3000)] + [shared[50:900], rnd_text(rng, 300, 10**6), shared[:500], shared[:500], None]
+    rows = [(k if k != 3 and k < 5 else None, t) for k, t in enumerate(texts)]
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = repeats(list(enumerate(texts)), 200)
+    assert got == sorted((str(rows[k][0]), *x) for k, x in want.items())
+
+
+def test_pieces_cover_a_text(monkeypatch):
+    """Small pieces: every window once, in order, and equal windows have their anchor at the same place."""
+    monkeypatch.setattr(substring_dedup, "CHUNK", 1 << 10)
+    monkeypatch.setattr(substring_dedup, "PLACE", 10)
+    data = substring_dedup.raw(rnd_text(random.Random(1), 900, 60))
+    n, anchor = 0, {}
+    for base, prefix, at, first, last in substring_dedup.pieces(data, 200):
+        assert base + first[0] == n and (first[1:] == last[:-1] + 1).all() and len(prefix) <= (1 << 10) + 1
+        n = base + last[-1] + 1
+        for a, x, y in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
+            for s in range(x, y + 1):
+                assert anchor.setdefault(bytes(data[base + s : base + s + 200]), a - s) == a - s
+    assert n == len(data) - 199
+    ks = np.array([3, 0, 20, 7])
+    got = sorted((int(k), int(base + f)) for base, _, first, _, mine in substring_dedup.chosen(data, ks, 200) for f, k in zip(first, ks[mine], strict=True))
+    every = [base + f for base, _, _, first, _ in substring_dedup.pieces(data, 200) for f in first.tolist()]
+    assert got == sorted((int(k), every[k]) for k in ks)
+
+
+def test_prefix_doubling_finds_the_same(spark, docs, rows):
+    """The dealt method, which is too large for the check's limits, against brute force."""
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs.filter("length(text) < 50000 OR text IS NULL"), doubling=True).collect()}
+    assert got == repeats([r for r in rows if len(r[1] or "") < 50000], 200)
+
+
 def ids_of(texts):
     from tokenizers import Tokenizer
 

@@ -32,3 +32,20 @@ def test_run(spark, sf_dir):
     for r in got:
         lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
     assert lengths == {i: len(ids) + 1 for i, ids in zip(rows, ids_of(rows.values()), strict=True)}
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null texts and ids, repeated rows, an id with two texts, other columns; an empty table."""
+    long = " ".join(f"word{k}" for k in range(80))
+    item = " ".join(f"bench{k}" for k in range(20))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "der und nicht schön", "de"), (2, long, "en"), (2, long, "en"), (3, long + " end", None), (None, "a text without an id", None), (None, "a text without an id", None), (None, item, None), (5, None, None), (6, "", None), (7, "12 !", None), (8, item, "en"), (9, "first text of nine", "en"), (9, "second words for it", "en"), (10, "a text without an id", "en")]
+    spark.createDataFrame([(*r, "s", 1) for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r["doc_id"] or 0, r["length"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    size = {t: len(ids) + 1 for t, ids in zip([r[1] for r in rows], ids_of([r[1] for r in rows]), strict=True)}
+    want = [(1, rows[0][1]), (2, long), (9, rows[11][1]), (9, rows[12][1]), (10, "a text without an id")]
+    assert got == sorted((i, size[t]) for i, t in want)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -78,6 +78,21 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def row_hash(id_col: str, text_col: str = "text") -> Column:
+    """A hash of id and text, to tell rows apart that repeat an id or have none."""
+    return F.xxhash64(F.col(id_col), text_of(text_col))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose (id, row_hash) is not in gone; texts of other rows than these, or nearly so, aren't shuffled."""
+    gone = materialise(gone.select(F.col(id_col).alias("_gone"), F.col("row_hash").alias("_hash")).distinct(), "gone")
+    bits = min(26, max(12, (16 * gone.count()).bit_length()))
+    met = might_contain(bit_filter(gone.select("_hash"), "_hash", bits).scalar(), row_hash(id_col, text_col), bits)
+    near = docs.filter(met)
+    same = (row_hash(id_col, text_col) == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_gone"))
+    return docs.filter(~met).unionByName(near.join(gone, same, "left_anti"))
+
+
 def bit_words(keys: DataFrame, key: str, log2_bits: int) -> DataFrame:
     slot = F.pmod(F.col(key), F.lit(1 << log2_bits))
     return keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))

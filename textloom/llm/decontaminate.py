@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bit_filter, bit_literal, materialise, might_contain, text_of
+from textloom.llm.common import bit_filter, bit_literal, materialise, might_contain, row_hash, text_of
 
 #: Fixed by the contract: what lies between words, after A-Z are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,7 +54,7 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda x: F.xxhash64(x))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, k: int = 6, share: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, k: int = 6, share: int = 20, rows: bool = False) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A document word is hit if it lies in an occurrence of `window` consecutive
@@ -63,7 +63,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     never contaminated; such items match nothing; items of equal text count each.
     Documents are told apart by id and text, so rows that repeat an id, and rows
     without one, are judged each by its own text. An empty benchmark gives clean
-    documents, no documents no rows. Columns not named are not read.
+    documents, no documents no rows. Columns not named are not read. With `rows`,
+    a hash of id and text follows, to tell rows apart.
     """
     w = window - k + 1
     bench = items.select(F.col(item_col).cast("string").alias("item"), words_of(text_of(item_text_col)).alias("iw")).filter(F.size("iw") > 0)
@@ -99,7 +100,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
     key = ["k", "t"]  # k: the id with null as "", t: hash of id and text
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k"), F.xxhash64(F.col(id_col), text_of(text_col)).alias("t"), words_of(text_of(text_col)).alias("words"))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k"), row_hash(id_col, text_col).alias("t"), words_of(text_of(text_col)).alias("words"))
     found = base.select("id", *key, let(F.col("words"), lambda ws: let(let(word_hashes(ws), candidates), lambda c: F.struct(F.size(ws).cast("long").alias("n_words"), c.alias("c"), F.when(F.size(c) > 0, ws).alias("words")))).alias("x"))
     found = materialise(found, "candidates")
 
@@ -138,7 +139,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         .select(
             F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(F.coalesce("items", nothing)).cast("long").alias("n_items"),
             F.sha2(F.array_join(F.coalesce("items", nothing), ","), 256).alias("items_sha256"),
-            ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+            ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), *([F.col("t").alias("row_hash")] if rows else []),
         )
     )
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bit_filter, forget, materialise, might_contain, mix, spread_join
+from textloom.llm.common import bit_filter, forget, materialise, might_contain, mix, row_hash, spread_join
 from textloom.llm.components import components
 
 ROWS, BANDS = 4, 30
@@ -136,10 +136,10 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     rows = zip((hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in some), sketches.tolist(), bands.tolist(), strict=True)
                 out = [(i, len(s), *(next(rows) if len(s) else (None, None, None))) for i, s in zip(ids[at : at + len(texts)], sets, strict=True)]
                 at += len(texts)
-                yield pd.DataFrame(out, columns=["id", "n", "cls", "sketch", "bands"])
+                yield pd.DataFrame(out, columns=["id", "n", "cls", "sketch", "bands"]).assign(row_hash=frame["row_hash"].to_numpy()[at - len(texts) : at])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "id long, n long, cls binary, sketch array<long>, bands array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row_hash", row_hash("id", "text"))
+    return rows.mapInPandas(run, "id long, n long, cls binary, sketch array<long>, bands array<long>, row_hash long")
 
 
 def likely(x: str, y: str, floor: float) -> Column:
@@ -236,7 +236,7 @@ def link_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+    """One row per input row: id, n_shingles, component_id, kept, row_hash (of id and text).
 
     Texts without words (null ones too) have no shingles and stay alone; a text
     of one to four words is one shingle. component_id is the smallest id that
@@ -296,5 +296,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = reps.select("cls", F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("label", "rep").alias("component_id"))
     for done in (members, about, texts):
         forget(done)
-    out = signed.select("id", "n", "cls").join(classes, "cls", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = signed.select("id", "n", "cls", "row_hash").join(classes, "cls", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), "row_hash")
