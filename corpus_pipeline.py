@@ -7,36 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontaminate, exact_dedup, language, near_dedup, packing
-from textloom.llm.common import forget, materialise, table
+from textloom.llm.common import forget_all, materialise, table, without
 from textloom.llm.queries import tokenizer
 
 #: DuckDB SQL for the rows of run(): none, as language ID, MinHash and packing can't be said in SQL.
 ORACLE_SQL: str | None = None
 
-
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among ids, with the columns of docs."""
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+# Rows are told apart by doc_id and text: rows without a doc_id, and rows that repeat one with another text, go through
+# every stage by their own text. Near-dedup needs ids to name documents: rows without one stay there, and rows
+# that share one are judged together. A null text counts as empty. No documents give no rows.
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no language (null, empty, without letters) go; mixed ones stay."""
-    return only(docs, language.identify(docs).filter("lang_pred <> 'und'").select("doc_id"))
+    return language.identify(docs, carry=True).filter("lang_pred <> 'und'").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return only(docs, exact_dedup.exact_dedup(docs).filter("kept").select("doc_id"))
+    """Of equal texts one row with the largest doc_id stays."""
+    return exact_dedup.distinct_texts(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id stays."""
-    return only(docs, near_dedup.near_dedup(docs).filter("kept").select("doc_id"))
+    return without(docs, near_dedup.near_dedup(docs).filter("NOT kept AND doc_id IS NOT NULL"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    return only(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("NOT contaminated").select("doc_id"))
+    return without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), rows=True).filter("contaminated"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        written = materialise(stage(spark, docs, sf_dir), name)
-        forget(docs)
-        docs = written
+        docs = materialise(stage(spark, docs, sf_dir), name)
+        forget_all(spark, docs)  # the stage's own intermediate tables, and the one before
     return STAGES[-1][1](spark, docs, sf_dir)
