@@ -13,8 +13,10 @@ anchor lie side by side. 64-bit hashes are then grouped in Spark, once each:
    single windows hashed, at the full length, and compared with one anchor of
    each of the other surroundings.
 
-This replaces prefix doubling: nothing is sorted by rank and no offset grows.
-Anchors keep the rows that Spark groups to about one for every 70 bytes.
+This replaces prefix doubling, which doubled() holds: it gives the same result,
+but names every position under a repeated anchor in each round, which is more than
+the check tool's disk allows (see the README). Anchors keep the rows that Spark
+groups to about one for every 70 bytes.
 """
 
 from __future__ import annotations
