@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -18,8 +20,14 @@ ABBREVIATIONS = frozenset(
 )
 LEAST = 15
 LETTER = re.compile(r"[^\W\d_]")
-#: A boundary: a terminator with the closers behind it, before white space or the end; or a line's end.
-BOUNDARY = re.compile(rf"[{re.escape(ENDS)}][{re.escape(ENDS + CLOSERS)}]*(?=\s|\Z)|\n[\r\n]*")
+_END, _RUN = re.escape(ENDS), f"[{re.escape(ENDS + CLOSERS)}]*"
+#: Each terminator that only terminators and closers part from white space or the end (of dots in a row the last), and each line's end.
+EVENT = re.compile(rf"(?:\.(?!\.)|[{_END.replace(re.escape('.'), '', 1)}])(?={_RUN}(?:\s|\Z))|\n")
+TAIL = re.compile(_RUN)
+BREAK = re.compile(r"[\r\n]*")
+ENDED = re.compile(rf"[{_END}][{re.escape(CLOSERS)}]*\Z")
+#: Quotation marks as (opening, closing); equal ones take turns.
+QUOTES = (('"', '"'), ("“", "”"), ("‘", "’"))
 
 
 @F.pandas_udf(T.StringType())
@@ -27,67 +35,55 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def quoted(text: str) -> list[tuple[int, int]]:
-    """Insides of quotations, of each kind of quote that is balanced."""
-    spans = []
-    for left, right in (('"', '"'), ("“", "”"), ("‘", "’")):
-        if left == right:
-            at = [m.start() for m in re.finditer(left, text)]
-            pairs = zip(at[::2], at[1::2], strict=False) if len(at) % 2 == 0 else ()
-        else:
-            opens, closes = ([m.start() for m in re.finditer(q, text)] for q in (left, right))
-            pairs = zip(opens, closes, strict=True) if len(opens) == len(closes) else ()
-        spans += [(a, b) for a, b in pairs if a < b]
-    return spans
-
-
-def abbreviated(text: str, dot: int) -> bool:
-    """Whether the word before this full stop is an abbreviation or an initial."""
-    word = re.search(r"\S*\Z", text[max(0, dot - 64) : dot])[0]
-    if len(word) == 1 and word.isascii() and word.isalpha():
+def quotations(text: str) -> list[tuple[list[int], list[int]]]:
+    """Places of the opening and the closing marks, for each kind whose marks are balanced."""
+    found = []
+    for left, right in QUOTES:
+        marks = {q: [m.start() for m in re.finditer(q, text)] for q in (left, right)}
+        opens, closes = (marks[left][::2], marks[left][1::2]) if left == right else (marks[left], marks[right])
+        if opens and len(opens) == len(closes):
+            found.append((opens, closes))
+    return found
+
+
+def no_end(text: str, at: int, marks: list[tuple[list[int], list[int]]]) -> bool:
+    """Whether the terminator at this place ends no sentence: more quotations are open than closed there, or it belongs to an abbreviation or initial."""
+    if any(bisect_left(opens, at) > bisect_left(closes, at) for opens, closes in marks):
         return True
+    if text[at] != ".":
+        return False
+    word = re.search(r"\S*\Z", text[max(0, at - 64) : at])[0]
+    if len(word) == 1:
+        return word.isascii() and word.isalpha()
     return any(word in (a, a.replace(".", "")) or word.endswith(f".{a}") for a in ABBREVIATIONS)
 
 
 def split_sentences(text: str | None) -> list[str]:
-    """Sentences by rule; see BOUNDARY. Quotations, decimals, abbreviations and inner dots don't end one.
+    """Sentences by rule. Quotations, abbreviations and inner dots don't end one; a line's end always does.
 
-    A piece without a letter, or a short one without a terminator, joins the one
-    before it (the first joins the second).
+    Every piece gets the number of its sentence: one without a letter, or a short
+    one without a terminator, the number of the piece before. What is then the
+    first sentence, if it is such itself, goes with the second.
     """
-    if not text or not text.strip():
-        return []
-    spans = quoted(text)
-    pieces: list[str] = []
-    start = at = 0
-    while m := BOUNDARY.search(text, at):
-        i = m.start()
-        if text[i] != "\n":
-            stays = any(a < i < b for a, b in spans)
-            if text[i] == ".":
-                stays = stays or text[i + 1 : i + 2] == "." or abbreviated(text, i)
-                stays = stays or (i > 0 and text[i - 1].isdigit() and text[i + 1 : i + 2].isdigit())
-            if stays:
-                at = i + 1
-                continue
-            pieces.append(text[start : m.end()])
-        else:
-            pieces.append(text[start:i])
-        start = at = m.end()
-    pieces = [p for p in (x.strip() for x in [*pieces, text[start:]]) if p]
-
-    def fragment(p: str) -> bool:
-        return not LETTER.search(p) or (p.rstrip(CLOSERS)[-1:] not in tuple(ENDS) and len(p) < LEAST)
-
-    out: list[str] = []
-    for p in pieces:
-        if out and fragment(p):
-            out[-1] += f" {p}"
-        else:
-            out.append(p)
-    if len(out) > 1 and fragment(out[0]):
-        out[:2] = [f"{out[0]} {out[1]}"]
-    return [" ".join(s.split()) for s in out]
+    text = text or ""
+    marks, pieces, start = quotations(text), [], 0
+    for event in EVENT.finditer(text):
+        at = event.start()
+        if at < start or text[at] != "\n" and no_end(text, at, marks):
+            continue
+        end = at if text[at] == "\n" else TAIL.match(text, at).end()
+        pieces.append(text[start:end].strip())
+        start = BREAK.match(text, at).end() if text[at] == "\n" else end
+    pieces = [p for p in (*pieces, text[start:].strip()) if p]
+
+    def whole(piece: str) -> bool:
+        return bool(LETTER.search(piece)) and (len(piece) >= LEAST or bool(ENDED.search(piece)))
+
+    number = accumulate(map(whole, pieces[1:]), initial=0)
+    found = [" ".join(p for _, p in group) for _, group in groupby(zip(number, pieces, strict=True) if pieces else (), key=lambda x: x[0])]
+    if len(found) > 1 and not whole(found[0]):
+        found = [f"{found[0]} {found[1]}", *found[2:]]
+    return [" ".join(s.split()) for s in found]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
