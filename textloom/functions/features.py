@@ -67,7 +67,7 @@ def feature_table(df: DataFrame, text: str = "text", keys: list[str] | None = No
     base = base.select("*", F.transform("_w", lambda x: tx.stem(x, stems)).alias("_st"), mattr(F.col("_w")).alias("mattr"), ttr(F.col("_w")).alias("ttr"))
     w, n = F.col("_w"), F.size("_w")
     m = mean(F.col("_s"))
-    spread = F.sqrt(mean(F.transform("_s", lambda x: (x - m) * (x - m))))
+    spread = tx.let(m, lambda mu: F.sqrt(mean(F.transform("_s", lambda x: (x - mu) * (x - mu)))))
     return base.select(
         *keys, "ttr", "mattr", ttr(F.col("_st")).alias("stem_ttr"), herdan_c(w).alias("herdan_c"), share(F.col("ttr"), F.col("mattr")).alias("ttr_inflation"),
         ngram_diversity(w, 2).alias("bigram_diversity"), ngram_diversity(w, 3).alias("trigram_diversity"), avg_word_length(w).alias("avg_word_length"), m.alias("avg_sentence_length"), spread.alias("sentence_length_sd"),

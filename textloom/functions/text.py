@@ -23,7 +23,7 @@ MARKUP = [
     r"\[\[[^\]]*\]\]",
     r"\{\{[^}]*\}\}",
     rf"(?iU){EDGE_L}(?:File|Image)[{WS}]*:[{WS}]*[^{WS}]+",
-    rf"(?iU)[^{WS}]+\.(?:jpg|jpeg|png|gif|svg|ogg|webp){EDGE_R}",
+    rf"(?iU)(?<![^{WS}])[^{WS}]+\.(?:jpg|jpeg|png|gif|svg|ogg|webp){EDGE_R}",
     rf"(?iU){EDGE_L}link[{WS}]*=[{WS}]*[^{WS}]*",
     rf"(?iU){EDGE_L}(?:thumb|thumbnail|right|left|frameless|frame|upright){EDGE_R}",
 ]
