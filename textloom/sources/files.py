@@ -4,19 +4,33 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.operators.ranking import keep_last
+from textloom.sources.jsonl import line_order
 
 #: Column names of the domains' sources.
 RENAMES = {"news": {"Headline": "title", "News Content": "human_text"}, "wikipedia": {"text": "human_text"}, "social_media": {"Message": "caption"}}
 
 
 def positional_key(df: DataFrame, name: str = "source_id") -> DataFrame:
-    """Row position in the whole source, as text; rows keep the order of files and lines."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` string"
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], str(x[1]))), schema)
+    """Row position in the whole source, as text: files by path, then lines; partitions in order where there are no files.
+
+    Rows are counted for each split, and a split's rows numbered by their growing
+    ids, so no task sees more than its own rows.
+    """
+    try:
+        split = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+    except AnalysisException:
+        split = df.select("*", F.lit("").alias("_path"), F.spark_partition_id().cast("long").alias("_block"))
+    rows = split.withColumn("_line", F.monotonically_increasing_id())
+    sizes = rows.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_line").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_path", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_path", "_block", "_first", before.alias("_before"))
+    return rows.join(F.broadcast(sizes), ["_path", "_block"]).withColumn(name, (F.col("_before") + F.col("_line") - F.col("_first")).cast("string")).select(*df.columns, name)
 
 
 def read_source(spark: SparkSession, path: str, domain: str | None = None, format: str | None = None) -> DataFrame:
@@ -39,8 +53,8 @@ def read_source(spark: SparkSession, path: str, domain: str | None = None, forma
         df = spark.createDataFrame(pd.read_excel(path))
     else:
         raise ValueError(f"unknown source format: {path}")
-    df = df.withColumnsRenamed(RENAMES.get(domain or "", {}))
-    return df.withColumn("source_id", F.col("source_id").cast("string")) if "source_id" in df.columns else positional_key(df)
+    df = df.withColumn("source_id", F.col("source_id").cast("string")) if "source_id" in df.columns else positional_key(df)
+    return df.withColumnsRenamed(RENAMES.get(domain or "", {}))
 
 
 def needed_rows(source: DataFrame, ids: DataFrame) -> DataFrame:
@@ -57,7 +71,7 @@ def lookup(ids: DataFrame, source: DataFrame, text: str) -> DataFrame:
 
 def read_runs(spark: SparkSession, path: str, phase: str | None = None) -> DataFrame:
     """A run log in CSV: the last row of each run_id; the budget column as a map."""
-    log = spark.read.csv(path, header=True, inferSchema=True, escape='"').withColumn("pos", F.monotonically_increasing_id())
+    log = spark.read.csv(path, header=True, inferSchema=True, escape='"').withColumn("pos", line_order())
     log = keep_last(log, ["run_id"], [F.col("pos")])
     if "budget" in log.columns:
         log = log.withColumn("budget", F.from_json(F.col("budget").cast("string"), "map<string,int>"))

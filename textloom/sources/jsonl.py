@@ -19,9 +19,14 @@ def missing(c: Column, fields: list[str]) -> Column:
     return F.array_except(F.array(*map(F.lit, fields)), F.json_object_keys(c))
 
 
+def line_order() -> Column:
+    """Order of a file source's rows: files by path, then their splits, then lines (rows of a split have growing ids, whatever other splits its task reads)."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+
+
 def read_lines(spark: SparkSession, path: str, exclude: str | None = r"^(merged_|human_)") -> DataFrame:
     """Non-blank lines of *.jsonl files with file and position; files whose name matches `exclude` are left out."""
-    lines = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("pos"))
+    lines = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"), line_order().alias("pos"))
     lines = lines.filter(F.trim("value") != "")
     return (lines.filter(~F.col("file").rlike(exclude)) if exclude else lines).drop("_path")
 
