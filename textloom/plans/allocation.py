@@ -47,12 +47,13 @@ def split_70_15_15(spark, sf_dir):
     return allocation.three_way(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id").select("conv_id", "turn", "split")
 
 
-@query("SELECT lang AS held_out, d.doc_id FROM documents d WHERE doc_id % 5 = 0 UNION ALL SELECT l.lang, d.doc_id FROM documents d, (SELECT DISTINCT lang FROM documents) l WHERE d.lang <> l.lang AND d.doc_id % 5 = 1")
+@query("SELECT lang AS held_out, doc_id, 'test' AS part FROM documents UNION ALL SELECT l.lang, d.doc_id, 'seen' FROM documents d, (SELECT DISTINCT lang FROM documents) l WHERE d.lang <> l.lang")
 def leave_one_out(spark, sf_dir):
+    """A fold for each language: all its documents are test, all others are seen."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     folds = d.select(F.col("lang").alias("held_out")).distinct()
-    test = d.filter("doc_id % 5 = 0").select(F.col("lang").alias("held_out"), "doc_id")
-    return test.unionByName(d.filter("doc_id % 5 = 1").join(F.broadcast(folds), F.col("lang") != F.col("held_out")).select("held_out", "doc_id"))
+    test = d.select(F.col("lang").alias("held_out"), "doc_id", F.lit("test").alias("part"))
+    return test.unionByName(d.join(F.broadcast(folds), F.col("lang") != F.col("held_out")).select("held_out", "doc_id", F.lit("seen").alias("part")))
 
 
 _SPLIT = f"(SELECT c.conv_id, CASE role WHEN 'user' THEN 0 ELSE 1 END AS label, CASE WHEN turn % 4 = 3 THEN 'late' ELSE 'early' END AS domain, CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.85::DOUBLE) THEN 'dev' ELSE 'test' END AS split FROM conversations c JOIN {_GROUPS} USING (conv_id))"

@@ -51,11 +51,11 @@ def json_props(spark, sf_dir):
     return events(spark, sf_dir).select(F.explode(F.json_object_keys("props")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query("SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events p WHERE p.event_id < 5000 AND p.user_id = e.user_id AND p.event_type = e.event_type)")
+@query("SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND CAST(p.ts AS DATE) = CAST(e.ts AS DATE))")
 def resume_keys(spark, sf_dir):
-    """Rows whose key isn't done yet."""
-    e = events(spark, sf_dir).select("event_id", "user_id", "event_type")
-    return e.join(e.filter("event_id < 5000").select("user_id", "event_type").distinct(), ["user_id", "event_type"], "left_anti").select("event_id")
+    """Rows whose key (a user's day) isn't done yet: a purchase ends it."""
+    e = events(spark, sf_dir).select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
+    return e.join(e.filter("event_type = 'purchase'").select("user_id", "day").distinct(), ["user_id", "day"], "left_anti").select("event_id")
 
 
 @query("SELECT user_id, max(CASE WHEN event_type = 'click' THEN ts END) AS last_click, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY user_id")

@@ -59,6 +59,13 @@ def strip_categories(spark, sf_dir):
     return pages.select("page_id", F.col("html").rlike(r"Category[ \t]*:").alias("tagged"), quality.strip_categories(F.col("html")).alias("text"))
 
 
+@query("SELECT page_id, html AS text FROM pages")
+def strip_inserted_categories(spark, sf_dir):
+    """Tags put behind every page go again, and nothing else does."""
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", quality.strip_categories(F.concat("html", F.lit("\n\nCategory:Rivers\nCategory : Lakes"))).alias("text"))
+
+
 @query("SELECT o_orderkey, o_orderdate < TIMESTAMP '1996-01-01' AND o_orderpriority IS NOT NULL AS passed FROM orders")
 def date_cutoff_partition(spark, sf_dir):
     old, new = quality.date_partition(table(spark, sf_dir, "orders"), ["o_orderdate"], "1996-01-01")

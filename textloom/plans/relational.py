@@ -49,9 +49,9 @@ def pair_generator_propagate(spark, sf_dir):
     return pairs.propagate(c, "conv_id", F.col("role") == "user", "text", "first_user").select("conv_id", "turn", "role", "first_user")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def resume_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -143,13 +143,13 @@ def stable_sort_rank(spark, sf_dir):
     """A custom category order, then stable; the rank is global, by buckets."""
     order = F.array_position(F.array(*map(F.lit, ["fr", "en", "de"])), F.col("lang"))
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.when(order > 0, order).otherwise(4).alias("o"))
-    return ranking.global_rank(d, F.concat(F.col("o").cast("string"), F.col("source")), ["doc_id"], "rank", digits=6).select("doc_id", "rank")
+    return ranking.sorted_rank(d, ["o", "source", "doc_id"], "rank").select("doc_id", "rank")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY len(CAST(o_orderkey AS VARCHAR)), CAST(o_orderkey AS VARCHAR)) AS rank FROM orders")
 def sort_len_lex(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("s"))
-    return ranking.global_rank(o, F.concat(F.lpad(F.length("s").cast("string"), 2, "0"), F.col("s")), [], "rank", digits=4).select("o_orderkey", "rank")
+    return ranking.sorted_rank(o.withColumn("n", F.length("s")), ["n", "s"], "rank").select("o_orderkey", "rank")
 
 
 @query("SELECT feature, v FROM (SELECT lang || '/' || source AS feature, avg(n_chars) AS v FROM documents GROUP BY 1) ORDER BY abs(v) DESC, feature LIMIT 15")
