@@ -49,7 +49,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     A lost executor then costs one re-read and no re-computation.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.textloom_path = path  # type: ignore[attr-defined]
     return out
