@@ -47,8 +47,8 @@ _rng = np.random.default_rng(4711)
 FLIP = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 TURN = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 KEY = b"textloom shingle words"
-#: Words that a worker remembers, and the bytes of the longest: 100 MB at the worst.
-MEMO, LONGEST = 400_000, 48
+#: Words that a worker remembers, and the bytes of the longest: 50 MB at the worst.
+MEMO, LONGEST = 200_000, 48
 #: Bytes of a text that are split into words at once.
 PART = 1 << 22
 GAP = re.compile(rb"[\x20\x09-\x0D]")
