@@ -295,7 +295,7 @@ class Page:
         return [of[b.holder.place] for b in self.blocks]
 
     def ranked(self, top: int = TOP) -> list[tuple[int, str, float]]:
-        """The best container paths (number, path, score)."""
+        """The best container paths (number, path, score); of equal ones the first on the page."""
         worth = [0.0] * len(self.nodes)
         for b in self.blocks:
             worth[b.holder.place] += len(b.text) - 2 * b.linked
@@ -309,9 +309,8 @@ class Page:
                 best[node.pid] = max(best.get(node.pid, 0.0), score)
             else:
                 worth[up] += score
-        scores = sorted((s for s in best.values() if s > 0), reverse=True)[:top]
-        named = [(p, self.path(p), s) for p, s in best.items() if scores and s >= scores[-1]]
-        return sorted(named, key=lambda x: (-x[2], len(x[1]), x[1]))[:top]
+        leading = sorted(((p, s) for p, s in best.items() if s > 0), key=lambda x: (-x[1], x[0]))[:top]
+        return [(p, self.path(p), s) for p, s in leading]
 
     def around(self, won: list[Node]) -> set[int]:
         """Places of what the containers are parts of: the outermost article element around each, else main, else the nearest marked container with more text than links besides."""
