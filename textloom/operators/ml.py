@@ -32,30 +32,125 @@ def char_ngrams(c: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.transform(tx.words(c), lambda word: tx.let(F.concat(F.lit(" "), word, F.lit(" ")), lambda p: F.concat(*[of(p, n) for n in range(low, high + 1)]))))
 
 
-def tfidf(df: DataFrame, id_col: str, text: str, ngrams: tuple[int, ...] = (1, 2), min_df: int = 2, chars: bool = False, max_features: int | None = None) -> DataFrame:
-    """(id, term, weight): sublinear tf times smoothed idf, L2-normalised per row."""
-    n = df.count()
-    terms = df.select(id_col, F.explode(char_ngrams(F.col(text)) if chars else word_ngrams(F.col(text), ngrams)).alias("term"))
-    tf = terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    known = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).filter(F.col("df") >= min_df)
+def term_counts(df: DataFrame, id_col: str, text: str, ngrams: tuple[int, ...] = (1, 2), chars: bool = False) -> DataFrame:
+    """(id, term, tf) of word n-grams, or of character n-grams inside words, `ngrams` giving their least and largest length."""
+    terms = char_ngrams(F.col(text), min(ngrams), max(ngrams)) if chars else word_ngrams(F.col(text), ngrams)
+    return df.select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+
+
+def vocabulary(train: DataFrame, id_col: str, text: str, ngrams: tuple[int, ...] = (1, 2), min_df: int = 2, chars: bool = False, max_features: int | None = None) -> DataFrame:
+    """(term, idf) of the terms in at least min_df rows, the max_features most frequent of them (of equal ones the first by name)."""
+    known = term_counts(train, id_col, text, ngrams, chars).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).filter(F.col("df") >= min_df)
     if max_features:
         known = known.orderBy(F.desc("all"), "term").limit(max_features)
-    weighted = tf.join(known, "term").select(id_col, "term", ((1 + F.ln("tf")) * (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("v"))
+    return known.select("term", (F.ln((1 + F.lit(train.count())) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def weigh(df: DataFrame, id_col: str, text: str, known: DataFrame, ngrams: tuple[int, ...] = (1, 2), chars: bool = False) -> DataFrame:
+    """(id, term, weight, and what else `known` has): sublinear tf times idf, L2-normalised per row; rows without a known term have none."""
+    more = [c for c in known.columns if c not in ("term", "idf")]
+    rows = term_counts(df, id_col, text, ngrams, chars).join(known, "term").select(id_col, "term", *more, ((1 + F.ln("tf")) * F.col("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy(id_col)))
-    return weighted.select(id_col, "term", (F.col("v") / norm).alias("weight"))
+    return rows.select(id_col, "term", *more, (F.col("v") / norm).alias("weight"))
+
+
+def tfidf(df: DataFrame, id_col: str, text: str, ngrams: tuple[int, ...] = (1, 2), min_df: int = 2, chars: bool = False, max_features: int | None = None) -> DataFrame:
+    """(id, term, weight): sublinear tf times smoothed idf, L2-normalised per row."""
+    return weigh(df, id_col, text, vocabulary(df, id_col, text, ngrams, min_df, chars, max_features), ngrams, chars)
+
+
+def sparse(weights: DataFrame, id_col: str, size: int) -> DataFrame:
+    """(id, features): sparse vectors of the weights at places `at` below `size`."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    @F.udf(VectorUDT())
+    def vector(entries):
+        return SparseVector(size, [e["at"] for e in entries], [e["weight"] for e in entries])
+
+    return weights.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("e")).select(id_col, vector("e").alias("features"))
+
+
+#: The two kinds of terms, as (lengths, in how many rows at least, of characters).
+TERM_KINDS = {"word_1_2": ((1, 2), 2, False), "char_2_5": ((2, 5), 3, True)}
+MAX_FEATURES = 300_000
+
+
+def penalised(train: DataFrame, c: float, label: str = "label", max_iter: int = 100):
+    """L2 logistic regression of strength c on sparse, non-negative `features`, whose last, constant one is the intercept, penalised like the others.
+
+    Rows of label 0 are negated and become label 1, which leaves the loss as it is:
+    a feature that is the same in all rows would get no weight.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    @F.udf(VectorUDT())
+    def signed(v, y):
+        return v if y else SparseVector(v.size, v.indices, -v.values)
+
+    rows = train.select(signed("features", label).alias("features"), F.lit(1.0).alias("label")).persist()
+    try:
+        return LogisticRegression(regParam=1.0 / (c * rows.count()), standardization=False, fitIntercept=False, maxIter=max_iter).fit(rows)
+    finally:
+        rows.unpersist()
+
+
+def tfidf_experiment(df: DataFrame, key: str, text: str = "text", label: str = "label", split: str = "split", domain: str = "domain", kind: str = "word_1_2", grid: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)) -> tuple[dict, list[dict]]:
+    """Scores on test, and by domain, of the strength with the best macro-F1 on dev (of equal ones the first).
+
+    Vocabulary and idf are train's alone. A null text counts as empty; a row
+    without a known term has only the constant. Train must hold both classes.
+    """
+    from textloom.operators import stats
+
+    ngrams, min_df, chars = TERM_KINDS[kind]
+    rows = df.select(key, F.coalesce(text, F.lit("")).alias("text"), F.col(label).alias("label"), F.col(split).alias("split"), F.col(domain).alias("domain"))
+    train = rows.filter("split = 'train'")
+    if train.agg(F.count_distinct("label")).first()[0] != 2:
+        raise ValueError("training needs both classes")
+    known = vocabulary(train, key, "text", ngrams, min_df, chars, MAX_FEATURES)
+    # at most MAX_FEATURES rows are numbered, so one task may sort them
+    known = known.withColumn("at", F.row_number().over(W.orderBy("term")) - 1).persist()
+    try:
+        size = known.count()
+        found = weigh(rows, key, "text", known, ngrams, chars).select(key, "at", "weight")
+        constant = rows.select(key, F.lit(size).alias("at"), F.lit(1.0).alias("weight"))
+        vectors = sparse(found.unionByName(constant), key, size + 1)
+        v = rows.drop("text").join(vectors, key).persist()
+        try:
+            best = None
+            parts = {name: v.filter(F.col("split") == name) for name in ("train", "dev", "test")}
+            for c in grid:
+                model = penalised(parts["train"], c)
+                f1 = stats.scores(stats.confusion(predict(model, parts["dev"], ["label"]).withColumn("k", F.lit(1)), ["k"])).first()["macro_f1"]
+                if best is None or f1 > best[0]:
+                    best = (f1, c, model)
+            f1, c, model = best
+            scored = predict(model, parts["test"], ["label", "domain"]).withColumn("k", F.lit(1)).persist()
+            whole = stats.scores(stats.confusion(scored, ["k"])).first()
+            auc = stats.roc_auc(scored, [], "label", "score").first()["auc"]
+            by_domain = stats.scores(stats.confusion(scored, ["domain"])).orderBy("domain").collect()
+            scored.unpersist()
+        finally:
+            v.unpersist()
+    finally:
+        known.unpersist()
+    summary = {"features": kind, "n_terms": size, "c": c, "dev_macro_f1": f1, "test_macro_f1": whole["macro_f1"], "test_accuracy": whole["accuracy"], "test_roc_auc": auc}
+    return summary, [{"features": kind, "domain": r["domain"], "test_macro_f1": r["macro_f1"]} for r in by_domain]
 
 
 def logistic(train: DataFrame, features: list[str], label: str = "label", c: float = 1.0, max_iter: int = 200):
-    """Standardise, then L2 logistic regression with strength c as scikit-learn counts it."""
+    """Standardise (by population deviations), then L2 logistic regression with strength c as scikit-learn counts it."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    n = train.count()
+    n = max(train.count(), 1)
+    penalty = (n - 1) / (c * n * n)  # the scaler divides by sample deviations; (n - 1) / n makes up for it
     return Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep"),
         StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="_x", labelCol=label, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter),
+        LogisticRegression(featuresCol="_x", labelCol=label, regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=max_iter),
     ]).fit(train)
 
 
@@ -78,11 +173,13 @@ def grid_search(train: DataFrame, dev: DataFrame, features: list[str], label: st
     return best
 
 
-def hashed_tfidf(df: DataFrame, text: str = "text", chars: bool = False, size: int = 1 << 18, min_df: int = 2) -> DataFrame:
-    """Sparse TF-IDF vectors `features` by hashing, for linear models on many terms."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+def save_model(model, path: str) -> None:
+    """A fitted pipeline, in place of what is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    """A pipeline that save_model wrote."""
+    from pyspark.ml import PipelineModel
 
-    terms = df.withColumn("_terms", char_ngrams(F.col(text)) if chars else word_ngrams(F.col(text)))
-    stages = [HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=size), IDF(inputCol="_tf", outputCol="_idf", minDocFreq=min_df), Normalizer(inputCol="_idf", outputCol="features")]
-    return Pipeline(stages=stages).fit(terms).transform(terms).drop("_terms", "_tf", "_idf")
+    return PipelineModel.load(path)
