@@ -67,6 +67,11 @@ def latin_char_ratio(c: Column) -> Column:
     return F.when(F.length(c) > 0, F.regexp_count(c, F.lit("[A-Za-z]")) / F.length(c)).otherwise(0.0)
 
 
+def same_word_count(before: Column, after: Column) -> Column:
+    """Whether a rewrite has kept the number of words."""
+    return F.size(words(before)) == F.size(words(after))
+
+
 def strip_emoji(c: Column) -> Column:
     return F.regexp_replace(c, EMOJI, "")
 

@@ -202,3 +202,31 @@ def rollup_distinct(spark, sf_dir):
     return d.rollup("lang", "source").agg((F.grouping("lang") + 2 * F.grouping("source")).cast("long").alias("g"), F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
 
 
+def token_vectors(e):
+    """An embedding's 64 numbers as eight vectors of eight."""
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice(e, k * 8 + 1, F.lit(8)))
+
+
+@query(
+    "SELECT vec_id, dim, CAST(p / greatest(sqrt(sum(p * p) OVER (PARTITION BY vec_id)), 1e-9) AS DECIMAL(18,5)) AS value FROM "
+    "(SELECT vec_id, (i - 1) % 8 AS dim, sum(CAST(embedding[i] AS DOUBLE)) / (vec_id % 8 + 1) AS p FROM embeddings, range(1, 65) r(i) WHERE (i - 1) // 8 <= vec_id % 8 GROUP BY vec_id, (i - 1) % 8)"
+)
+def masked_mean_pool(spark, sf_dir):
+    """Mean of the first vec_id % 8 + 1 of eight token vectors, to unit length."""
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (k <= F.col("vec_id") % 8).cast("int"))
+    pooled = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(pairs.mean_pool(token_vectors(F.col("embedding")), mask)).alias("dim", "v"))
+    return pooled.select("vec_id", F.col("dim").cast("long").alias("dim"), dec("v", 5).alias("value"))
+
+
+@query(
+    "WITH t AS (SELECT vec_id, k, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-9)) AS u FROM (SELECT vec_id, k, CAST(embedding[8 * k + 1 : 8 * k + 8] AS DOUBLE[]) AS v FROM embeddings, range(8) r(k))), "
+    "m AS (SELECT a.vec_id AS a, x.k AS i, y.k AS j, list_dot_product(x.u, y.u) AS s FROM embeddings a JOIN t x ON x.vec_id = a.vec_id JOIN t y ON y.vec_id = a.vec_id + 1), "
+    "p AS (SELECT a, avg(s) AS v FROM (SELECT a, i, max(s) AS s FROM m GROUP BY a, i) GROUP BY a), r AS (SELECT a, avg(s) AS v FROM (SELECT a, j, max(s) AS s FROM m GROUP BY a, j) GROUP BY a) "
+    "SELECT a, CAST(2 * p.v * r.v / (p.v + r.v) AS DECIMAL(18,5)) AS f1 FROM p JOIN r USING (a)"
+)
+def token_match_f1(spark, sf_dir):
+    """Greedy token matching of each embedding's eight token vectors with the next one's."""
+    unit = F.transform(token_vectors(F.col("embedding")), pairs.normalised)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", unit.alias("u"))
+    both = e.select(F.col("vec_id").alias("a"), F.col("u").alias("x")).join(e.select((F.col("vec_id") - 1).alias("a"), F.col("u").alias("y")), "a")
+    return both.select("a", dec(pairs.greedy_f1(F.col("x"), F.col("y")), 5).alias("f1"))

@@ -207,3 +207,9 @@ def tfidf_weights(spark, sf_dir):
 
     v = tfidf(docs(spark, sf_dir), "doc_id", "text", ngrams=(1,), min_df=2)
     return v.groupBy("doc_id").agg(F.count("*").alias("terms"), dec(F.max("weight")).alias("top_weight"), dec(F.sum("weight"), 5).alias("total_weight"))
+
+
+@query(f"SELECT doc_id, len({SQL_WORDS}) = len(list_filter(regexp_split_to_array(regexp_replace(text, '\\d+', '', 'g'), '\\s+'), lambda x: x <> '')) AS same FROM documents")
+def word_count_preserved(spark, sf_dir):
+    """Whether a text without its digits has as many words."""
+    return docs(spark, sf_dir).select("doc_id", tx.same_word_count(F.col("text"), F.regexp_replace("text", r"\d+", "")).alias("same"))
