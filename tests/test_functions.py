@@ -1,13 +1,19 @@
 """Text functions and operators against plain Python statements of their rules."""
 
+import csv
 import itertools
 import json
 import math
 import random
 import re
 import statistics
+import time
 import unicodedata
+import urllib.error
+import urllib.request
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +200,73 @@ def test_tfidf(spark):
     assert df.filter("id = 2").select(ml.char_ngrams(F.col("t"), 2, 3)).first()[0] == [" a", "a ", " a ", " c", "c ", " c "]
 
 
+def newton(x, y, c, penalised):
+    """Weights of L2 logistic regression, sum of losses times c, by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve(c * (x.T * (p * (1 - p))) @ x + np.diag(penalised), c * x.T @ (p - y) + penalised * w)
+    return w
+
+
+def test_tfidf_experiment(spark):
+    """Scores and chosen strength equal a plain computation over dictionaries and a fit by Newton's method."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        label = k % 2
+        text = " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"] if rng.random() < 0.6 else (["xy", "xz"] if label else ["yx", "zx"])) for _ in range(rng.randint(1, 9)))
+        rows.append((k, None if k == 7 else text, label, ("train", "train", "dev", "test")[k // 2 % 4], "d" + str(k % 3)))
+    df = spark.createDataFrame(rows, "id int, text string, label int, split string, domain string")
+    summary, domains = ml.tfidf_experiment(df, "id")
+
+    def terms(text):
+        w = (text or "").split()
+        return Counter(w + [" ".join(p) for p in zip(w, w[1:], strict=False)])
+
+    train = [terms(r[1]) for r in rows if r[3] == "train"]
+    df_of = Counter(t for c in train for t in c)
+    known = sorted(t for t in df_of if df_of[t] >= 2)
+
+    def vector(text):
+        c = terms(text)
+        v = np.array([(1 + math.log(c[t])) * (math.log((1 + len(train)) / (1 + df_of[t])) + 1) if c[t] else 0.0 for t in known])
+        return np.append(v / (np.linalg.norm(v) or 1.0), 1.0)
+
+    def part(name):
+        return np.array([vector(r[1]) for r in rows if r[3] == name]), np.array([r[2] for r in rows if r[3] == name])
+
+    def macro_f1(y, p):
+        return sum(2 * ((y == k) & (p == k)).sum() / max(1, (y == k).sum() + (p == k).sum()) for k in (0, 1)) / 2
+
+    best = None
+    for c in (0.1, 1.0, 10.0, 100.0):
+        x, y = part("train")
+        w = newton(x, y, c, np.ones(x.shape[1]))
+        x, y = part("dev")
+        if best is None or macro_f1(y, x @ w > 0) > best[0]:
+            best = (macro_f1(y, x @ w > 0), c, w)
+    x, y = part("test")
+    assert summary["n_terms"] == len(known) and summary["c"] == best[1]
+    assert summary["dev_macro_f1"] == pytest.approx(best[0]) and summary["test_macro_f1"] == pytest.approx(macro_f1(y, x @ best[2] > 0))
+    s = x @ best[2]
+    auc = np.mean([(a > b) + (a == b) / 2 for a in s[y == 1] for b in s[y == 0]])
+    assert summary["test_roc_auc"] == pytest.approx(auc) and [d["domain"] for d in domains] == ["d0", "d1", "d2"]
+    with pytest.raises(ValueError):
+        ml.tfidf_experiment(df.filter("label = 1"), "id")
+
+
+def test_logistic(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 2)) * [3, 1] + [5, 0]
+    y = (x[:, 0] - 5 + rng.normal(size=50) > 0).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(k)) for (a, b), k in zip(x, y, strict=True)], "a double, b double, label int")
+    got = sorted((r["a"], r["score"]) for r in ml.predict(ml.logistic(df, ["a", "b"], c=1.0), df, ["a"]).collect())
+    z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(50)])
+    p = 1 / (1 + np.exp(-z @ newton(z, y, 1.0, np.array([1.0, 1.0, 0.0]))))
+    assert [s for _, s in got] == pytest.approx(list(p[np.argsort(x[:, 0])]), abs=1e-4)
+
+
 def test_jsonl(spark, tmp_path):
     full = dict.fromkeys(jsonl.FIELDS) | {"text_id": "t1", "label": 1, "domain": "d", "source_id": "s", "generation_mode": "m", "prompt_id": "p"}
     lines = [json.dumps(full), "", "  ", json.dumps({k: v for k, v in full.items() if k != "text"}), '{"text_id": "x", "so', json.dumps(full | {"text_id": "t2", "text": "ක"})]
@@ -246,6 +319,145 @@ def test_connectors(spark):
     assert dates["1"]["created"] and dates["7"]["last_modified"] is None and dates["x"]["created"] is None
 
 
+def test_http(monkeypatch):
+    """Retries, asked waits, the deadline against a dripping connection, keys, and typed errors, against a local server."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    seen = Counter()
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def send(self, state, body, **head):
+            self.send_response(state)
+            for k, v in head.items():
+                self.send_header(k.replace("_", "-"), v)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self):
+            seen[self.path] += 1
+            if self.path.startswith("/busy") and seen[self.path] == 1:
+                self.send(429, b"", Retry_After="9")
+            elif self.path.startswith("/busy") and seen[self.path] == 2:
+                self.send(200, b'{"error": {"code": "maxlag"}}')
+            elif self.path.startswith("/none"):
+                self.send(404, b"")
+            elif self.path.startswith("/drip"):
+                self.send_response(200)
+                self.end_headers()
+                try:
+                    for _ in range(100):
+                        self.wfile.write(b" ")
+                        time.sleep(0.05)
+                except OSError:
+                    pass
+            else:
+                self.send(200, b'{"a": 1}')
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            cut = asked["max_tokens"] < 16384
+            reply = {"choices": [{"message": {"content": None if asked["messages"][0]["content"] == "mute" else self.headers["Authorization"]}, "finish_reason": "length" if cut else "stop"}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}}
+            self.send(200, json.dumps(reply).encode())
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        waits = []
+        assert connectors.get_json(f"{base}/busy", {"q": "x y"}, sleep=waits.append) == {"a": 1} and waits == [9.0, 2.0]
+        with pytest.raises(urllib.error.HTTPError):
+            connectors.get_json(f"{base}/none", {})
+        began = time.monotonic()
+        with pytest.raises(connectors.DeadlineExceeded):
+            connectors.answer(urllib.request.Request(f"{base}/drip"), 0.4)
+        assert time.monotonic() - began < 3
+        client = connectors.ChatService(f"{base}/chat", "TEST_SERVICE_KEY")
+        monkeypatch.delenv("TEST_SERVICE_KEY", raising=False)
+        with pytest.raises(connectors.MissingKey):
+            client.complete("m", "p", 10)
+        monkeypatch.setenv("TEST_SERVICE_KEY", "k")
+        assert client.complete("m", "p", 8192) == connectors.Reply("Bearer k", 3, 4, True)
+        assert client.complete("m", "mute", 16384) == connectors.Reply(None, 3, 4, False)
+    finally:
+        server.shutdown()
+        server.server_close()
+    with pytest.raises(connectors.Retryable):
+        connectors.answer(urllib.request.Request(f"{base}/gone"), 1.0)
+
+
+def test_splits_and_sinks(spark, tmp_path):
+    def part(name, n):
+        rows = [(f"{name}{k}", f"{name}{k // 2}", k % 2, "ab"[k // 2 % 2], f"word {k}", name) for k in range(n)]
+        return spark.createDataFrame(rows, "text_id string, group string, label int, domain string, text string, source string").coalesce(1)
+
+    parts = {"train": part("t", 8), "validation": part("v", 4), "test": part("s", 4)}
+    whole = files.read_splits(parts, expected=16, sizes={"train": 8, "dev": 4, "test": 4}, unpunctuated="a")
+    want = [r["text_id"] for _, p in parts.items() for r in sorted(p.collect(), key=lambda r: (r["label"], r["domain"]))]
+    got = whole.collect()
+    assert [r["text_id"] for r in sorted(got, key=lambda r: r["pos"])] == want and {r["split"] for r in got} == {"train", "dev", "test"}
+    with pytest.raises(ValueError, match="size_dev: 1"):
+        files.require(whole, sizes={"dev": 5})
+    with pytest.raises(ValueError, match="punctuation: 1"):
+        files.require(whole.withColumn("text", F.when(F.col("text_id") == "t0", "a <LAT>.").otherwise("a <LAT>")), unpunctuated="a")
+    with pytest.raises(ValueError, match="row_count|pair_size"):
+        files.read_splits(parts | {"test": part("s", 3)}, expected=16)
+    with pytest.raises(FileNotFoundError):
+        files.read_corpus(spark, f"{tmp_path}/none")
+    whole.write.parquet(f"{tmp_path}/corpus")
+    assert files.read_corpus(spark, f"{tmp_path}/corpus", 16).count() == 16
+
+    log = lambda f: spark.createDataFrame([("r1", "p", f)], "run_id string, phase string, f double").coalesce(1)
+    for f in (0.1, 0.2):
+        files.append_csv(log(f), f"{tmp_path}/log")
+    assert spark.read.csv(f"{tmp_path}/log", header=True).count() == 2 and files.read_runs(spark, f"{tmp_path}/log").count() == 1
+    rejected = spark.createDataFrame([("1", 'පෙළ "x",\ny')], "source_id string, text string").coalesce(1)
+    files.write_rejected(rejected, f"{tmp_path}/rejected")
+    (file,) = (tmp_path / "rejected").glob("*.csv")
+    assert file.read_bytes().startswith(b"\xef\xbb\xbfsource_id")
+    with open(file, encoding="utf-8-sig", newline="") as f:
+        assert list(csv.reader(f)) == [["source_id", "text"], ["1", 'පෙළ "x",\ny']]
+    for run, pred in (("a|1", 0), ("b|1", 1), ("a|1", 1)):
+        files.write_predictions(spark.createDataFrame([(run, "t", pred)], "run_id string, text_id string, pred int"), f"{tmp_path}/preds")
+    assert sorted((r["run_id"], r["pred"]) for r in spark.read.parquet(f"{tmp_path}/preds").collect()) == [("a|1", 1), ("b|1", 1)]
+    cache = lambda **v: spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} string" for k in v)).coalesce(1)
+    jsonl.append_lines(cache(id="1", a="x"), f"{tmp_path}/lines")
+    jsonl.append_lines(cache(id="1", b=None), f"{tmp_path}/lines")
+    assert tuple(jsonl.merge_fields(jsonl.read_lines(spark, f"{tmp_path}/lines", None), "id", ["a", "b"]).first()) == ("1", "x", None)
+
+    state = lambda m, n: spark.createDataFrame([("d", m, n)], "domain string, model string, completed_count int")
+    for version, (m, n) in enumerate([("m", 1), ("n", 1), ("m", 5)]):
+        resume.upsert(state(m, n), f"{tmp_path}/progress", version)
+    resume.upsert(state("m", 6), f"{tmp_path}/progress", 2)
+    assert sorted((r["model"], r["completed_count"]) for r in resume.present(spark, f"{tmp_path}/progress", ["domain", "model"]).collect()) == [("m", 6), ("n", 1)]
+    points = spark.createDataFrame([(float(k), float(k % 7), k % 2) for k in range(20)], "a double, b double, label int")
+    ml.save_model(ml.logistic(points, ["a", "b"]), f"{tmp_path}/model")
+    assert ml.predict(ml.load_model(f"{tmp_path}/model"), points, ["a"]).count() == 20
+
+
+def test_cache_and_best_streams(spark, tmp_path):
+    ids = spark.createDataFrame([(str(k),) for k in range(30)], "id string")
+    ids.repartition(3).write.parquet(f"{tmp_path}/ids")
+    for more in (0, 1):
+        if more:
+            spark.createDataFrame([("1",), ("101",)], "id string").write.mode("append").parquet(f"{tmp_path}/ids")
+        stream = spark.readStream.schema(ids.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ids")
+        resume.fill_cache(stream, f"{tmp_path}/cache", f"{tmp_path}/c1", connectors.FakeHistory(), workers=2).awaitTermination()
+    got = [r["id"] for r in spark.read.parquet(f"{tmp_path}/cache").collect()]
+    assert len(got) == len(set(got)) == 31
+    runs = spark.createDataFrame([("m", 2, 0.5), ("m", 3, 0.7), ("m", 1, 0.7), ("n", 1, None), ("n", 2, 0.1)], "run string, epoch int, f double")
+    want = [("m", 0.7, 1), ("n", 0.1, 2)]
+    assert sorted(map(tuple, resume.running_best(runs, ["run"], "f", ["epoch"]).collect())) == want
+    runs.repartition(2).write.parquet(f"{tmp_path}/runs")
+    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/runs")
+    q = resume.running_best(stream, ["run"], "f", ["epoch"]).writeStream.outputMode("complete").format("memory").queryName("best").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("best").collect())) == want
+
+
 def test_streams(spark, sf_dir, tmp_path):
     """Streaming windows equal batch windows; a resumed stream adds nothing twice."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import allocation, pairs, quality, ranking, stats
+from textloom.operators import allocation, ml, pairs, quality, ranking, stats
 from textloom.sources import connectors, files, jsonl
-from textloom.streaming.resume import append_new, known
+from textloom.streaming.resume import append_new, known, upsert
 
 #: Which column holds a domain's human text.
 TEXT_FIELD = {"news": "human_text", "wikipedia": "human_text", "social_media": "caption"}
@@ -143,6 +143,11 @@ def progress(records: DataFrame, target: DataFrame, prices: dict[str, tuple[floa
     return out.withColumn("status", F.when(F.col("completed_count") >= F.col("target_count"), "done").when(F.col("completed_count") > 0, "in_progress").otherwise("not_started"))
 
 
+def record_progress(records: DataFrame, target: DataFrame, prices: dict[str, tuple[float, float]], path: str, version: int, failed: DataFrame | None = None) -> None:
+    """Writes the progress table under a version; resume.present(spark, path, ["domain", "model"]) shows the last one."""
+    upsert(progress(records, target, prices, failed), path, version)
+
+
 def merge(lines: DataFrame) -> dict[str, DataFrame]:
     """Valid records, invalid lines, counts by mode and generator, and texts that stand under several ids."""
     valid, invalid = jsonl.validate(lines)
@@ -202,6 +207,19 @@ def best_lr(runs: DataFrame, metric: str = "dev_macro_f1") -> DataFrame:
     return runs.groupBy("Model").agg(F.max_by("lr", F.struct(metric, -F.col("pos"))).alias("lr"), F.bround(F.max(metric), 4).alias(metric))
 
 
+def baselines(corpus: DataFrame, grid: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)) -> dict[str, DataFrame]:
+    """TF-IDF baselines on raw and normalised texts of a split corpus (text_id, text, domain, label, split): summary and scores by domain."""
+    spark, summary, domains = corpus.sparkSession, [], []
+    for name, text in {"raw": F.col("text"), "normalized": tx.normalise(F.col("text"))}.items():
+        rows = corpus.withColumn("text", text)
+        for kind in ml.TERM_KINDS:
+            whole, parts = ml.tfidf_experiment(rows, "text_id", kind=kind, grid=grid)
+            summary.append((name, *whole.values()))
+            domains += [(name, *p.values()) for p in parts]
+    kinds = "text string, features string, n_terms long, c double, dev_macro_f1 double, test_macro_f1 double, test_accuracy double, test_roc_auc double"
+    return {"summary": spark.createDataFrame(summary, kinds), "by_domain": spark.createDataFrame(domains, "text string, features string, domain string, test_macro_f1 double")}
+
+
 def similarity(pairs_df: DataFrame, a: str = "a", b: str = "b", by: tuple[str, ...] = ("domain", "generator")) -> DataFrame:
     """Cosines of embedding pairs, summarised at all groupings of `by`."""
     return pairs.summarise(pairs_df.select(*by, pairs.cosine(F.col(a), F.col(b)).alias("cosine")), list(by), ["cosine"], median=False)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.functions.text import has_punctuation
 from textloom.operators.ranking import shuffle_rank
 
 
@@ -66,8 +67,11 @@ def subsample(df: DataFrame, group: str, n: int, seed: int = 42) -> DataFrame:
     return df.join(chosen, group, "left_semi")
 
 
-def violations(df: DataFrame, group: str = "group", label: str = "label", split: str = "split", domain: str = "domain", pair: int = 2, expected: int | None = None, sizes: dict[str, int] | None = None) -> DataFrame:
-    """Integrity checks of a split corpus; one row for each check, with how often it is broken."""
+def violations(df: DataFrame, group: str = "group", label: str = "label", split: str = "split", domain: str = "domain", pair: int = 2, expected: int | None = None, sizes: dict[str, int] | None = None, unpunctuated: str | None = None, text: str = "text") -> DataFrame:
+    """Integrity checks of a split corpus; one row for each check, with how often it is broken.
+
+    `unpunctuated` is a domain whose texts must hold no punctuation but the Latin placeholder.
+    """
     by_group = df.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(split).alias("splits"))
     bad = [by_group.agg(F.count_if(F.col("n") != pair).alias("broken")).select(F.lit("pair_size").alias("check"), "broken"), by_group.agg(F.count_if(F.col("splits") > 1).alias("broken")).select(F.lit("group_leak").alias("check"), "broken")]
     balance = df.groupBy(split).agg((F.count_if(F.col(label) == 0) != F.count_if(F.col(label) == 1)).alias("off"))
@@ -77,6 +81,9 @@ def violations(df: DataFrame, group: str = "group", label: str = "label", split:
     bad.append(cells.join(seen, [domain, label], "left_anti").agg(F.count("*").alias("broken")).select(F.lit("empty_cell").alias("check"), "broken"))
     if expected is not None:
         bad.append(df.agg((F.count("*") != expected).cast("long").alias("broken")).select(F.lit("row_count").alias("check"), "broken"))
+    if unpunctuated is not None:
+        marked = (F.col(domain) == unpunctuated) & has_punctuation(F.col(text))
+        bad.append(df.agg(F.count_if(marked).alias("broken")).select(F.lit("punctuation").alias("check"), "broken"))
     for name, n in (sizes or {}).items():
         bad.append(df.agg((F.count_if(F.col(split) == name) != n).cast("long").alias("broken")).select(F.lit(f"size_{name}").alias("check"), "broken"))
     out = bad[0]

@@ -70,3 +70,15 @@ def integrity_violations(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     rows = allocation.three_way(c, "conv_id").select(F.col("conv_id").alias("group"), F.when(F.col("role") == "user", 0).otherwise(1).alias("label"), F.when(F.col("turn") % 4 == 3, "late").otherwise("early").alias("domain"), "split")
     return allocation.violations(rows, expected=500)
+
+
+@query(
+    """SELECT 'size_' || s.split AS "check", CAST(coalesce(n, 0) <> wanted AS BIGINT) AS broken FROM (VALUES ('train', 700), ('dev', 150), ('test', 150)) s(split, wanted) LEFT JOIN (SELECT split, count(*) AS n FROM """
+    + _SPLIT
+    + """ GROUP BY split) USING (split)
+    UNION ALL SELECT 'punctuation', count(*) FILTER (WHERE role = 'user' AND regexp_matches(replace(text, '<LAT>', ''), '[\\p{P}\\p{S}]')) FROM conversations"""
+)
+def split_size_and_punctuation_checks(spark, sf_dir):
+    """Wanted sizes of the splits, and a domain that must hold no punctuation."""
+    rows = allocation.three_way(table(spark, sf_dir, "conversations"), "conv_id").select(F.col("conv_id").alias("group"), F.lit(0).alias("label"), F.col("role").alias("domain"), "split", "text")
+    return allocation.violations(rows, sizes={"train": 700, "dev": 150, "test": 150}, unpunctuated="user").filter("check LIKE 'size_%' OR check = 'punctuation'")

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import http.client
+import json
+import os
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from typing import Protocol
+from dataclasses import dataclass, field
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +26,56 @@ class Retryable(Exception):
         self.wait = wait
 
 
+class DeadlineExceeded(Retryable):
+    """No whole answer within the wall-clock deadline, whatever bytes kept the connection alive."""
+
+
+class MissingKey(Exception):
+    """The environment holds no key for the service."""
+
+
+#: HTTP states worth another try.
+BUSY = (429, 500, 502, 503, 504)
+
+
+def answer(request: urllib.request.Request, deadline: float, quiet: float = 60.0, clock: Callable[[], float] = time.monotonic) -> Any:
+    """The JSON answer to a request, read as it arrives with an eye on the clock.
+
+    A dripping connection ends at the deadline, one that is silent for `quiet`
+    seconds then. Busy states and lost connections are Retryable, with the
+    wait that the service asks for.
+    """
+    end, body = clock() + deadline, bytearray()
+    try:
+        with urllib.request.urlopen(request, timeout=min(deadline, quiet)) as reply:
+            while chunk := reply.read1(65536):
+                body += chunk
+                if clock() > end:
+                    raise DeadlineExceeded(f"no whole answer within {deadline} s")
+    except urllib.error.HTTPError as e:
+        if e.code in BUSY:
+            wait = e.headers.get("Retry-After", "")
+            raise Retryable(f"state {e.code}", float(wait) if wait.isdigit() else None) from e
+        raise
+    except (TimeoutError, urllib.error.URLError, http.client.HTTPException, ConnectionError) as e:
+        if isinstance(e, TimeoutError) or isinstance(getattr(e, "reason", None), TimeoutError):
+            raise DeadlineExceeded("silent for too long") from e
+        raise Retryable(str(e)) from e
+    return json.loads(body)
+
+
+def get_json(url: str, params: dict[str, str], deadline: float = 30.0, tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> Any:
+    """GET with retries; an answer whose error code is `maxlag` counts as busy."""
+
+    def call() -> Any:
+        got = answer(urllib.request.Request(f"{url}?{urllib.parse.urlencode(params)}"), deadline)
+        if isinstance(got, dict) and (got.get("error") or {}).get("code") == "maxlag":
+            raise Retryable("maxlag")
+        return got
+
+    return retried(call, tries, sleep=sleep)
+
+
 @dataclass
 class Reply:
     text: str | None = None
@@ -93,6 +149,31 @@ def with_dates(pages: DataFrame, client: PageHistory, batch: int = 50) -> DataFr
     return pages.select("id").mapInPandas(run, "id string, created string, last_modified string")
 
 
+@dataclass
+class ChatService:
+    """A chat-completion service over HTTP; its key comes from an environment variable of the executor.
+
+    Replies that may take more than `escalated` tokens get the longer deadline.
+    """
+
+    url: str
+    key_name: str
+    deadline: float = 300.0
+    long_deadline: float = 600.0
+    escalated: int = 8192
+    options: dict = field(default_factory=dict)
+
+    def complete(self, model: str, prompt: str, max_tokens: int) -> Reply:
+        key = os.environ.get(self.key_name)
+        if not key:
+            raise MissingKey(self.key_name)
+        body = {"model": model, "messages": [{"role": "user", "content": prompt}], "max_tokens": max_tokens, **self.options}
+        head = {"Authorization": f"Bearer {key}", "Content-Type": "application/json"}
+        got = answer(urllib.request.Request(self.url, json.dumps(body).encode(), head), self.long_deadline if max_tokens > self.escalated else self.deadline)
+        choice, usage = got["choices"][0], got.get("usage") or {}
+        return Reply(choice["message"].get("content"), usage.get("prompt_tokens", 0), usage.get("completion_tokens", 0), choice.get("finish_reason") == "length")
+
+
 class FakeModel:
     """Replies that depend on the prompt alone; some prompts come back truncated at first."""
 

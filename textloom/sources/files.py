@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.operators.ranking import keep_last
+from textloom.operators import allocation
+from textloom.operators.ranking import keep_last, sorted_rank
 from textloom.sources.jsonl import line_order
 
 #: Column names of the domains' sources.
@@ -78,6 +79,59 @@ def read_runs(spark: SparkSession, path: str, phase: str | None = None) -> DataF
     return log.filter(F.col("phase") == phase) if phase else log
 
 
+#: The names of published splits and their order.
+SPLITS = {"train": "train", "validation": "dev", "test": "test"}
+
+
+def read_splits(parts: dict[str, DataFrame], check: bool = True, **sizes) -> DataFrame:
+    """Published splits as one table with `split` and `pos`, the row's place by split, label and domain, else as it was.
+
+    With `check` the integrity of pairs and splits is required (see require); `sizes` go there.
+    """
+    rank = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(SPLITS.values()) for x in (name, k)]), F.col("split"))
+    whole = None
+    for name, renamed in SPLITS.items():
+        part = positional_key(parts[name], "_line").withColumn("split", F.lit(renamed))
+        whole = part if whole is None else whole.unionByName(part)
+    if check:
+        require(whole, **sizes)
+    ordered = sorted_rank(whole.withColumn("_rank", rank).withColumn("_at", F.col("_line").cast("long")), ["_rank", "label", "domain", "_at"], "pos")
+    return ordered.drop("_rank", "_at", "_line")
+
+
+def require(corpus: DataFrame, expected: int | None = None, sizes: dict[str, int] | None = None, unpunctuated: str | None = None) -> DataFrame:
+    """The corpus, if its pairs and splits are sound; else a ValueError that names each broken check."""
+    broken = allocation.violations(corpus, expected=expected, sizes=sizes, unpunctuated=unpunctuated).filter("broken > 0").collect()
+    if broken:
+        raise ValueError("; ".join(f"{r['check']}: {r['broken']}" for r in broken))
+    return corpus
+
+
+def read_corpus(spark: SparkSession, path: str, expected: int | None = None, sizes: dict[str, int] | None = None) -> DataFrame:
+    """A built corpus, checked; FileNotFoundError where there is none."""
+    try:
+        corpus = spark.read.parquet(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"{path}: build the corpus first") from e
+    return require(corpus, expected, sizes)
+
+
+def append_csv(rows: DataFrame, path: str) -> None:
+    """Adds rows to a folder of CSV files, each with one header; read_runs takes it as one log."""
+    rows.write.mode("append").option("escape", '"').csv(path, header=True)
+
+
+def write_rejected(rows: DataFrame, path: str) -> None:
+    """Rejected rows as CSV files that spreadsheets take for UTF-8: a byte order mark stands before each header."""
+    first = rows.columns[0]
+    rows.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("escape", '"').csv(path, header=True)
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Appends predictions (run_id, text_id, pred, ...), one folder for each run; a run that is written again replaces its own."""
+    predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
 def write_report(df: DataFrame, path: str, formats: tuple[str, ...] = ("csv",)) -> None:
     """A small result table as one CSV, and as Markdown or LaTeX text beside it."""
     if "csv" in formats:

@@ -55,3 +55,8 @@ def merge_fields(lines: DataFrame, id_field: str, fields: list[str]) -> DataFram
 def write_by_domain(records: DataFrame, path: str) -> None:
     """One folder of JSON lines per domain; Unicode stays as it is, nulls are written."""
     records.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("domain").json(path)
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Adds JSON lines to a folder; nulls are written, so that a later null overwrites (see merge_fields)."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
