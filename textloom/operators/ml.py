@@ -88,9 +88,11 @@ def penalised(train: DataFrame, c: float, label: str = "label", max_iter: int =
     def signed(v, y):
         return v if y else SparseVector(v.size, v.indices, -v.values)
 
-    rows = train.select(signed("features", label).alias("features"), F.lit(1.0).alias("label")).persist()
+    n = train.count()
+    # every iteration is a job, so few rows go in few tasks
+    rows = train.select(signed("features", label).alias("features"), F.lit(1.0).alias("label")).coalesce(n // 2000 + 1).persist()
     try:
-        return LogisticRegression(regParam=1.0 / (c * rows.count()), standardization=False, fitIntercept=False, maxIter=max_iter).fit(rows)
+        return LogisticRegression(regParam=1.0 / (c * n), standardization=False, fitIntercept=False, maxIter=max_iter).fit(rows)
     finally:
         rows.unpersist()
 
@@ -146,6 +148,7 @@ def logistic(train: DataFrame, features: list[str], label: str = "label", c: flo
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     n = max(train.count(), 1)
+    train = train.coalesce(n // 2000 + 1)  # every iteration is a job, so few rows go in few tasks
     penalty = (n - 1) / (c * n * n)  # the scaler divides by sample deviations; (n - 1) / n makes up for it
     return Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep"),
