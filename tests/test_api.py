@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom import api
 from textloom.sources import connectors, jsonl
+from textloom.streaming import resume
 
 CONFIG = {
     "seed": 42,
@@ -69,3 +70,18 @@ def test_analysis(spark):
     assert api.best_lr(runs).first()["lr"] == 2e-5
     vectors = spark.createDataFrame([("d", "g", [1.0, 0.0], [1.0, 0.0]), ("d", "h", [1.0, 0.0], [0.0, 1.0])], "domain string, generator string, a array<double>, b array<double>")
     assert {(r["domain"], r["generator"]): r["cosine_mean"] for r in api.similarity(vectors).collect()}[None, None] == 0.5
+
+
+def test_baselines_and_recorded_progress(spark, tmp_path):
+    rows = [(f"x{k}", f"{'හොඳ ලස්සන' if k % 2 else 'නරක කැත'} පෙළ{k % 5} වචන{k % 3}", "ab"[k // 2 % 2], k % 2, ("train", "train", "dev", "test")[k // 4 % 4]) for k in range(64)]
+    corpus = spark.createDataFrame(rows, "text_id string, text string, domain string, label int, split string")
+    got = api.baselines(corpus, grid=(1.0,))
+    scores = {(r["text"], r["features"]): r["test_macro_f1"] for r in got["summary"].collect()}
+    assert scores == {(t, f): 1.0 for t in ("raw", "normalized") for f in ("word_1_2", "char_2_5")}
+    assert got["by_domain"].count() == 8
+    records = spark.createDataFrame([("news", "m", 10, 2)], "domain string, generator string, input_tokens long, output_tokens long")
+    target = spark.createDataFrame([("news", "m", 1)], "domain string, model string, target_count int")
+    for version in (1, 2):
+        api.record_progress(records, target, {"m": (1.0, 1.0)}, f"{tmp_path}/p", version)
+    (row,) = resume.present(spark, f"{tmp_path}/p", ["domain", "model"]).collect()
+    assert row["status"] == "done" and row["total_cost"] == 12.0
