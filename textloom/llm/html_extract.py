@@ -16,6 +16,8 @@ import html as entities
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import pandas as pd
@@ -36,6 +38,8 @@ HOLDS_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".spl
 BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: An open paragraph, list item or text element around these isn't ended from inside.
 SCOPE = frozenset("button foreignobject annotation-xml".split())
+#: Elements that opening tags end, and what these stand in.
+ENDING = frozenset("li ul ol menu dt dd dl tr td th table".split())
 #: Never the article, wherever they stand; header only outside an article.
 DROPPED = frozenset("nav footer aside menu dialog header head".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -67,32 +71,71 @@ TOP = 3
 LINKS, LINKED = 3, 0.75
 #: Shares of the page's text at which a marked element is no side matter: with an article, main or h1 in it; on a page without.
 PROVEN, MOST = 0.3, 0.7
+#: Attributes of up to so many characters are remembered, and of so many elements (20 MB a worker at most).
+REMEMBERED, ELEMENTS = 200, 20_000
 #: Characters of hosts and paths that are broadcast at most.
 BROADCAST = 20_000_000
 
 
+class Signs(NamedTuple):
+    """What an element's attributes say."""
+
+    hidden: bool = False
+    good: bool = False
+    junk: bool = False  # a word that speaks against it
+    inner: bool = False  # one that does so inside an article too
+    name: str = ""  # its classes without digits
+
+
+PLAIN = Signs()
+
+
+def signs_of(attrs: str) -> Signs:
+    found = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)}
+    classes = found.get("class", "").lower().split()
+    words: set[str] = set()
+    for token in [*classes, found.get("id", "").lower(), *found.get("role", "").lower().split()]:
+        parts = PARTS.findall(token)
+        if parts and parts[0] not in BESIDE:
+            words.update(parts)
+    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    good = not words.isdisjoint(GOOD) or "articlebody" in found.get("itemprop", "").lower()
+    junk = words & JUNK
+    name = "." + ".".join(sorted({DIGITS.sub("", c).replace("/", "_") for c in classes})) if classes else ""
+    return Signs(hidden, good, bool(junk), bool(junk - OWN), name)
+
+
+remembered = lru_cache(ELEMENTS)(signs_of)
+
+
 class Node:
     __slots__ = ("tag", "name", "pid", "up", "place", "hard", "mark", "good", "article", "inert", "foreign", "linked", "holder", "scope", "open", "li", "dd", "row", "cell")
 
     def __init__(self, tag: str, up: Node | None) -> None:
         self.tag, self.up, self.name, self.pid, self.place = tag, up, tag, 0, 0
-        self.hard = self.mark = self.good = self.article = self.inert = self.linked = False
-        self.foreign: Node | None = None
-        self.open: dict[str, int] = {}
-        self.holder = self.scope = self
+        self.hard = self.mark = self.good = False
         self.li: Node | None = None
         self.dd = self.row = self.cell = self.li
+        block = tag in BLOCK
         if up is None:
+            self.article = self.inert = self.linked = False
+            self.foreign: Node | None = None
+            self.holder, self.scope, self.open = self, self, dict[str, int]()
             return
         self.article, self.inert, self.linked = up.article, up.inert or tag in INERT, up.linked or tag == "a"
         self.foreign = None if tag in HOLDS_HTML else self if tag in FOREIGN else up.foreign
-        self.holder = self if tag in BLOCK else up.holder
-        self.scope = self if tag in BLOCK or tag in SCOPE else up.scope
+        self.holder = self if block else up.holder
+        if block or tag in SCOPE:
+            self.scope, self.open = self, {}
+        else:
+            self.scope = up.scope
         if tag not in SCOPE:  # the nearest element that an opening tag of each kind ends, if no barrier stands between
-            self.li = self if tag == "li" else None if tag in ("ul", "ol", "menu") else up.li
-            self.dd = self if tag in ("dt", "dd") else None if tag == "dl" else up.dd
-            self.row = self if tag in ("tr", "td", "th") else None if tag == "table" else up.row
-            self.cell = self if tag in ("td", "th") else None if tag in ("tr", "table") else up.cell
+            self.li, self.dd, self.row, self.cell = up.li, up.dd, up.row, up.cell
+            if tag in ENDING:
+                self.li = self if tag == "li" else None if tag in ("ul", "ol", "menu") else up.li
+                self.dd = self if tag in ("dt", "dd") else None if tag == "dl" else up.dd
+                self.row = self if tag in ("tr", "td", "th") else None if tag == "table" else up.row
+                self.cell = self if tag in ("td", "th") else None if tag in ("tr", "table") else up.cell
 
 
 class Block(NamedTuple):
@@ -120,25 +163,14 @@ class Page:
 
     def opened(self, tag: str, attrs: str, up: Node) -> Node:
         node = Node(tag, up)
-        words: set[str] = set()
-        classes: list[str] = []
-        if attrs.strip():
-            found = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)}
-            classes = found.get("class", "").lower().split()
-            for token in [*classes, found.get("id", "").lower(), *found.get("role", "").lower().split()]:
-                parts = PARTS.findall(token)
-                if parts and parts[0] not in BESIDE:
-                    words.update(parts)
-            node.hard = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-            node.good = bool(words & GOOD) or "articlebody" in found.get("itemprop", "").lower()
-        node.good = node.good or tag in ("article", "main")
-        node.hard = up.hard or node.hard or node.inert or tag in DROPPED and not (tag == "header" and up.article)
-        node.mark = tag == "form" or bool(words & JUNK - (OWN if up.article else frozenset())) and tag not in ("html", "body", "article", "main")
-        node.article = up.article or tag in ("article", "main") or node.good and tag in CONTAINER and tag != "body" and not node.mark
+        signs = PLAIN if not attrs or attrs.isspace() else remembered(attrs) if len(attrs) <= REMEMBERED else signs_of(attrs)
+        node.good = signs.good or tag in ("article", "main")
+        node.hard = up.hard or signs.hidden or node.inert or tag in DROPPED and not (tag == "header" and up.article)
+        node.mark = tag == "form" or (signs.inner if up.article else signs.junk) and tag not in ("html", "body", "article", "main")
+        node.article = up.article or node.good and (tag in ("article", "main") or tag in CONTAINER and tag != "body" and not node.mark)
         node.pid = up.pid
         if tag in BLOCK:
-            if classes:
-                node.name = tag + "." + ".".join(sorted({DIGITS.sub("", c).replace("/", "_") for c in classes}))
+            node.name = tag + signs.name
             node.pid = self.paths.setdefault((up.pid, node.name), len(self.names))
             if node.pid == len(self.names):
                 self.names.append((up.pid, node.name))
@@ -180,7 +212,8 @@ class Page:
             if said and not top.hard:
                 if not text:
                     holder = top.holder
-                said = entities.unescape(said)  # here, as a reference doesn't go on behind a tag
+                if "&" in said:  # here, as a reference doesn't go on behind a tag
+                    said = entities.unescape(said)
                 text.append(said)
                 if top.linked:
                     linked += len(said)
@@ -314,12 +347,13 @@ class Page:
 
     def around(self, won: list[Node]) -> set[int]:
         """Places of what the containers are parts of: the outermost article element around each, else main, else the nearest marked container with more text than links besides."""
-        outer: dict[str, list[Node | None]] = {}
+        outer: list[list[Node | None]] = []
         for tag in ("article", "main"):
-            of: list[Node | None] = []
-            for node in self.nodes:
-                of.append((of[node.up.place] if node.up else None) or (node if node.tag == tag else None))
-            outer[tag] = of
+            if tag in self.total:
+                of: list[Node | None] = []
+                for node in self.nodes:
+                    of.append((of[node.up.place] if node.up else None) or (node if node.tag == tag else None))
+                outer.append(of)
         good = self.below(lambda node: node.good and node.tag in CONTAINER and node.tag != "body")
         texts = [0] * len(self.nodes)
         for b in self.blocks:
@@ -328,7 +362,7 @@ class Page:
             texts[node.up.place] += texts[node.place]  # type: ignore[union-attr]
         wider = set()
         for node in won:
-            whole = outer["article"][node.place] or outer["main"][node.place]
+            whole = next((of[node.place] for of in outer if of[node.place]), None)
             if whole is None:
                 up = good[node.up.place] if node.up else None
                 while up and texts[up.place] <= texts[node.place]:
@@ -345,7 +379,7 @@ def extract(page: str | None, paths: list[str]) -> str:
     is only marked, blocks outside the path come if they aren't mostly links.
     """
     found = Page(page or "")
-    for pid in [*map(found.find, paths), *(p for p, _, _ in found.ranked(1))]:
+    for pid in chain(map(found.find, paths), (p for p, _, _ in found.ranked(1))):
         held = found.inside(pid) if pid is not None else []
         if won := list({c.place: c for c in held if c}.values()):
             wider = found.around(won)
