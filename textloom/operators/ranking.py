@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.operators import ranges
+
 
 def global_rank(df: DataFrame, key: Column, ties: list[str], name: str = "rn", digits: int = 3) -> DataFrame:
     """Rank from 1 by a hexadecimal key and the tie columns.
@@ -20,23 +22,17 @@ def global_rank(df: DataFrame, key: Column, ties: list[str], name: str = "rn", d
     return keyed.withColumn(name, rank).join(F.broadcast(offsets), "_bucket").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_key", "_bucket", "_before")
 
 
-def sorted_rank(df: DataFrame, by: list[str], name: str = "rn", parts: int | None = None, sample: int = 64) -> DataFrame:
+def sorted_rank(df: DataFrame, by: list[str], name: str = "rn", rows: int = 250_000) -> DataFrame:
     """Rank from 1 in the order of the columns `by`, nulls first, however their values are spread.
 
-    About `sample` rows a part, drawn by a hash of the sort key, give the bounds of
-    ranges; rows are ranked inside the ranges and the ranges' counts give the
-    offsets. With a unique last column no range is much larger than another.
+    Rows are ranked inside sampled ranges (operators/ranges.py) of about `rows` rows
+    and the ranges' counts give the offsets. With a unique last column no range is
+    much larger than another.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*by)
-    chance = min(1.0, parts * sample / max(1, df.count()))
-    drawn = df.filter(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int(chance * (1 << 30))).agg(F.sort_array(F.collect_list(key)).alias("k"))
-    bounds = drawn.select(F.transform(F.sequence(F.lit(1), F.lit(max(1, parts - 1))), lambda i: F.get("k", F.floor(i * F.size("k") / parts).cast("int")))).scalar()
-    ranged = df.withColumn("_bounds", bounds).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = ranged.withColumn(name, F.row_number().over(W.partitionBy("_range").orderBy(*by)))
-    return ranked.join(F.broadcast(offsets), "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")
+    parted = ranges.ranged(df, by, rows=rows)
+    before = ranges.with_offsets(parted, {"_before": F.count("*")})
+    ranked = parted.withColumn(name, F.row_number().over(W.partitionBy("_range").orderBy(*by)))
+    return ranked.join(F.broadcast(before), "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")
 
 
 def shuffle_rank(df: DataFrame, id_col: str, seed: int, name: str = "rn") -> DataFrame:
