@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, exact_dedup, html_extract, language, license_scan, near_dedup, packing, sharding, substring_dedup, token_output
+from textloom.llm import decontaminate, exact_dedup, html_extract, importance, language, license_scan, near_dedup, packing, sharding, substring_dedup, token_output
 from textloom.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_exact_dedup": op2_exact_dedup,
@@ -69,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_importance_resampling": op11_importance_resampling,
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op9_decontamination": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op9_decontamination": decontaminate.SQL, "op11_importance_resampling": importance.SQL}
