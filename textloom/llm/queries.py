@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, exact_dedup, hard_negatives, html_extract, importance, language, license_scan, near_dedup, packing, sharding, substring_dedup, token_output
+from textloom.llm import decontaminate, exact_dedup, hard_negatives, html_extract, importance, language, lattice_lm, license_scan, near_dedup, packing, sharding, substring_dedup, token_output
 from textloom.llm.common import table
 
 
@@ -63,6 +63,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lattice_lm.score_texts(table(spark, sf_dir, "documents"), lattice_lm.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_lattice_lm": op12_lattice_lm,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op9_decontamination": decontaminate.SQL, "op11_importance_resampling": importance.SQL, "op13_hard_negatives": hard_negatives.SQL}
