@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.operators.ranges import quantiles, same
+
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:
     """Each assistant turn with the user turn just before it: conv_id, turn, src_text, text."""
@@ -19,12 +21,33 @@ def ratio(part: Column, whole: Column) -> Column:
     return part / F.nullif(whole, F.lit(0))
 
 
-def summarise(df: DataFrame, by: list[str], values: list[str], median: bool = True) -> DataFrame:
-    """n (all rows) and mean, sample deviation and median of each value (nulls skipped), at every grouping of `by` in one scan."""
+def summarise(df: DataFrame, by: list[str], values: list[str], median: bool = True, rows: int = 250_000) -> DataFrame:
+    """n (all rows) and mean, sample deviation and median of each value (nulls skipped), at every grouping of `by`.
+
+    Medians are selected over ranges of the values of all groupings together, so not even the grand total is one task.
+    """
     out = [F.count("*").alias("n")]
     for v in values:
-        out += [F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_sd")] + ([F.median(v).alias(f"{v}_median")] if median else [])
-    return (df.cube(*by) if by else df).agg(*out)
+        out += [F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_sd")]
+    if not median:
+        return (df.cube(*by) if by else df).agg(*out)
+    if not by:
+        df, by, bare = df.withColumn("_all", F.lit(1)), ["_all"], True
+    else:
+        bare = False
+    level = F.grouping_id().alias("_level") if not bare else F.lit(0).cast("long").alias("_level")
+    whole = (df.groupBy(*by) if bare else df.cube(*by)).agg(level, *out)
+    spread = df if bare else df.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << len(by)) - 1)).cast("array<bigint>")).alias("_level"))
+    if bare:
+        spread = spread.withColumn("_level", F.lit(0).cast("long"))
+    # bit k of the level, from the left, says that column k is summed over
+    keys = [F.when(F.col("_level").bitwiseAND(1 << (len(by) - 1 - k)) == 0, F.col(c)).alias(c) for k, c in enumerate(by)]
+    found = whole
+    for v in values:
+        mid = quantiles(spread.select("_level", *keys, F.col(v).alias("_value")), ["_level", *by], "_value", [0.5], rows).withColumn("_median", F.col("q")[0])
+        found = found.alias("x").join(mid.alias("y"), same("x", "y", ["_level", *by]), "left").select("x.*", F.col("y._median").alias(f"{v}_median"))
+    cols = [c for v in values for c in (f"{v}_mean", f"{v}_sd", f"{v}_median")]
+    return found.select(*([] if bare else by), "n", *cols)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.operators.ranges import prefix_sums, quantiles
+
 
 def confusion(df: DataFrame, by: list[str], label: str = "label", pred: str = "pred") -> DataFrame:
     """tn, fp, fn, tp of each group."""
@@ -32,14 +33,16 @@ def scores(counts: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    """Mann-Whitney over the distinct scores: rows are counted per score first, so no row-level sort is needed."""
+def roc_auc(df: DataFrame, by: list[str], label: str, score: str, rows: int = 250_000) -> DataFrame:
+    """Mann-Whitney with ties at half: rows are counted per score, and prefix sums over ranges of scores give the negatives below.
+
+    Null where a group lacks one of the classes; null scores count as the lowest.
+    """
     per = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(1))).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    ranked = per.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    won = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
+    ranked = prefix_sums(per, by, [score], {"q": "q"}, rows)
+    won = F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2))
     agg = won / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))
-    return ranked.groupBy(*by).agg(agg.alias("auc")) if by else ranked.agg(agg.alias("auc"))
+    return ranked.groupBy(*by).agg(agg.alias("auc"))
 
 
 def cohens_d(df: DataFrame, by: list[str], features: list[str], label: str = "label") -> DataFrame:
@@ -116,5 +119,6 @@ def paired_bootstrap(df: DataFrame, group: str, model: str, seed_col: str, n_boo
     return jobs.join(F.broadcast(whole), F.lit(True)).mapInPandas(run, f"model {kind}, rep long, macro_f1 double")
 
 
-def percentile_ci(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.percentile(value, F.lit(0.025)).alias("lo"), F.percentile(value, F.lit(0.975)).alias("hi"))
+def percentile_ci(df: DataFrame, by: list[str], value: str, rows: int = 250_000) -> DataFrame:
+    """Exact 2.5 and 97.5 percentiles; groups without values are missing."""
+    return quantiles(df, by, value, [0.025, 0.975], rows).select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))

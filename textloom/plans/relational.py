@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import pairs, ranking
+from textloom.operators import joins, pairs, ranking
 from textloom.plans.registry import dec, query, table
 
 _N = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
@@ -196,6 +196,29 @@ def range_join(spark, sf_dir):
     return o.join(li, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") >= F.col("o_orderdate")) & (F.col("l_shipdate") < F.col("o_orderdate") + F.expr("INTERVAL 10 DAY"))).select("o_orderkey", "l_linenumber")
 
 
+@query(
+    "WITH o AS (SELECT k, o_orderdate, max(o_orderkey) AS o_orderkey FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS k, o_orderdate, o_orderkey FROM orders) GROUP BY ALL), "
+    "e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS k, ts - INTERVAL 25 YEAR AS at FROM events) SELECT event_id, o_orderkey FROM e ASOF LEFT JOIN o ON e.k = o.k AND e.at >= o.o_orderdate"
+)
+def asof_join(spark, sf_dir):
+    """The last order before each event, 25 years apart; one key has a third of both sides."""
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("k"), (F.col("ts") - F.expr("INTERVAL 25 YEAR")).alias("at"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey")).alias("k"))
+    return joins.asof_join(e, o, ["k"], "at", "o_orderdate", ["o_orderkey"], tie="o_orderkey").select("event_id", "o_orderkey")
+
+
+_SPAN = "(SELECT event_id, user_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 600) AS BIGINT) * 1000000 AS e FROM events)"
+
+
+@query(f"SELECT a.event_id AS a, b.event_id AS b, least(a.e, b.e) - greatest(a.s, b.s) AS micros FROM {_SPAN} a JOIN {_SPAN} b ON a.user_id = b.user_id AND a.event_type <> 'error' AND b.event_type = 'error' AND a.s < b.e AND b.s < a.e")
+def interval_overlap(spark, sf_dir):
+    """Each user's events during errors: an event lasts ten minutes for each unit of its value."""
+    s = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", s.alias("s"), (s + F.floor(F.col("value") * 600) * 1000000).alias("e"))
+    pairs_ = joins.interval_join(e.filter("event_type <> 'error'"), e.filter("event_type = 'error'"), ["user_id"], ("s", "e"), ("s", "e"))
+    return pairs_.select(F.col("l.event_id").alias("a"), F.col("r.event_id").alias("b"), (F.least("l.e", "r.e") - F.greatest("l.s", "r.s")).alias("micros"))
+
+
 @query("SELECT lang, source, grouping(lang) + 2 * grouping(source) AS g, count(*) AS n, count(DISTINCT text) AS texts FROM documents GROUP BY ROLLUP (lang, source)")
 def rollup_distinct(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

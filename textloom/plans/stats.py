@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import ml, pairs, ranking, stats
+from textloom.operators import ml, pairs, ranges, ranking, sketches, stats
 from textloom.plans.registry import SQL_DOCS, SQL_WORDS, dec, query, table
 
 _P = """(SELECT doc_id, lang, label, n_chars, seed, CASE seed WHEN 1 THEN 1 - toxic WHEN 2 THEN CAST(n_chars > 1500 AS INTEGER) ELSE CAST(doc_id % 3 > 0 AS INTEGER) END AS pred
@@ -205,3 +205,34 @@ def sweep_best(spark, sf_dir):
 def vector_norm(spark, sf_dir):
     v = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.length("text")).alias("v"))
     return v.select("conv_id", dec(F.sqrt(pairs.dot(F.col("v"), F.col("v")))).alias("norm"))
+
+
+@query("SELECT o_orderkey, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, percent_rank() OVER w AS percent_rank, cume_dist() OVER w AS cume_dist FROM orders WINDOW w AS (ORDER BY o_orderdate)")
+def distribution_ranks(spark, sf_dir):
+    """Ranks of all orders by date in one group, ties alike; no task sorts them all."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    r = ranges.distribution_ranks(o, [], "o_orderdate")
+    return r.select("o_orderkey", "rank", "dense_rank", "percent_rank", "cume_dist")
+
+
+@query(
+    "SELECT event_id, count(*) OVER w AS n, CAST(sum(value) OVER w AS DECIMAL(18,4)) AS total FROM (SELECT *, epoch_us(ts) AS t FROM events) "
+    "WINDOW w AS (PARTITION BY event_type ORDER BY t RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW)"
+)
+def range_frame(spark, sf_dir):
+    """Number and sum of values of each type in the six hours up to each event."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    r = ranges.range_frame(e, ["event_type"], "t", 21_600_000_000, {"n": F.count("*"), "total": F.sum("value")})
+    return r.select("event_id", "n", dec("total", 4).alias("total"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT CAST(ts AS DATE)) AS days, true AS users_hold, true AS median_holds FROM events GROUP BY event_type")
+def sketch_days(spark, sf_dir):
+    """Sketches of each type and day, merged: whether distinct users and the median of values keep the stated errors (four and three times the standard one)."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    stored = sketches.sketch(e, ["event_type", "day"], "user_id", "value")
+    whole = sketches.estimates(sketches.merge(stored, ["event_type"]), [0.5]).join(stored.groupBy("event_type").agg(F.count("*").alias("days")), "event_type")
+    below = F.broadcast(whole.select("event_type", F.col("q")[0].alias("median")))  # one row a type
+    true = e.join(below, "event_type").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.avg((F.col("value") <= F.col("median")).cast("double")).alias("rank"))
+    held = (F.abs(F.col("n_distinct") / F.col("users") - 1) <= 4 * sketches.distinct_error(), F.abs(F.col("rank") - 0.5) <= 3 * sketches.rank_error())
+    return whole.join(true, "event_type").select("event_type", "n", "days", held[0].alias("users_hold"), held[1].alias("median_holds"))
