@@ -93,6 +93,12 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
     return docs.filter(~met).unionByName(near.join(gone, same, "left_anti"))
 
 
+def repeated_ids(rows: DataFrame, id_col: str, log2_bits: int = 22) -> Column:
+    """Whether a row's id may be one that several rows have: true for all of these, rarely for others, true for null."""
+    many = materialise(rows.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_id"), "repeated")
+    return F.coalesce(might_contain(bit_filter(many, "_id", log2_bits).scalar(), F.col(id_col), log2_bits), F.lit(True))
+
+
 def bit_words(keys: DataFrame, key: str, log2_bits: int) -> DataFrame:
     slot = F.pmod(F.col(key), F.lit(1 << log2_bits))
     return keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bit_filter, forget, materialise, might_contain, mix, row_hash, spread_join
+from textloom.llm.common import bit_filter, forget, materialise, might_contain, mix, repeated_ids, row_hash, spread_join
 from textloom.llm.components import components
 
 ROWS, BANDS = 4, 30
@@ -240,21 +240,30 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts without words (null ones too) have no shingles and stay alone; a text
     of one to four words is one shingle. component_id is the smallest id that
-    links lead to, kept marks it. Ids must be integers and unique; rows that
-    repeat an id and its text get the same answer; a null id links with nothing
-    and is not kept. Empty input, no rows.
+    links lead to, kept marks it. Ids must be integers. Rows that repeat an id with
+    another text are judged each by their own text, rows that repeat both get the
+    same answer; a null id links with nothing and is not kept. Empty input, no
+    rows. The bands find pairs from a similarity of 75 on, so a lower `percent` is
+    an error.
     """
+    if not 75 <= percent <= 100:
+        raise ValueError("percent has to lie between 75 and 100")
     floor = percent / 100
     signed = materialise(sign(docs, id_col, text_col), "signed")
-    reps = materialise(signed.filter("n > 0 AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
+    reps = signed.filter("n > 0 AND id IS NOT NULL").groupBy("cls").agg(F.min(F.struct("id", "row_hash")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    # a class is named by its smallest id; where classes may share it, by a hash
+    name = F.when(repeated_ids(signed, "id"), F.xxhash64("cls")).otherwise(F.col("id"))
+    reps = materialise(reps.select("cls", F.col("row.id").alias("id"), F.col("row.row_hash").alias("row_hash"), "n", "sketch", "bands").select("*", F.col("id").alias("first_id")).withColumn("id", name), "classes")
     banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
     heads = materialise(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("head")).filter("c > 1"), "heads")
     members = materialise(spread_join(banded, heads, ["key"], "c", ["id"], HOT), "members")
     forget(heads)
-    about = materialise(reps.select("id", "n", "sketch", "bands").join(members.select("id").distinct(), "id", "left_semi"), "about")
-    words = bit_filter(about.select("id"), "id", 22).scalar()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = materialise(texts.filter(might_contain(words, F.col("id"), 22)).join(about.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    about = materialise(reps.select("id", "first_id", "row_hash", "n", "sketch", "bands").join(members.select("id").distinct(), "id", "left_semi"), "about")
+    words = bit_filter(about.select("first_id"), "first_id", 22).scalar()
+    texts = docs.select(F.col(id_col).cast("long").alias("first_id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.filter(might_contain(words, F.col("first_id"), 22)).withColumn("row_hash", row_hash("first_id", "text"))
+    texts = materialise(texts.join(about.select("id", "first_id", "row_hash"), ["first_id", "row_hash"]).select("id", "text").dropDuplicates(["id"]), "texts")
+    about = about.drop("first_id", "row_hash")
 
     def undecided(labels: DataFrame) -> DataFrame:
         """Members of buckets that hold several components."""
@@ -293,8 +302,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = materialise(confirm(pairs.join(star, ["a", "b"], "left_anti"), texts, percent), "links")
     if not more.isEmpty():
         labels = materialise(components(links.unionByName(more)), "labels")
-    classes = reps.select("cls", F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("label", "rep").alias("component_id"))
-    for done in (members, about, texts):
+    classes = reps.select("cls", "first_id", F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select("cls", "first_id", F.coalesce("label", "rep").alias("label"))
+    other = classes.groupBy("label").agg(F.min("first_id").alias("least")).filter("least <> label")  # only where a hash names a class
+    classes = classes.join(other, "label", "left").select("cls", F.coalesce("least", "label").alias("component_id"))
+    for done in (members, texts):
         forget(done)
     out = signed.select("id", "n", "cls", "row_hash").join(classes, "cls", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), "row_hash")

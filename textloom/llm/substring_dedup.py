@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SpanHasher, bit_filter, forget, materialise, might_contain, spread_join
+from textloom.llm.common import SpanHasher, bit_filter, forget, materialise, might_contain, repeated_ids, spread_join
 
 LENGTH, GRAM = 200, 64
 PLACE = 20
@@ -72,19 +72,20 @@ def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 def rank_anchors(docs: DataFrame, length: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, ks, gs, fs = [], [], [], []
-            for i, text in zip(frame["id"].tolist(), frame["text"].tolist(), strict=True):
+            ids, hs, ks, gs, fs = [], [], [], [], []
+            for i, h, text in zip(frame["id"].tolist(), frame["h"].tolist(), frame["text"].tolist(), strict=True):
                 n = 0
                 for _, prefix, at, first, last in pieces(raw(text), length):
                     ids.append(np.full(len(at), i, np.int64))
+                    hs.append(np.full(len(at), h, np.int64))
                     ks.append(np.arange(n, n + len(at), dtype=np.int32))
                     gs.append(hasher.spans(prefix, at, at + GRAM))
                     fs.append(hasher.spans(prefix, first, last + length))
                     n += len(at)
             if ids:
-                yield pd.DataFrame({"g": np.concatenate(gs).view(np.int64), "f": np.concatenate(fs).view(np.int64), "id": np.concatenate(ids), "k": np.concatenate(ks)})
+                yield pd.DataFrame({"g": np.concatenate(gs).view(np.int64), "f": np.concatenate(fs).view(np.int64), "id": np.concatenate(ids), "h": np.concatenate(hs), "k": np.concatenate(ks)})
 
-    return docs.mapInPandas(run, "g long, f long, id long, k int")
+    return docs.mapInPandas(run, "g long, f long, id long, h long, k int")
 
 
 def chosen(data: np.ndarray, ks: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -104,13 +105,13 @@ def rank_windows(rows: DataFrame, length: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for i, text, ks, undecided in zip(frame["id"].tolist(), frame["text"].tolist(), frame["ks"].tolist(), frame["opens"].tolist(), strict=True):
+            for i, h, text, ks, undecided in zip(frame["id"].tolist(), frame["h"].tolist(), frame["text"].tolist(), frame["ks"].tolist(), frame["opens"].tolist(), strict=True):
                 undecided = np.asarray(undecided, bool)
                 for base, prefix, first, last, mine in chosen(raw(text), np.asarray(ks, np.int64), length):
                     start = spread(first, last)
-                    yield pd.DataFrame({"h": hasher.spans(prefix, start, start + length).view(np.int64), "id": i, "start": (start + base).astype(np.int32), "open": np.repeat(undecided[mine], last - first + 1)})
+                    yield pd.DataFrame({"w": hasher.spans(prefix, start, start + length).view(np.int64), "id": i, "h": h, "start": (start + base).astype(np.int32), "open": np.repeat(undecided[mine], last - first + 1)})
 
-    return rows.mapInPandas(run, "h long, id long, start int, open boolean")
+    return rows.mapInPandas(run, "w long, id long, h long, start int, open boolean")
 
 
 def cut(rows: DataFrame, length: int) -> DataFrame:
@@ -142,19 +143,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Bytes under any `length`-byte string that starts anywhere else too are removed,
     in every place. Texts shorter than that keep all; null counts as empty. Ids
-    must be integers: rows that repeat an id and its text count as two texts, and
-    so do rows without an id, which are told apart by their text. Empty input, no
-    rows; only the two named columns are read. With `doubling`, places are found by
-    prefix doubling over all positions under anchors that occur again.
+    must be integers. Rows are told apart by id and text: rows that repeat an id
+    with another text, and rows without an id, are judged by their own text, and
+    rows that repeat both count as two texts. Empty input, no rows; only the two
+    named columns are read. With `doubling`, places are found by prefix doubling
+    over all positions under anchors that occur again.
     """
     base = docs.select(F.col(id_col).cast("long").alias("given"), F.col(text_col).cast("string").alias("text"))
-    base = base.select("given", F.coalesce("given", F.xxhash64("text", F.lit("no id"))).alias("id"), "text")
-    ranks = materialise(rank_anchors(base.select("id", "text"), length), "ranks")
+    # h tells texts of one id apart; it is 0, and costs nothing, for ids that aren't repeated
+    mark = F.when(repeated_ids(base, "given"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    base = base.select("given", F.coalesce("given", F.xxhash64("text", F.lit("no id"))).alias("id"), mark.alias("h"), "text")
+    ranks = materialise(rank_anchors(base.select("id", "h", "text"), length), "ranks")
 
     def with_text(rows: DataFrame) -> DataFrame:
-        """Joins texts by id; a fixed-size bitmap keeps the other texts out of the shuffle."""
+        """Joins texts by row; a fixed-size bitmap keeps the other texts out of the shuffle."""
         ids = bit_filter(rows.select("id"), "id", 22).scalar()
-        return base.select("id", "text").filter(might_contain(ids, F.col("id"), 22)).join(rows, "id")
+        return base.select("id", "h", "text").filter(might_contain(ids, F.col("id"), 22)).join(rows, ["id", "h"])
 
     if doubling:
         found = doubled(ranks, with_text, length)
@@ -162,16 +166,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = grouped(ranks, with_text, length)
     ids = bit_filter(found.select("id"), "id", 22).scalar()
     met = F.coalesce(might_contain(ids, F.col("id"), 22), F.lit(False))
-    near = base.filter(met).join(found.withColumn("hit", F.lit(True)), "id", "left")
-    plain = base.filter(~met).unionByName(near.filter("hit IS NULL").select("given", "id", "text"))
+    near = base.filter(met).join(found.withColumn("hit", F.lit(True)), ["id", "h"], "left")
+    plain = base.filter(~met).unionByName(near.filter("hit IS NULL").select("given", "id", "h", "text"))
     zero = F.lit(0).cast("long")
     plain = plain.select("given", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
     return cut(near.filter("hit").select(F.col("given").alias("id"), "text", "ks", "starts"), length).withColumnRenamed("id", "given").unionByName(plain).withColumnRenamed("given", id_col)
 
 
 def grouped(ranks: DataFrame, with_text: Callable[[DataFrame], DataFrame], length: int) -> DataFrame:
-    """(id, ks, starts): anchors all of whose windows occur again, and single windows that do."""
-    pairs = materialise(ranks.groupBy("g", "f").agg(F.count("*").alias("n"), F.min(F.struct("id", "k")).alias("at")), "pairs")
+    """(id, h, ks, starts): anchors all of whose windows occur again, and single windows that do."""
+    pairs = materialise(ranks.groupBy("g", "f").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "k")).alias("at")), "pairs")
     grams = pairs.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), F.count_if(F.col("n") == 1).alias("open")).filter("total > 1")
     grams = materialise(grams.select("g", "rows", "open"), "grams")
     live = materialise(spread_join(pairs, grams, ["g"], "rows", ["f"]).select("g", "f", "n", "at", "open"), "live")
@@ -180,56 +184,56 @@ def grouped(ranks: DataFrame, with_text: Callable[[DataFrame], DataFrame], lengt
 
     twice = materialise(live.filter("n > 1").select("g", "f", "n"), "twice")
     words = bit_filter(twice.select("f"), "f", 24).scalar()
-    again = spread_join(ranks.filter(might_contain(words, F.col("f"), 24)), twice, ["g", "f"], "n", ["id", "k"])
-    again = materialise(again.groupBy("id").agg(F.collect_list("k").alias("ks")), "again")
+    again = spread_join(ranks.filter(might_contain(words, F.col("f"), 24)), twice, ["g", "f"], "n", ["id", "h", "k"])
+    again = materialise(again.groupBy("id", "h").agg(F.collect_list("k").alias("ks")), "again")
     forget(ranks)
     forget(twice)
 
-    asked = live.filter("open > 0").select("at.id", "at.k", (F.col("n") == 1).alias("open")).groupBy("id").agg(F.collect_list(F.struct("k", "open")).alias("x"))
-    asked = materialise(asked.select("id", F.col("x.k").alias("ks"), F.col("x.open").alias("opens")), "asked")
+    asked = live.filter("open > 0").select("at.id", "at.h", "at.k", (F.col("n") == 1).alias("open")).groupBy("id", "h").agg(F.collect_list(F.struct("k", "open")).alias("x"))
+    asked = materialise(asked.select("id", "h", F.col("x.k").alias("ks"), F.col("x.open").alias("opens")), "asked")
     forget(live)
     windows = materialise(rank_windows(with_text(asked), length), "windows")
-    hits = materialise(windows.groupBy("h").agg(F.count("*").alias("c"), F.max("open").alias("open")).filter("c > 1 AND open").select("h", "c"), "hits")
-    singles = spread_join(windows.filter("open"), hits, ["h"], "c", ["id", "start"]).groupBy("id").agg(F.collect_list("start").alias("starts"))
-    found = materialise(again.join(singles, "id", "full_outer"), "found")
+    hits = materialise(windows.groupBy("w").agg(F.count("*").alias("c"), F.max("open").alias("open")).filter("c > 1 AND open").select("w", "c"), "hits")
+    singles = spread_join(windows.filter("open"), hits, ["w"], "c", ["id", "start"]).groupBy("id", "h").agg(F.collect_list("start").alias("starts"))
+    found = materialise(again.join(singles, ["id", "h"], "full_outer"), "found")
     for done in (windows, hits, asked, again):
         forget(done)
     return found
 
 
 def doubled(ranks: DataFrame, with_text: Callable[[DataFrame], DataFrame], length: int) -> DataFrame:
-    """(id, ks, starts) by prefix doubling: names of GRAM bytes, then of pairs of names at growing offsets, until `length`.
+    """(id, h, ks, starts) by prefix doubling: names of GRAM bytes, then of pairs of names at growing offsets, until `length`.
 
     In each round names that occur once drop out with their positions; the other
     positions are sorted by name, paired with the one `offset` on, and named anew.
     Positions start as those under windows of anchors that occur again.
     """
     many = ranks.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
-    asked = spread_join(ranks.select("g", "id", "k"), materialise(many, "many"), ["g"], "n", ["id", "k"]).groupBy("id").agg(F.collect_list("k").alias("ks"))
+    asked = spread_join(ranks.select("g", "id", "h", "k"), materialise(many, "many"), ["g"], "n", ["id", "k"]).groupBy("id", "h").agg(F.collect_list("k").alias("ks"))
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for i, text, ks in zip(frame["id"].tolist(), frame["text"].tolist(), frame["ks"].tolist(), strict=True):
+            for i, h, text, ks in zip(frame["id"].tolist(), frame["h"].tolist(), frame["text"].tolist(), frame["ks"].tolist(), strict=True):
                 for base, prefix, first, last, _ in chosen(raw(text), np.asarray(ks, np.int64), length):
                     at = np.unique(spread(first, last + length - GRAM))
-                    yield pd.DataFrame({"name": hasher.spans(prefix, at, at + GRAM).view(np.int64), "id": i, "at": (at + base).astype(np.int32)})
+                    yield pd.DataFrame({"name": hasher.spans(prefix, at, at + GRAM).view(np.int64), "id": i, "h": h, "at": (at + base).astype(np.int32)})
 
-    named = materialise(with_text(materialise(asked, "asked")).mapInPandas(grams, "name long, id long, at int").distinct(), "names")
+    named = materialise(with_text(materialise(asked, "asked")).mapInPandas(grams, "name long, id long, h long, at int").distinct(), "names")
     forget(ranks)
     size = GRAM
     while True:
         often = materialise(named.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"), "often")
-        kept = materialise(spread_join(named, often, ["name"], "n", ["id", "at"]).select("name", "id", "at").sortWithinPartitions("name"), "kept")
+        kept = materialise(spread_join(named, often, ["name"], "n", ["id", "at"]).select("name", "id", "h", "at").sortWithinPartitions("name"), "kept")
         forget(named)
         forget(often)
         if size == length:
             break
         offset = min(size, length - size)
-        ahead = kept.select("id", (F.col("at") - offset).alias("at"), F.col("name").alias("then"))
-        named = materialise(kept.join(ahead, ["id", "at"]).select(F.xxhash64("name", "then").alias("name"), "id", "at"), "names")
+        ahead = kept.select("id", "h", (F.col("at") - offset).alias("at"), F.col("name").alias("then"))
+        named = materialise(kept.join(ahead, ["id", "h", "at"]).select(F.xxhash64("name", "then").alias("name"), "id", "h", "at"), "names")
         forget(kept)
         size += offset
     none = F.lit(None).cast("array<int>")
-    found = materialise(kept.groupBy("id").agg(F.collect_list("at").alias("starts")).select("id", none.alias("ks"), "starts"), "found")
+    found = materialise(kept.groupBy("id", "h").agg(F.collect_list("at").alias("starts")).select("id", "h", none.alias("ks"), "starts"), "found")
     forget(kept)
     return found
