@@ -14,8 +14,8 @@ from textloom.llm.queries import tokenizer
 ORACLE_SQL: str | None = None
 
 # Rows are told apart by doc_id and text: rows without a doc_id, and rows that repeat one with another text, go through
-# every stage by their own text. Near-dedup needs ids to name documents: rows without one stay there, and rows
-# that share one are judged together. A null text counts as empty. No documents give no rows.
+# every stage by their own text. Near-dedup needs ids to name documents: rows without one stay there. A null text
+# counts as empty. No documents give no rows.
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
