@@ -26,6 +26,20 @@ TEXTS = [f"Paragraph {k} of an article that says something at some length, as ar
         (f'<body><article><h1>T</h1>{LONG}</article><section id="comments"><article>{LONG}{LONG}{LONG}</article></section></body>', ["T", *TEXTS]),
         (f'<body><article><h1>T</h1><p>Short.</p><div class="ad">{LONG}</div></article></body>', ["T", "Short."]),
         (f'<body><div class="cookie-notice"><p>We use cookies</p></div><div class="wrap-widget">{LONG}</div></body>', TEXTS),
+        # readers' comments inside the article
+        (f'<body><article><h1>T</h1>{LONG}<article class="comment"><p>I agree</p></article></article></body>', ["T", *TEXTS]),
+        (f'<body><article><h1>T</h1>{LONG}<section class="comments" id="comments"><article class="comment">{LONG}</article><article>{LONG}</article></section></article></body>', ["T", *TEXTS]),
+        (f'<body><article><h1>T</h1>{LONG}<ol class="comment-list"><li class="comment even depth-1" id="li-comment-5">{LONG}</li></ol><div id="respond">Reply</div></article></body>', ["T", *TEXTS]),
+        (f'<body><article><h1>T</h1>{LONG}<section id="comments"><p>I agree</p></section><div id="disqus_thread">x</div></article></body>', ["T", *TEXTS]),
+        (f'<body><main><h1>T</h1>{LONG}</main><section class="comments-area"><article class="comment-body">{LONG}{LONG}</article></section></body>', ["T", *TEXTS]),
+        (f'<body><article class="post comments-open"><h1>T</h1>{LONG}</article></body>', ["T", *TEXTS]),
+        # its own headings and sections, whose names are subjects
+        (f'<body><article><h1>T</h1>{LONG}<h2 id="related-work">Related work</h2><p>Others.</p><h2 id="social-structure">Social structure</h2></article></body>', ["T", *TEXTS, "Related work", "Others.", "Social structure"]),
+        (f'<body><article><h1>T</h1>{LONG}<section id="discussion"><h2>Discussion</h2><p>We find it so.</p></section></article></body>', ["T", *TEXTS, "Discussion", "We find it so."]),
+        (f'<body><article><h1>T</h1>{LONG}<p class="promo-free">No promises.</p><div class="banner-history">Of flags.</div></article></body>', ["T", *TEXTS, "No promises.", "Of flags."]),
+        (f'<body><article><h1>T</h1><p>Short.</p><div class="discussion">{LONG}</div></article></body>', ["T", "Short.", *TEXTS]),
+        (f'<body><article><h1>T</h1>{LONG}<div class="related-posts"><p>More of it</p></div><div class="share-buttons">Share</div><div class="ad-slot">Buy</div><p id="ad-2">Buy</p></article></body>', ["T", *TEXTS]),
+        (f'<body><div class="content"><h1>T</h1>{LONG}<h2 id="form-and-content">Form</h2><p>And so on.</p></div></body>', ["T", *TEXTS, "Form", "And so on."]),
         ("<body><article><table><tr><td>one<td>two<tr><td>three</table></article></body>", ["one", "two", "three"]),
         ("<body><dl><dt>a<dd>b<dt>c</dl><p>x<b>y</p>z</b> w</body>", ["a", "b", "c", "xy", "z w"]),
     ],

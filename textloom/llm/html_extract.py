@@ -52,6 +52,16 @@ JUNK = frozenset(
     "subscription signup login sidebar rail widget widgets menu menus nav navbar navigation navi breadcrumb breadcrumbs toc pagination pager footer header masthead topbar toolbar share sharing social related "
     "recommended recommendations comment comments commentlist disqus discussion reply replies respond form search searchbox complementary contentinfo skip copyright disclaimer".split()
 )
+#: Of these, readers' comments, and what never is a part of an article, whatever its share of the text.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+ADVERTS = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription signup login popup modal overlay".split())
+#: Words beside which the ones above keep their meaning in a compound class or id; beside others ("related-work") they are subjects.
+NEUTRAL = frozenset(
+    "area areas aside author bar block blocks body bottom box boxes btn button buttons card cards col column container content count depth desktop div even feed grid group head heading html icon icons inline inner item items js label "
+    "large left li link links list lists main meta mobile module odd one outer page parent pane panel post posts region right row section slot small square story stories text thread title top two ul unit wrap wrapper zone".split()
+)
+#: Their ids are anchors of the text's own headings.
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 GOOD = frozenset("article articlebody content entry story post main maincontent text body".split())
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
@@ -71,6 +81,8 @@ TOP = 3
 LINKS, LINKED = 3, 0.75
 #: Shares of the page's text at which a marked element is no side matter: with an article, main or h1 in it; on a page without.
 PROVEN, MOST = 0.3, 0.7
+#: The share of linked text up to which a marked part of an article may be told.
+FEW = 0.2
 #: Attributes of up to so many characters are remembered, and of so many elements (20 MB a worker at most).
 REMEMBERED, ELEMENTS = 200, 20_000
 #: Characters of hosts and paths that are broadcast at most.
@@ -82,8 +94,12 @@ class Signs(NamedTuple):
 
     hidden: bool = False
     good: bool = False
-    junk: bool = False  # a word that speaks against it
-    inner: bool = False  # one that does so inside an article too
+    junk: bool = False  # a word of class or role that speaks against it
+    junk_id: bool = False  # one of the id
+    inner: bool = False  # a word of class or role, or a compound of such, that does so inside an article too
+    inner_id: bool = False
+    comment: bool = False  # readers' comments
+    advert: bool = False
     name: str = ""  # its classes without digits
 
 
@@ -94,26 +110,35 @@ def signs_of(attrs: str) -> Signs:
     found = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)}
     classes = found.get("class", "").lower().split()
     words: set[str] = set()
-    for token in [*classes, found.get("id", "").lower(), *found.get("role", "").lower().split()]:
-        parts = PARTS.findall(token)
-        if parts and parts[0] not in BESIDE:
-            words.update(parts)
+    sets: list[tuple[set[str], set[str]]] = []  # of class and role, then of the id: junk words anywhere, those of tokens that mean nothing else
+    for tokens in ([*classes, *found.get("role", "").lower().split()], [found.get("id", "").lower()]):
+        some: set[str] = set()
+        only: set[str] = set()
+        for token in tokens:
+            parts = PARTS.findall(token)
+            if parts and parts[0] not in BESIDE:
+                words.update(parts)
+                some.update(JUNK.intersection(parts))
+                if all(p in JUNK or p in NEUTRAL for p in parts):
+                    only.update(JUNK.intersection(parts))
+        sets.append((some, only))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     good = not words.isdisjoint(GOOD) or "articlebody" in found.get("itemprop", "").lower()
-    junk = words & JUNK
+    (junk, inner), (junk_id, inner_id) = sets
+    both = inner | inner_id
     name = "." + ".".join(sorted({DIGITS.sub("", c).replace("/", "_") for c in classes})) if classes else ""
-    return Signs(hidden, good, bool(junk), bool(junk - OWN), name)
+    return Signs(hidden, good, bool(junk), bool(junk_id), bool(inner - OWN), bool(inner_id - OWN), not both.isdisjoint(COMMENTS), not both.isdisjoint(ADVERTS), name)
 
 
 remembered = lru_cache(ELEMENTS)(signs_of)
 
 
 class Node:
-    __slots__ = ("tag", "name", "pid", "up", "place", "hard", "mark", "good", "article", "inert", "foreign", "linked", "holder", "scope", "open", "li", "dd", "row", "cell")
+    __slots__ = ("tag", "name", "pid", "up", "place", "hard", "mark", "comment", "advert", "good", "article", "inert", "foreign", "linked", "holder", "scope", "open", "li", "dd", "row", "cell")
 
     def __init__(self, tag: str, up: Node | None) -> None:
         self.tag, self.up, self.name, self.pid, self.place = tag, up, tag, 0, 0
-        self.hard = self.mark = self.good = False
+        self.hard = self.mark = self.comment = self.advert = self.good = False
         self.li: Node | None = None
         self.dd = self.row = self.cell = self.li
         block = tag in BLOCK
@@ -166,7 +191,9 @@ class Page:
         signs = PLAIN if not attrs or attrs.isspace() else remembered(attrs) if len(attrs) <= REMEMBERED else signs_of(attrs)
         node.good = signs.good or tag in ("article", "main")
         node.hard = up.hard or signs.hidden or node.inert or tag in DROPPED and not (tag == "header" and up.article)
-        node.mark = tag == "form" or (signs.inner if up.article else signs.junk) and tag not in ("html", "body", "article", "main")
+        by_id = tag not in ANCHORED and (signs.inner_id if up.article else signs.junk_id)
+        node.mark = tag == "form" or tag not in ("html", "body", "article", "main") and (by_id or (signs.inner if up.article else signs.junk)) or signs.comment and tag not in ("html", "body", "main")
+        node.comment, node.advert = signs.comment, signs.advert
         node.article = up.article or node.good and (tag in ("article", "main") or tag in CONTAINER and tag != "body" and not node.mark)
         node.pid = up.pid
         if tag in BLOCK:
@@ -270,7 +297,9 @@ class Page:
 
         A marked element stays if it holds an article, main or h1 and a good share of
         the page's text and no unmarked article or main stands beside it, or if it
-        holds most of the text of a page that has none of these.
+        holds most of the text of a page that has none of these. Inside an article it
+        stays if it is no advert and a good share of the page's text with few links.
+        Readers' comments go wherever an unmarked article or main is on the page.
         """
         n = len(self.nodes)
         plain, size, linked, links, proof = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
@@ -296,7 +325,8 @@ class Page:
         for i, node in enumerate(self.nodes[1:], 1):
             node.hard = node.hard or node.up.hard  # type: ignore[union-attr]
             if node.mark and not node.hard:
-                node.hard = not (proof[i] and free == above[i] and plain[i] >= PROVEN * plain[0] or not proof[0] and plain[i] >= MOST * plain[0])
+                told = node.up.article and not node.advert and not node.comment and node.tag != "form" and plain[i] >= PROVEN * plain[0] and linked[i] <= FEW * size[i]  # type: ignore[union-attr]
+                node.hard = node.comment and free > 0 or not (told or proof[i] and free == above[i] and plain[i] >= PROVEN * plain[0] or not proof[0] and plain[i] >= MOST * plain[0])
             elif node.tag in LISTS and links[i] >= LINKS and linked[i] >= LINKED * size[i] and not proof[i]:
                 node.hard = True
         self.blocks = [b for b in self.blocks if not b.holder.hard]
