@@ -221,6 +221,19 @@ def test_sharding_hot_text(spark):
     assert len(of["hot " * 50]) > 6 and all(len(s) == 1 for t, s in of.items() if t.startswith("copy"))
 
 
+@pytest.mark.parametrize("rows_per_range", [4, 50, 1_000_000])
+def test_sharding_keeps_groups_whole_whatever_the_number_of_ranges(spark, rows_per_range):
+    """Groups of up to 12 rows, 1 % of a shard each, beside one text with a fifth of the rows."""
+    rng = random.Random(9)
+    rows = [(k, f"group {k // 12} " + "z" * 20 if k % 5 else "hot " * 25) for k in range(3000)]
+    rows += [(4000 + k, rnd_text(rng, 20)) for k in range(300)]
+    got = check_shards(rows, sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shards=6, rows_per_range=rows_per_range), 6)
+    text, of = dict(rows), {}
+    for r in got:
+        of.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    assert len(of["hot " * 25]) > 2 and all(len(s) == 1 for t, s in of.items() if t != "hot " * 25)
+
+
 def repeats(rows, length):
     seen = {}
     for _, t, *_ in rows:

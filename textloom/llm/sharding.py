@@ -2,8 +2,9 @@
 
 Rows are ordered by (hash of the text, id), so equal texts lie together. A
 sample whose chances are proportional to size gives quantile boundaries; ranges
-that turn out overfull are sampled again, more densely, and subdivided, where a
-hot text takes boundaries between its own ids. Running sums inside the ranges
+that turn out overfull are sampled again, more densely, and subdivided. A text
+whose rows together are too large for one place takes boundaries between its own
+ids; no boundary falls inside any other text's rows. Running sums inside the ranges
 then place every row exactly.
 """
 
@@ -19,6 +20,8 @@ from textloom.llm.common import materialise, text_of
 
 #: A group of equal texts stays whole unless it is over this share of a shard.
 WHOLE = 0.04
+#: Ranges at most, and with them boundaries, sums and sampled rows on the driver.
+RANGES = 4096
 
 
 def range_of(point: Column, bounds: Column, n_bounds: int) -> Column:
@@ -32,14 +35,14 @@ def range_of(point: Column, bounds: Column, n_bounds: int) -> Column:
     return F.aggregate(steps, F.lit(0), step)
 
 
-def pick(sample: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """n - 1 boundaries at the sample's quantiles: before the first row of a text, between ids only inside a hot one."""
+def quantiles(sample: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     sample = sorted(sample)
-    cuts = [sample[i * len(sample) // n] for i in range(1, n)] if sample else []
-    out = []
-    for i, (key, at) in enumerate(cuts):
-        out.append((key, at) if i and cuts[i - 1][0] == key else (key, -(1 << 63)))
-    return sorted(set(out))
+    return [sample[i * len(sample) // n] for i in range(1, n)] if sample else []
+
+
+def boundaries(cuts: list[tuple[int, int]], hot: set[int]) -> list[tuple[int, int]]:
+    """Cuts moved before the first row of their text; only a hot text keeps those between its ids."""
+    return sorted({(key, at) if i and key in hot and cuts[i - 1][0] == key else (key, -(1 << 63)) for i, (key, at) in enumerate(cuts)})
 
 
 def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 8, sample_per_range: int = 48, rows_per_range: int = 1_000_000) -> DataFrame:
@@ -51,7 +54,8 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     gapless from 0; rows that repeat id and text get neighbouring slots in either
     order. Ids must be integers; a null id sorts first. Empty input, no rows. Only
     the two named columns are read. There are ranges_per_shard ranges a shard, and
-    so many that each, sorted by one task, has about rows_per_range rows at most.
+    so many that each, sorted by one task, has about rows_per_range rows, but no
+    more than RANGES: a range grows with the table from there on.
     """
     spark = docs.sparkSession
     base = materialise(
@@ -61,7 +65,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     )
     point = F.struct("key", F.coalesce("id", F.lit(-(1 << 63) + 1)).alias("id"))
     total, count = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    n = max(shards * ranges_per_shard, -(-count // rows_per_range))
+    n = max(shards * ranges_per_shard, min(RANGES, -(-count // rows_per_range)))
     chance = (F.pmod(F.xxhash64("id", "key", F.lit(77)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
 
     def sample(rows: DataFrame, rate: float) -> list[tuple[int, int]]:
@@ -72,7 +76,16 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
         at = F.from_json(F.lit(json.dumps([{"key": k, "id": i} for k, i in bounds])), "array<struct<key:bigint,id:bigint>>")
         return base.withColumn("range", range_of(point, at, len(bounds)))
 
-    bounds = pick(sample(base, n * sample_per_range / max(1, total)), n)
+    def pick(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Boundaries of the cuts; texts cut twice or more, n at most, are summed whole to see which are too large for one place."""
+        twice = sorted({b[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a[0] == b[0]})
+        if not twice:
+            return boundaries(cuts, set())
+        asked = spark.sql("SELECT explode(from_json(:s, 'array<bigint>')) AS key", args={"s": json.dumps(twice)})
+        sums = base.join(F.broadcast(asked), "key").groupBy("key").agg(F.sum("size").alias("s")).filter(F.col("s") > WHOLE * total / shards)
+        return boundaries(cuts, {r[0] for r in sums.select("key").collect()})
+
+    bounds = pick(quantiles(sample(base, n * sample_per_range / max(1, total)), n))
     for _ in range(3):
         rows = ranged(bounds)
         sums = {r[0]: r[1] for r in rows.groupBy("range").agg(F.sum("size"), F.count("*")).filter("count(1) > 1").collect()}
@@ -80,7 +93,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
         if not over:
             break
         dense = [r[0] for r in ranged(bounds).filter(F.col("range").isin(*over) & (chance < F.col("size") * (4 * n * sample_per_range / total))).select(F.struct("range", point.alias("p"))).collect()]
-        finer = [b for r, size in over.items() for b in pick([(x["p"]["key"], x["p"]["id"]) for x in dense if x["range"] == r], -(-2 * n * size // total))]
+        finer = pick([c for r, size in sorted(over.items()) for c in quantiles([(x["p"]["key"], x["p"]["id"]) for x in dense if x["range"] == r], -(-2 * n * size // total))])
         if not set(finer) - set(bounds):
             break
         bounds = sorted(set(bounds) | set(finer))
