@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
+from textloom.functions import udf
 
 CORE = ["ttr", "mattr", "stem_ttr", "herdan_c", "ttr_inflation", "bigram_diversity", "trigram_diversity", "avg_word_length", "avg_sentence_length", "sentence_length_sd", "punct_density", "fertility", "doc_len_words", "doc_len_chars"]
 FULL = [*CORE, "latin_token_ratio"]
@@ -24,11 +25,15 @@ def ttr(w: Column) -> Column:
     return share(F.size(F.array_distinct(w)), F.size(w))
 
 
-def mattr(w: Column, window: int = 50) -> Column:
-    """Mean type-token ratio of all windows; the plain ratio of shorter texts."""
-    n = F.size(w)
-    many = F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.size(F.array_distinct(F.slice(w, i, window))).cast("double"))
-    return F.when(n > window, mean(many) / window).otherwise(ttr(w))
+def mattr(text: Column, window: int = 50) -> Column:
+    """Mean type-token ratio of all windows; the plain ratio of shorter texts (an Arrow function, linear in the text)."""
+    return udf.mattr_of(window)(text)
+
+
+def fertility(text: Column, tokenizer_json: str) -> Column:
+    """Subwords for each word, by a tokenizer of the tokenizers library; 0 for a text without words."""
+    n = F.size(tx.words(F.coalesce(text, F.lit(""))))
+    return F.when(n > 0, udf.subwords(tokenizer_json)(text) / n).otherwise(0.0)
 
 
 def ngram_diversity(w: Column, n: int) -> Column:
@@ -59,18 +64,23 @@ def sd(a: Column) -> Column:
 
 
 def feature_table(df: DataFrame, text: str = "text", keys: list[str] | None = None, suffixes: list[str] | None = None, fertility: Column | None = None) -> DataFrame:
-    """Keys and all features. Words and sentence lengths are made once, below the features. Null text counts as empty."""
+    """Keys and all features. Words and sentence lengths are made once, below the features. Null text counts as empty.
+
+    fertility: the column of that name, see fertility(); without a tokenizer it is 0.
+    """
     keys = keys or [c for c in df.columns if c != text]
     t = F.coalesce(F.col(text), F.lit(""))
     stems = tx.SINHALA_SUFFIXES if suffixes is None else suffixes
-    base = df.select(*keys, t.alias("_t"), tx.words(t).alias("_w"), sentence_lengths(t).alias("_s"))
-    base = base.select("*", F.transform("_w", lambda x: tx.stem(x, stems)).alias("_st"), mattr(F.col("_w")).alias("mattr"), ttr(F.col("_w")).alias("ttr"))
+    rate = fertility if fertility is not None else F.lit(0.0)
+    base = df.select(*keys, t.alias("_t"), mattr(t).alias("mattr"), rate.alias("fertility"))
+    base = base.select("*", tx.words(F.col("_t")).alias("_w"), sentence_lengths(F.col("_t")).alias("_s"))
+    base = base.select("*", F.transform("_w", lambda x: tx.stem(x, stems)).alias("_st"), ttr(F.col("_w")).alias("ttr"))
     w, n = F.col("_w"), F.size("_w")
     m = mean(F.col("_s"))
     spread = tx.let(m, lambda mu: F.sqrt(mean(F.transform("_s", lambda x: (x - mu) * (x - mu)))))
     return base.select(
         *keys, "ttr", "mattr", ttr(F.col("_st")).alias("stem_ttr"), herdan_c(w).alias("herdan_c"), share(F.col("ttr"), F.col("mattr")).alias("ttr_inflation"),
         ngram_diversity(w, 2).alias("bigram_diversity"), ngram_diversity(w, 3).alias("trigram_diversity"), avg_word_length(w).alias("avg_word_length"), m.alias("avg_sentence_length"), spread.alias("sentence_length_sd"),
-        (tx.punct_count(F.col("_t")) / F.greatest(n, F.lit(1))).alias("punct_density"), (fertility if fertility is not None else F.lit(0.0)).alias("fertility"), n.alias("doc_len_words"), F.length("_t").alias("doc_len_chars"),
+        (tx.punct_count(F.col("_t")) / F.greatest(n, F.lit(1))).alias("punct_density"), "fertility", n.alias("doc_len_words"), F.length("_t").alias("doc_len_chars"),
         share(F.size(F.filter(w, tx.is_latin)), n).alias("latin_token_ratio"),
     )

@@ -8,6 +8,7 @@ import unicodedata
 from bisect import bisect_left
 from itertools import accumulate, groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,3 +106,58 @@ def binomial_two_sided(k: int, n: int) -> float:
 @F.pandas_udf(T.DoubleType())
 def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([binomial_two_sided(min(x, y), x + y) if x + y else 1.0 for x, y in zip(b, c, strict=True)], dtype="float64")
+
+
+def subwords(tokenizer_json: str):
+    """Number of a text's tokens by a tokenizer of the tokenizers library (its file's text), without special tokens; null as empty."""
+
+    @F.pandas_udf(T.LongType())
+    def count(texts: pd.Series) -> pd.Series:
+        found = loaded(tokenizer_json).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        return pd.Series([len(e) for e in found], dtype="int64")
+
+    return count
+
+
+_tokenizers: dict[int, object] = {}
+
+
+def loaded(tokenizer_json: str):
+    """One tokenizer for each worker, kept for later batches."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    key = hash(tokenizer_json)
+    if key not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[key] = Tokenizer.from_str(tokenizer_json)
+    return _tokenizers[key]
+
+
+def rolling_ttr(words: list[str], window: int) -> float:
+    """Mean type-token ratio of all windows, in linear time: each word is the first of its kind in one run of windows."""
+    n = len(words)
+    if n <= window:
+        return len(set(words)) / n if n else 0.0
+    number: dict[str, int] = {}
+    codes = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
+    order = np.argsort(codes, kind="stable")
+    before = np.full(n, -1)
+    again = codes[order[1:]] == codes[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    first = np.maximum(np.maximum(before + 1, np.arange(n) - window + 1), 0)
+    last = np.minimum(np.arange(n), n - window)
+    counted = first <= last
+    return float((last - first + 1)[counted].sum()) / (n - window + 1) / window
+
+
+def mattr_of(window: int = 50):
+    """Moving-average type-token ratio of a text; null as empty. str.split() takes for white space what functions/text.py does."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(texts: pd.Series) -> pd.Series:
+        return pd.Series([rolling_ttr((t or "").split(), window) for t in texts], dtype="float64")
+
+    return ratio

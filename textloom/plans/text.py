@@ -39,7 +39,7 @@ def doc_ttr_herdan(spark, sf_dir):
     "SELECT doc_id, CAST(mattr AS DECIMAL(18,5)) AS mattr, CAST(CASE WHEN mattr > 0 THEN ttr / mattr ELSE 0 END AS DECIMAL(18,5)) AS ttr_inflation FROM m"
 )
 def doc_mattr(spark, sf_dir):
-    base = worded(spark, sf_dir).select("doc_id", fx.mattr(F.col("w")).alias("m"), fx.ttr(F.col("w")).alias("t"))
+    base = docs(spark, sf_dir).select("doc_id", fx.mattr(F.col("text")).alias("m"), fx.ttr(tx.words(F.col("text"))).alias("t"))
     return base.select("doc_id", dec("m", 5).alias("mattr"), dec(fx.share(F.col("t"), F.col("m")), 5).alias("ttr_inflation"))
 
 
@@ -181,6 +181,16 @@ def feature_table(spark, sf_dir):
     return out.select("doc_id", "lang", *[dec(f).alias(f) for f in _FEATURES], F.col("doc_len_words").cast("long"), F.col("doc_len_chars").cast("long"))
 
 
+@query()
+def doc_fertility(spark, sf_dir):
+    """Subwords a word by a public tokenizer (no SQL: the tokenizers library; tested against it)."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    return docs(spark, sf_dir).select("doc_id", fx.fertility(F.col("text"), tokenizer).alias("fertility"))
+
+
 @query()
 def segmented_sentences(spark, sf_dir):
     """Rule-based sentences, one row each (no SQL: a stateful scan; tested against its rules)."""
