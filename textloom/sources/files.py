@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import allocation
 from textloom.operators.ranking import keep_last, sorted_rank
+from textloom.sources.json_array import read_json_array
 from textloom.sources.jsonl import line_order
 
 #: Column names of the domains' sources.
@@ -34,9 +35,16 @@ def positional_key(df: DataFrame, name: str = "source_id") -> DataFrame:
     return rows.join(F.broadcast(sizes), ["_path", "_block"]).withColumn(name, (F.col("_before") + F.col("_line") - F.col("_first")).cast("string")).select(*df.columns, name)
 
 
-def read_source(spark: SparkSession, path: str, domain: str | None = None, format: str | None = None) -> DataFrame:
-    """JSON arrays, JSON lines, Parquet, ORC, CSV (quoted newlines too); Excel where openpyxl is installed."""
+def read_source(spark: SparkSession, path: str, domain: str | None = None, format: str | None = None, schema: str | None = None) -> DataFrame:
+    """JSON arrays, JSON lines, Parquet, ORC, CSV (quoted newlines too); Excel where openpyxl is installed.
+
+    With a `schema`, a JSON array is one file of any size that many tasks read in
+    chunks, and source_id, if the schema lacks it, is the element's byte position.
+    """
     kind = format or os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
+    if kind == "json" and schema:
+        found = read_json_array(spark, [path]).select(F.from_json("value", schema).alias("e"), F.col("at").cast("string").alias("source_id"))
+        return found.select("e.*", *([] if "source_id" in found.schema["e"].dataType.names else ["source_id"])).withColumnsRenamed(RENAMES.get(domain or "", {}))
     if kind == "json":
         df = spark.read.option("multiLine", True).json(path)
     elif kind == "jsonl":
