@@ -542,9 +542,16 @@ def brute_licenses(text):
     out = set()
     for line in text.split("\n"):
         own = license_scan.words(line)
-        for name, wordings in license_scan.TEMPLATES.items():
+        for name, wordings in license_scan.known_wordings().items():
             for ws in map(license_scan.words, wordings):
                 allowed = int(license_scan.DIFFER * len(ws)) if len(ws) > license_scan.NAME else 0
+                if len(set(ws) - set(own)) > allowed:
+                    continue
+                if not allowed:  # a name: word for word, and not denied
+                    at = [k for k in range(len(own)) if own[k : k + len(ws)] == ws]
+                    if any(license_scan.DENIALS.isdisjoint(own[max(0, k - license_scan.DENIED) : k]) for k in at):
+                        out.add(name)
+                    continue
                 column = list(range(len(ws) + 1))
                 for y in own:
                     last, column = column, [0]
