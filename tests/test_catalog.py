@@ -70,3 +70,13 @@ def test_strip_categories_keeps_tagged_pages(spark, tmp_path):
     spark.createDataFrame([p[:2] for p in pages], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = catalog.QUERIES["strip_categories"](spark, str(tmp_path)).collect()
     assert sorted((r["page_id"], r["tagged"], r["text"]) for r in got) == [(k, tagged, text) for k, _, tagged, text in pages]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(con.sql(f"SELECT page_id, tagged, text FROM ({catalog.ORACLE_SQL['strip_categories']})").fetchall()) == [(k, tagged, text) for k, _, tagged, text in pages]
+
+
+def test_bootstrap_interval(spark, sf_dir):
+    """Around the macro-F1 of the whole table, and narrow."""
+    r = catalog.QUERIES["pair_bootstrap_ci"](spark, sf_dir).first()
+    whole = sum(x["full_f1"] for x in catalog.QUERIES["size_control"](spark, sf_dir).collect())
+    assert r["lo"] < whole < r["hi"] and r["hi"] - r["lo"] < 0.4

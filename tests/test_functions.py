@@ -175,6 +175,9 @@ def test_statistics(spark):
         picks = [rng.randrange(60) for _ in range(60)]
         plain.append(statistics.mean(f1([one_pair for g in picks for one_pair in rows[g * 4 : g * 4 + 4] if one_pair[2] == s]) for s in (1, 2)))
     assert got[0] == 600 and got[1] == pytest.approx(statistics.mean(plain), abs=0.02) and got[2] == pytest.approx(statistics.stdev(plain), rel=0.25)
+    for n in (1, 7):  # dealt over shards of few patterns, the draws have the same law
+        dealt = stats.paired_bootstrap(df, "pair", "model", "seed", n_boot=600, chunk=100, shard_rows=n).agg(F.count("*"), F.avg("macro_f1"), F.stddev_samp("macro_f1")).first()
+        assert dealt[0] == 600 and dealt[1] == pytest.approx(statistics.mean(plain), abs=0.02) and dealt[2] == pytest.approx(statistics.stdev(plain), rel=0.25)
     assert udf.binomial_two_sided(2, 10) == pytest.approx(2 * sum(math.comb(10, i) for i in range(3)) / 1024) and udf.binomial_two_sided(5, 10) == 1
     const = stats.cohens_d(df.withColumn("one", F.lit(1.0)).withColumn("s", F.col("score").cast("double")), [], ["one", "s"]).collect()
     assert {r["feature"]: r["cohens_d"] is None for r in const} == {"one": True, "s": False}

@@ -119,3 +119,45 @@ def test_mattr_and_fertility(spark):
     assert {r["i"]: r["fertility"] for r in table.collect()} == {i: r["f"] for i, r in got.items()}
     assert fx.feature_table(df, keys=["i"]).agg(F.max("fertility")).first()[0] == 0.0
     assert udf.rolling_ttr(["a"] * 60, 50) == 1 / 50
+
+
+def test_run_grid_goes_on(spark, tmp_path):
+    """A grid that breaks off; settings in another order; a second phase; the best of it."""
+    from textloom.operators import runs
+
+    log, made = VersionedTable(spark, str(tmp_path / "runs")), []
+
+    def fit(s):
+        made.append(s["lr"])
+        if s["lr"] == 3 and made.count(3) == 1:
+            raise RuntimeError("lost")
+        return {"f1": 1.0 - abs(s["lr"] - 2) / 10}
+
+    grid = [{"model": "m", "lr": k} for k in (1, 2, 3, 1)]
+    with pytest.raises(RuntimeError):
+        runs.run_grid(grid, log, "search", fit)
+    assert [s["lr"] for s in runs.pending(grid, log, "search")] == [3]
+    again = [{"lr": k, "model": "m"} for k in (3, 2, 1)]
+    found = runs.run_grid(again, log, "search", fit)
+    assert found.count() == 3 and made == [1, 2, 3, 3]
+    best = runs.best_settings(found, "f1")
+    assert best == {"lr": 2, "model": "m"}
+    assert runs.run_grid([best | {"seed": 1}], log, "main", fit).count() == 1 and made[-1] == 2 and log.present(["run_id"]).count() == 4
+    assert runs.run_grid([], log, "main", fit).count() == 0
+    with pytest.raises(ValueError, match="no runs"):
+        runs.best_settings(found.limit(0), "f1")
+
+
+def test_two_drivers_record_progress(spark, tmp_path):
+    from textloom import api
+
+    path = str(tmp_path / "progress")
+    records = spark.createDataFrame([("news", "a", 10, 5), ("news", "a", 10, 5), ("news", "b", 1, 1)], "domain string, generator string, input_tokens long, output_tokens long")
+    target = spark.createDataFrame([("news", "a", 2), ("news", "b", 3)], "domain string, model string, target_count long")
+    threads = [threading.Thread(target=api.record_progress, args=(records.filter(F.col("generator") == g), target.filter(F.col("model") == g), {"a": (0.1, 0.2)}, path)) for g in ("a", "b")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    got = {r["model"]: (r["completed_count"], r["status"]) for r in VersionedTable(spark, path).present(["domain", "model"]).collect()}
+    assert got == {"a": (2, "done"), "b": (1, "in_progress")}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as tx
 from textloom.operators import allocation, ml, pairs, quality, ranking, stats
 from textloom.sources import connectors, files, jsonl
+from textloom.sources.commits import VersionedTable
 from textloom.streaming.resume import append_new, known, upsert
 
 #: Which column holds a domain's human text.
@@ -143,9 +144,18 @@ def progress(records: DataFrame, target: DataFrame, prices: dict[str, tuple[floa
     return out.withColumn("status", F.when(F.col("completed_count") >= F.col("target_count"), "done").when(F.col("completed_count") > 0, "in_progress").otherwise("not_started"))
 
 
-def record_progress(records: DataFrame, target: DataFrame, prices: dict[str, tuple[float, float]], path: str, version: int, failed: DataFrame | None = None) -> None:
-    """Writes the progress table under a version; resume.present(spark, path, ["domain", "model"]) shows the last one."""
-    upsert(progress(records, target, prices, failed), path, version)
+def record_progress(records: DataFrame, target: DataFrame, prices: dict[str, tuple[float, float]], path: str, version: int | None = None, failed: DataFrame | None = None) -> None:
+    """Writes the progress table; several drivers may do so at once.
+
+    VersionedTable(spark, path).present(["domain", "model"]) shows the last row of
+    each. With a `version`, which then only one driver may write, it is stored under
+    that, and resume.present() shows it.
+    """
+    rows = progress(records, target, prices, failed)
+    if version is None:
+        VersionedTable(records.sparkSession, path).upsert(rows)
+    else:
+        upsert(rows, path, version)
 
 
 def merge(lines: DataFrame) -> dict[str, DataFrame]:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.ranges import prefix_sums, quantiles
+from textloom.session import cut
 
 
 def confusion(df: DataFrame, by: list[str], label: str = "label", pred: str = "pred") -> DataFrame:
@@ -81,42 +80,51 @@ def bootstrap_p(delta: Column, n: int) -> Column:
     return F.least(F.lit(1.0), F.greatest(2 * F.least(low, high), F.lit(1.0 / n)))
 
 
-def paired_bootstrap(df: DataFrame, group: str, model: str, seed_col: str, n_boot: int = 5000, seed: int = 0, chunk: int = 250, label: str = "label", pred: str = "pred") -> DataFrame:
+def paired_bootstrap(df: DataFrame, group: str, model: str, seed_col: str, n_boot: int = 5000, seed: int = 0, chunk: int = 250, label: str = "label", pred: str = "pred", shard_rows: int = 2048) -> DataFrame:
     """(model, rep, macro_f1): pairs resampled together, with the same draws for every model, mean over seeds.
 
-    A pair is reduced to its counts first; equal count patterns are then merged,
-    so a replicate is a multinomial draw over the distinct patterns - a table whose
-    size does not grow with the number of pairs - instead of one draw per pair.
+    A pair is reduced to its counts first; equal count patterns are then merged, so
+    a replicate is a multinomial draw over the distinct patterns. Patterns are dealt
+    over shards of about `shard_rows` (4,096 shards at most): a replicate first
+    draws how many pairs each shard gets, then each shard its own patterns, which
+    together is one draw over all of them, and the shards' counts are summed.
     """
     counts = confusion(df, [group, model, seed_col], label, pred)
     columns = counts.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(model, seed_col, "tn", "fp", "fn", "tp"))).alias("pattern"))
-    patterns = columns.groupBy("pattern").agg(F.count("*").alias("n"))
-    jobs = df.sparkSession.range(-(-n_boot // chunk)).repartition(max(1, min(64, -(-n_boot // chunk))))
-    whole = patterns.select(F.to_json("pattern").alias("pattern"), "n").agg(F.sort_array(F.collect_list(F.struct("pattern", "n"))).alias("all"))
-    kind = dict(df.dtypes)[model]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    patterns = cut(columns.groupBy("pattern").agg(F.count("*").alias("n")).select(F.to_json("pattern").alias("pattern"), "n"))
+    shards = min(4096, max(1, -(-patterns.count() // shard_rows)))
+    dealt = patterns.withColumn("shard", F.pmod(F.xxhash64("pattern"), F.lit(shards)).cast("int"))
+    totals = {r["shard"]: r["n"] for r in dealt.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    jobs = -(-n_boot // chunk)
+    turns = max(1, min(jobs, 64 // shards))  # tasks for each shard
+    kinds = dict(df.dtypes)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         import json
 
         import numpy as np
 
-        for frame in frames:
-            for job, rows in zip(frame["id"].tolist(), frame["all"].tolist(), strict=True):
-                table = [(json.loads(r["pattern"]), r["n"]) for r in rows]
-                n = np.array([x for _, x in table], float)
-                rng = np.random.default_rng([seed, job])
-                size = min(chunk, n_boot - job * chunk)
-                draws = rng.multinomial(int(n.sum()), n / n.sum(), size)
-                keys = sorted({(c[model], c[seed_col]) for p, _ in table for c in p})
-                sums: dict = {}
-                for k in keys:
-                    cells = np.array([[next((c[x] for c in p if (c[model], c[seed_col]) == k), 0) for x in ("tn", "fp", "fn", "tp")] for p, _ in table])
-                    tn, fp, fn, tp = (draws @ cells).T
-                    sums.setdefault(k[0], []).append((2 * tp / np.maximum(2 * tp + fp + fn, 1) + 2 * tn / np.maximum(2 * tn + fp + fn, 1)) / 2)
-                for m, all_seeds in sums.items():
-                    yield pd.DataFrame({"model": m, "rep": job * chunk + np.arange(size), "macro_f1": np.mean(all_seeds, 0)})
-
-    return jobs.join(F.broadcast(whole), F.lit(True)).mapInPandas(run, f"model {kind}, rep long, macro_f1 double")
+        frame = frame.sort_values("pattern", ignore_index=True)
+        table, n = [json.loads(p) for p in frame["pattern"]], frame["n"].to_numpy(float)
+        shard, turn = int(frame["shard"].iloc[0]), int(frame["turn"].iloc[0])
+        names = sorted(totals)
+        share = np.array([totals[k] for k in names], float)
+        keys = sorted({(c[model], c[seed_col]) for p in table for c in p})
+        cells = {k: np.array([[next((c[x] for c in p if (c[model], c[seed_col]) == k), 0) for x in ("tn", "fp", "fn", "tp")] for p in table]) for k in keys}
+        out = []
+        for job in range(turn, jobs, turns):
+            size = min(chunk, n_boot - job * chunk)
+            given = np.random.default_rng([seed, job]).multinomial(int(share.sum()), share / share.sum(), size)[:, names.index(shard)]
+            draws = np.random.default_rng([seed, job, shard]).multinomial(given, n / n.sum())
+            for (m, k), c in cells.items():
+                tn, fp, fn, tp = (draws @ c).T
+                out.append(pd.DataFrame({"model": m, "seed": k, "rep": job * chunk + np.arange(size), "tn": tn, "fp": fp, "fn": fn, "tp": tp}))
+        return pd.concat(out)
+
+    spread = dealt.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    drawn = spread.groupBy("shard", "turn").applyInPandas(run, f"model {kinds[model]}, seed {kinds[seed_col]}, rep long, tn long, fp long, fn long, tp long")
+    summed = drawn.groupBy("model", "seed", "rep").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])
+    return summed.groupBy("model", "rep").agg(F.avg(macro_f1(*[F.col(c) for c in ("tn", "fp", "fn", "tp")])).alias("macro_f1"))
 
 
 def percentile_ci(df: DataFrame, by: list[str], value: str, rows: int = 250_000) -> DataFrame:

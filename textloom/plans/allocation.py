@@ -51,9 +51,10 @@ def split_70_15_15(spark, sf_dir):
 def leave_one_out(spark, sf_dir):
     """A fold for each language: all its documents are test, all others are seen."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    folds = d.select(F.col("lang").alias("held_out")).distinct()
+    folds = d.agg(F.collect_set("lang").alias("folds")).scalar()
     test = d.select(F.col("lang").alias("held_out"), "doc_id", F.lit("test").alias("part"))
-    return test.unionByName(d.join(F.broadcast(folds), F.col("lang") != F.col("held_out")).select("held_out", "doc_id", F.lit("seen").alias("part")))
+    seen = d.filter("lang IS NOT NULL").withColumn("_folds", folds).select(F.explode(F.array_remove("_folds", F.col("lang"))).alias("held_out"), "doc_id", F.lit("seen").alias("part"))
+    return test.unionByName(seen)
 
 
 _SPLIT = f"(SELECT c.conv_id, CASE role WHEN 'user' THEN 0 ELSE 1 END AS label, CASE WHEN turn % 4 = 3 THEN 'late' ELSE 'early' END AS domain, CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.85::DOUBLE) THEN 'dev' ELSE 'test' END AS split FROM conversations c JOIN {_GROUPS} USING (conv_id))"

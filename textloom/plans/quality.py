@@ -52,9 +52,17 @@ def category_only(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", quality.category_only(F.col("text"), "The").alias("prefix_only"))
 
 
-@query(r"SELECT page_id, regexp_matches(html, 'Category[ \t]*:') AS tagged, html AS text FROM pages WHERE NOT regexp_matches(html, 'Category[ \t]*:')")
+_TAG = r"[ \t]*(?:\[\[)?[ \t]*(?:\x{0DB4}\x{0DCA}\x{200D}?\x{0DBB}\x{0DC0}\x{0DBB}\x{0DCA}\x{0D9C}\x{0DBA}|Category)[ \t]*:"
+_LINE, _GLUED = rf"(?m)^{_TAG}.*$", rf"(?m)([.!?\x{{0964}}]){_TAG}[^\n]*$"
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(
+    rf"SELECT page_id, regexp_matches(html, 'Category[ \t]*:') AS tagged, CASE WHEN regexp_matches(html, '{_LINE}') OR regexp_matches(html, '{_GLUED}') THEN "
+    rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{_GLUED}', '\1', 'g'), '{_LINE}', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') ELSE html END AS text FROM pages"
+)
 def strip_categories(spark, sf_dir):
-    """All pages; the SQL can only say those without a tag, which the given tables' pages all are."""
+    """All pages, their category tags taken out."""
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", F.col("html").rlike(r"Category[ \t]*:").alias("tagged"), quality.strip_categories(F.col("html")).alias("text"))
 

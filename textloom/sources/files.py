@@ -32,7 +32,7 @@ def positional_key(df: DataFrame, name: str = "source_id") -> DataFrame:
     sizes = rows.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_line").alias("_first"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_path", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("_path", "_block", "_first", before.alias("_before"))
-    return rows.join(F.broadcast(sizes), ["_path", "_block"]).withColumn(name, (F.col("_before") + F.col("_line") - F.col("_first")).cast("string")).select(*df.columns, name)
+    return rows.join(sizes, ["_path", "_block"]).withColumn(name, (F.col("_before") + F.col("_line") - F.col("_first")).cast("string")).select(*df.columns, name)
 
 
 def read_source(spark: SparkSession, path: str, domain: str | None = None, format: str | None = None, schema: str | None = None) -> DataFrame:
