@@ -36,7 +36,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_lattice_lm": op12_lattice_lm,
     "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op9_decontamination": decontaminate.SQL, "op11_importance_resampling": importance.SQL, "op13_hard_negatives": hard_negatives.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op5_minhash_near_dedup": near_dedup.SQL, "op7_substring_dedup": substring_dedup.SQL, "op9_decontamination": decontaminate.SQL, "op11_importance_resampling": importance.SQL, "op13_hard_negatives": hard_negatives.SQL}

@@ -237,3 +237,16 @@ def doubled(ranks: DataFrame, with_text: Callable[[DataFrame], DataFrame], lengt
     found = materialise(kept.groupBy("id", "h").agg(F.collect_list("at").alias("starts")).select("id", "h", none.alias("ks"), "starts"), "found")
     forget(kept)
     return found
+
+
+#: Every window of 200 bytes of every text, by hash: for small tables.
+SQL = """
+WITH d AS (SELECT doc_id, bytes, hex(bytes) AS hx, octet_length(bytes) AS n FROM (SELECT doc_id, encode(coalesce(text, '')) AS bytes FROM documents)),
+win AS (SELECT doc_id, i, hash(bytes[i + 1 : i + 200]) AS h FROM (SELECT doc_id, bytes, unnest(range(0, greatest(n - 199, 0))) AS i FROM d)),
+again AS (SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+mark AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 200 THEN 0 ELSE 1 END AS new FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM mark) GROUP BY doc_id, k),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM span),
+cut AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(hx, CAST(2 * z + 1 AS BIGINT), CAST(2 * (a - z) AS BIGINT)), '' ORDER BY a) || substr(first(hx), CAST(2 * max(b) + 1 AS BIGINT)) AS kept FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, hx))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""
