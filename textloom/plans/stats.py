@@ -147,10 +147,13 @@ def mcnemar_counts(spark, sf_dir):
     return stats.mcnemar(_wide(spark, sf_dir), "label", "a", "b").select("a_only_correct", "b_only_correct")
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT count(*) FILTER (WHERE a = label AND b <> label) AS x, count(*) FILTER (WHERE a <> label AND b = label) AS y FROM (SELECT doc_id, label, max(pred) FILTER (WHERE seed = 1) AS a, max(pred) FILTER (WHERE seed = 2) AS b FROM {_P} GROUP BY doc_id, label))
+    SELECT x AS a_only_correct, y AS b_only_correct, CAST(least(1.0, 2 * (SELECT sum(exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2))) FROM range(least(x, y) + 1) r(i))) AS DECIMAL(18,6)) AS mcnemar_p FROM c"""
+)
 def mcnemar(spark, sf_dir):
-    """With the exact p-value (tested against its definition)."""
-    return stats.mcnemar(_wide(spark, sf_dir), "label", "a", "b")
+    """With the exact p-value, rounded."""
+    return stats.mcnemar(_wide(spark, sf_dir), "label", "a", "b").select("a_only_correct", "b_only_correct", dec("mcnemar_p").alias("mcnemar_p"))
 
 
 @query()
