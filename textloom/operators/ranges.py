@@ -105,7 +105,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: list[float], rows: i
     def between(q: Column) -> Column:
         p = q * (F.col("n") - 1)
         low, high = F.element_at(at_rank, F.floor(p)), F.element_at(at_rank, F.ceil(p))
-        return low + (high - low) * (p - F.floor(p))
+        return F.when(F.floor(p) == F.ceil(p), low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
 
     return found.select(*by, "n", F.transform(exact, between).alias("q"))
 
