@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import SpanHasher
+from textloom.llm.common import SpanHasher, give_back
 
 SLOTS = 1 << 16
 SEGMENT = 32
@@ -253,6 +253,7 @@ def identify(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id",
             for batch in batches:
                 found = judged(batch.column(batch.schema.names.index(text_col)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found["lang_pred"], pa.string()), pa.array(found["score"], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            give_back()
 
         kinds = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
         return docs.mapInArrow(run, kinds)
@@ -260,6 +261,7 @@ def identify(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id",
     def run_ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "held_out": frame["held_out"], **judged(frame["text"].tolist())})
+        give_back()
 
     base = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = dict(base.dtypes)["id"]

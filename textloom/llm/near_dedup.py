@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bit_filter, forget, materialise, might_contain, mix, repeated_ids, row_hash, spread_join
+from textloom.llm.common import bit_filter, forget, give_back, materialise, might_contain, mix, repeated_ids, row_hash, spread_join
 from textloom.llm.components import components
 
 ROWS, BANDS = 4, 30
@@ -137,6 +137,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 out = [(i, len(s), *(next(rows) if len(s) else (None, None, None))) for i, s in zip(ids[at : at + len(texts)], sets, strict=True)]
                 at += len(texts)
                 yield pd.DataFrame(out, columns=["id", "n", "cls", "sketch", "bands"]).assign(row_hash=frame["row_hash"].to_numpy()[at - len(texts) : at])
+            give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row_hash", row_hash("id", "text"))
     return rows.mapInPandas(run, "id long, n long, cls binary, sketch array<long>, bands array<long>, row_hash long")
@@ -162,6 +163,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield frame.loc[keep, ["a", "b"]]
+        give_back()
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import forget, materialise
+from textloom.llm.common import forget, give_back, materialise
 
 #: A bin's id is its round, from this bit on, then its split and, in the lower 32 bits, its number there.
 SHIFT = 52
@@ -70,6 +70,7 @@ def cut(docs: DataFrame, id_col: str, text_col: str, tokenizer_json: str, capaci
         bins, offsets = best_fit(out["length"].to_numpy(np.int64), capacity)
         out["bin"], out["offset"] = bins + (TaskContext.get().partitionId() << 32), offsets
         yield out
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(pack, PIECES)
 

@@ -17,8 +17,8 @@ from itertools import repeat
 
 import numpy as np
 
-#: Pieces that a worker remembers, and the code points of the longest; others are encoded again in each batch. 250 MB at the worst.
-MEMO, LONGEST = 800_000, 32
+#: Pieces that a worker remembers, and the code points of the longest; others are encoded again in each batch. 100 MB at the worst.
+MEMO, LONGEST = 300_000, 32
 #: The parts of a tokenizer's file for which the split at spaces is exact. NFC composes nothing with a
 #: space or newline, lower-casing is by character, and no match of the pattern has white space in it.
 WORDS = {
