@@ -99,6 +99,17 @@ def test_interval_join(spark):
     assert joins.interval_join(a, b.limit(0), ["k"], ("s", "e"), ("s2", "e2")).count() == 0
 
 
+def test_interval_join_of_empty_spans(spark):
+    """With `empty`, spans that end at their start or before it match as the plain comparison says."""
+    rng = random.Random(8)
+    rows = [(i, i % 2, s, s + rng.choice([0, 0, -1, -3, -40, 1, 2, 8, 30, 200])) for i in range(500) for s in [rng.randrange(-300, 300)]]
+    df = spark.createDataFrame(rows, "i int, k int, s long, e long").repartition(5)
+    got = joins.interval_join(df.filter("i % 3 > 0"), df.filter("i % 3 = 0"), ["k"], ("s", "e"), ("s", "e"), empty=True)
+    frame = pd.DataFrame(rows, columns=["i", "k", "s", "e"])
+    sql = "SELECT x.i AS a, y.i AS b FROM rows x JOIN rows y ON x.k = y.k AND x.i % 3 > 0 AND y.i % 3 = 0 AND x.s < y.e AND y.s < x.e"
+    assert same_rows(got.select(F.col("l.i").alias("a"), F.col("r.i").alias("b")), sql, rows=frame) > 1000
+
+
 def test_interval_join_meets_little_in_vain(spark):
     """Long spans on one side don't put short ones into one bin."""
     short = spark.range(3000).selectExpr("0 AS k", "id * 1000 AS s", "id * 1000 + 10 AS e")

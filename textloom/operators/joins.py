@@ -49,11 +49,13 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     return out.select("_left.*", *[F.col(f"_right.{c}") for c in take]).unionByName(bare)
 
 
-def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[str, str], right_span: tuple[str, str], empty: bool = False) -> DataFrame:
     """Pairs (struct `l`, struct `r`) of rows with the same `by` whose half-open spans [start, end) overlap.
 
-    Starts and ends are integers (micro-seconds of a time). Empty spans, and rows
-    with a null key, start or end match nothing.
+    Starts and ends are integers (micro-seconds of a time). Rows with a null key,
+    start or end match nothing, nor do empty spans, unless `empty`: then all pairs
+    with each start before the other's end match, so a span that ends at its start,
+    or before it, matches those that go on on both sides of it.
 
     A span of length up to 2**m has level m and lies in one or two bins of that
     width. Two spans meet at the larger of their levels, in the bin of the later
@@ -64,8 +66,11 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_span: t
 
     def placed(df: DataFrame, span: tuple[str, str], name: str) -> DataFrame:
         s, e = (F.col(c).cast("long") for c in span)
-        rows = df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, *span])).filter(s < e)
-        return rows.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(by)], s.alias("s"), e.alias("e"), F.length(F.bin(e - s - 1)).alias("own"), F.struct(*df.columns).alias(name))
+        rows = df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, *span]))
+        if not empty:
+            rows = rows.filter(s < e)
+        first, last = F.least(s, e), F.when(s < e, e - 1).otherwise(s)
+        return rows.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(by)], s.alias("s"), e.alias("e"), first.alias("f"), last.alias("t"), F.length(F.bin(last - first)).alias("own"), F.struct(*df.columns).alias(name))
 
     def levels(df: DataFrame) -> list[int]:
         return sorted(r[0] for r in df.select("own").distinct().collect())  # 64 at most
@@ -73,12 +78,12 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_span: t
     def binned(df: DataFrame, other: list[int], side: str) -> DataFrame:
         at = F.array_union(F.array("own"), F.filter(F.lit(other).cast("array<int>"), lambda m: m > F.col("own")))
         spread = df.select("*", F.explode(at).alias("level"))
-        bins = F.sequence(F.expr("shiftright(s, level)"), F.expr("shiftright(e - 1, level)"))
-        return spread.select("*", F.explode(bins).alias("bin")).withColumnsRenamed({"s": f"{side}s", "e": f"{side}e", "own": f"{side}own"})
+        bins = F.sequence(F.expr("shiftright(f, level)"), F.expr("shiftright(t, level)"))
+        return spread.select("*", F.explode(bins).alias("bin")).withColumnsRenamed({"s": f"{side}s", "e": f"{side}e", "f": f"{side}f", "own": f"{side}own"}).drop("t")
 
     a, b = placed(left, left_span, "l"), placed(right, right_span, "r")
     x, y = binned(a, levels(b), "a"), binned(b, levels(a), "b")
     pairs = x.join(y, [*[f"_k{n}" for n in range(len(by))], "level", "bin"])
     meet = (F.col("as") < F.col("be")) & (F.col("bs") < F.col("ae"))
-    once = (F.greatest("aown", "bown") == F.col("level")) & (F.expr("shiftright(greatest(`as`, bs), level)") == F.col("bin"))
+    once = (F.greatest("aown", "bown") == F.col("level")) & (F.expr("shiftright(greatest(af, bf), level)") == F.col("bin"))
     return pairs.filter(meet & once).select("l", "r")
