@@ -168,6 +168,17 @@ def test_range_frame(df, rows, width):
     same_rows(got, f"SELECT i, count(*) OVER w AS n, max(v) OVER w AS top FROM rows WINDOW w AS (PARTITION BY k ORDER BY t NULLS FIRST RANGE BETWEEN {width} PRECEDING AND CURRENT ROW)", rows=rows)
 
 
+def test_range_frame_is_linear(df, rows):
+    """Counts, sums, least and largest of a frame come from growing frames, which aren't gone through anew for every row; other aggregates are right too."""
+    aggs = {"n": F.count("*"), "c": F.count("v"), "s": F.sum("v"), "low": F.min("v"), "top": F.max("v")}
+    got = ranges.range_frame(df.select("i", "k", "t", "v"), ["k"], "t", 25, aggs).drop("k", "t", "v")
+    assert "RangeFrame, -25" not in plan(got)
+    w = "WINDOW w AS (PARTITION BY k ORDER BY t NULLS FIRST RANGE BETWEEN 25 PRECEDING AND CURRENT ROW)"
+    same_rows(got, f"SELECT i, count(*) OVER w AS n, count(v) OVER w AS c, sum(v) OVER w AS s, min(v) OVER w AS low, max(v) OVER w AS top FROM rows {w}", rows=rows)
+    mean = ranges.range_frame(df.select("i", "k", "t", "v"), ["k"], "t", 25, {"m": F.avg("v"), "d": F.sum(F.abs("v"))}).drop("k", "t", "v")
+    same_rows(mean, f"SELECT i, avg(v) OVER w AS m, sum(abs(v)) OVER w AS d FROM rows {w}", rows=rows)
+
+
 def test_sketches(spark):
     """Day by day or at once: the same estimates of distinct values, quantiles inside the stated error."""
     n = 60_000

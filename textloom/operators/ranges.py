@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -125,16 +126,45 @@ def distribution_ranks(df: DataFrame, by: list[str], value: str, rows: int = 250
     return df.alias("x").join(per.alias("y"), same("x", "y", [*by, value])).select("x.*", "rank", "dense_rank", "percent_rank", "cume_dist")
 
 
+def merged(kind: str, a: Column, b: Column) -> Column:
+    """An aggregate over two sets of rows from those over each."""
+    if kind in ("min", "max"):
+        return (F.least if kind == "min" else F.greatest)(a, b)
+    return F.coalesce(a + b, a, b)
+
+
+def kind_of(agg: Column) -> str | None:
+    """count, sum, min or max, if that is what a column is; else None."""
+    found = re.match(r"Column<'(count|sum|min|max)\(", str(agg))
+    return found[1] if found and str(agg).count("(") == 1 else None
+
+
 def range_frame(df: DataFrame, by: list[str], order: str, width: int, aggs: dict[str, Column]) -> DataFrame:
     """df with aggregates over the rows of the group whose `order` is in [own - width, own] (RANGE frame).
 
     `order` is an integer (micro-seconds of a time); rows without one, or without a
-    group key, get the aggregates over their peers. Rows lie in bins of `width` and
-    are seen from the next bin too, so a group is as many tasks as it has bins.
+    group key, get the aggregates over their peers. Rows lie in bins of `width`, so
+    a group is as many tasks as it has bins. A frame is the end of one bin and the
+    start of the next: each bin is aggregated once from either side, and the end is
+    looked up, so time is linear however many rows a frame holds. This goes for
+    count, sum, min and max of a column; with any other aggregate, rows are seen
+    from the next bin too and each frame is gone through.
     """
     at = F.col(order).cast("long")
     bin_ = F.floor(at / F.lit(width)) if width > 1 else at
-    bins = F.when(at.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(bin_, bin_ + 1))
-    spread = df.select("*", F.posexplode(bins).alias("_late", "_bin"))
-    frame = W.partitionBy(*by, "_bin").orderBy(F.col(order).cast("long")).rangeBetween(-width, 0)
-    return spread.select("*", *[c.over(frame).alias(k) for k, c in aggs.items()]).filter("_late = 0").drop("_late", "_bin")
+    kinds = {k: kind_of(c) for k, c in aggs.items()}
+    if width < 1 or None in kinds.values():
+        bins = F.when(at.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(bin_, bin_ + 1))
+        spread = df.select("*", F.posexplode(bins).alias("_late", "_bin"))
+        frame = W.partitionBy(*by, "_bin").orderBy(F.col(order).cast("long")).rangeBetween(-width, 0)
+        return spread.select("*", *[c.over(frame).alias(k) for k, c in aggs.items()]).filter("_late = 0").drop("_late", "_bin")
+    group = W.partitionBy(*by, "_bin")
+    start, end = (group.orderBy(o).rangeBetween(W.unboundedPreceding, 0) for o in (at, at.desc()))
+    both = df.withColumn("_bin", bin_).select("*", *[F.struct(*[c.over(w).alias(k) for k, c in aggs.items()]).alias(name) for name, w in (("_start", start), ("_end", end))])
+    # each row looks up, in the bin before, the first row that its frame holds
+    ask = F.struct(F.lit(True).alias("ask"), (at - width).alias("t"), (F.col("_bin") - 1).alias("bin"))
+    tell = F.struct(F.lit(False).alias("ask"), at.alias("t"), F.col("_bin").alias("bin"))
+    wide = both.select(*df.columns, "_start", "_end", F.explode(F.when(at.isNull(), F.array(ask)).otherwise(F.array(ask, tell))).alias("_p"))
+    slim = wide.select(*by, F.col("_p.bin").alias("_bin"), F.col("_p.t").alias("_t"), F.col("_p.ask").alias("_ask"), F.when(F.col("_p.ask"), F.struct(*df.columns)).alias("_row"), F.when(F.col("_p.ask"), F.col("_start")).alias("_start"), F.when(~F.col("_p.ask"), F.col("_end")).alias("_end"))
+    found = slim.withColumn("_end", F.last("_end", ignorenulls=True).over(group.orderBy(F.col("_t").desc(), "_ask").rowsBetween(W.unboundedPreceding, 0))).filter("_ask")
+    return found.select("_row.*", *[merged(kinds[k], F.col(f"_start.{k}"), F.col(f"_end.{k}")).alias(k) for k in aggs])
