@@ -516,3 +516,12 @@ def test_line_order_over_files(spark, tmp_path):
     rows = files.read_source(spark, str(tmp_path), format="jsonl").collect()
     first = [(r["source_id"], r["k"], r["v"]) for r in sorted(rows, key=lambda r: int(r["source_id"]))]
     assert first[:3] == [("0", "1", "old"), ("1", "2", "x"), ("2", "3", "x")] and first[-1] == ("499", "1", "new")
+
+
+def test_checks_are_computed_once(spark, sf_dir):
+    """A filter on the checks doesn't compute them anew: the patterns stand once in the plan."""
+    from textloom import catalog
+
+    for name in ("quality_rejected", "quality_clean"):
+        optimized = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert optimized.count(quality.FOREIGN) == 1 and optimized.count(quality.CATEGORY_LINE) == 2  # found, then cut
