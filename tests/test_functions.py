@@ -525,3 +525,16 @@ def test_checks_are_computed_once(spark, sf_dir):
     for name in ("quality_rejected", "quality_clean"):
         optimized = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert optimized.count(quality.FOREIGN) == 1 and optimized.count(quality.CATEGORY_LINE) == 2  # found, then cut
+
+
+def test_trim_and_stems_without_patterns(spark):
+    """Ends are trimmed of all white space without a pattern; stems are made of distinct words only."""
+    space = "".join(chr(c) for c in range(0x3100) if chr(c).isspace())
+    df = spark.createDataFrame([(1, f"{space}a{space}b{space}"), (2, space), (3, ""), (4, None), (5, "​x﻿"), (6, "a\r\n")], "id int, text string")
+    trimmed = df.select("id", tx.utrim(F.col("text")).alias("t"))
+    assert {r["id"]: r["t"] for r in trimmed.collect()} == {1: f"a{space}b", 2: "", 3: "", 4: None, 5: "​x﻿", 6: "a"}
+    assert "regexp" not in trimmed._jdf.queryExecution().optimizedPlan().toString()
+    t = features.feature_table(spark.createDataFrame([(1, "walk walked walks walk"), (2, "")], "id int, text string"), suffixes=["ed", "s"])
+    assert {r["id"]: (r["stem_ttr"], r["ttr"], r["bigram_diversity"], r["trigram_diversity"]) for r in t.collect()} == {1: (0.25, 0.75, 1.0, 1.0), 2: (0.0, 0.0, 0.0, 0.0)}
+    stemmed = t.select("stem_ttr")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" in stemmed and "transform(_w#" not in stemmed

@@ -39,8 +39,8 @@ def fertility(text: Column, tokenizer_json: str) -> Column:
 def ngram_diversity(w: Column, n: int) -> Column:
     """Words hold no white space, so n-grams joined by a space stay distinct (and hash, as arrays don't)."""
     size = F.size(w)
-    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(size >= n, F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(0.0)
+    grams = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.concat(*[p for k in range(n) for p in (F.lit(" "), F.get(w, i + k))][1:]))
+    return F.when(size >= n, F.size(F.array_distinct(grams)) / (size - (n - 1))).otherwise(0.0)
 
 
 def herdan_c(w: Column) -> Column:
@@ -74,12 +74,13 @@ def feature_table(df: DataFrame, text: str = "text", keys: list[str] | None = No
     rate = fertility if fertility is not None else F.lit(0.0)
     base = df.select(*keys, t.alias("_t"), mattr(t).alias("mattr"), rate.alias("fertility"))
     base = base.select("*", tx.words(F.col("_t")).alias("_w"), sentence_lengths(F.col("_t")).alias("_s"))
-    base = base.select("*", F.transform("_w", lambda x: tx.stem(x, stems)).alias("_st"), ttr(F.col("_w")).alias("ttr"))
+    base = base.select("*", F.array_distinct("_w").alias("_d"))
+    base = base.select("*", F.size(F.array_distinct(F.transform("_d", lambda x: tx.stem(x, stems)))).alias("_st"), share(F.size("_d"), F.size("_w")).alias("ttr"))
     w, n = F.col("_w"), F.size("_w")
     m = mean(F.col("_s"))
     spread = tx.let(m, lambda mu: F.sqrt(mean(F.transform("_s", lambda x: (x - mu) * (x - mu)))))
     return base.select(
-        *keys, "ttr", "mattr", ttr(F.col("_st")).alias("stem_ttr"), herdan_c(w).alias("herdan_c"), share(F.col("ttr"), F.col("mattr")).alias("ttr_inflation"),
+        *keys, "ttr", "mattr", share(F.col("_st"), n).alias("stem_ttr"), herdan_c(w).alias("herdan_c"), share(F.col("ttr"), F.col("mattr")).alias("ttr_inflation"),
         ngram_diversity(w, 2).alias("bigram_diversity"), ngram_diversity(w, 3).alias("trigram_diversity"), avg_word_length(w).alias("avg_word_length"), m.alias("avg_sentence_length"), spread.alias("sentence_length_sd"),
         (tx.punct_count(F.col("_t")) / F.greatest(n, F.lit(1))).alias("punct_density"), "fertility", n.alias("doc_len_words"), F.length("_t").alias("doc_len_chars"),
         share(F.size(F.filter(w, tx.is_latin)), n).alias("latin_token_ratio"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values (patterns, tables, lists) that results depend on.
 WS = r"\s\x1c-\x1f"
+WS_CHARS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SPLIT = rf"(?U)[{WS}]+"
 SINHALA = r"\x{0D80}-\x{0DFF}"
 PLACEHOLDER = "<LAT>"
@@ -42,7 +43,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def utrim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def words(c: Column) -> Column:
