@@ -538,3 +538,27 @@ def test_trim_and_stems_without_patterns(spark):
     assert {r["id"]: (r["stem_ttr"], r["ttr"], r["bigram_diversity"], r["trigram_diversity"]) for r in t.collect()} == {1: (0.25, 0.75, 1.0, 1.0), 2: (0.0, 0.0, 0.0, 0.0)}
     stemmed = t.select("stem_ttr")._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" in stemmed and "transform(_w#" not in stemmed
+
+
+def test_only_unstable_texts_are_composed(spark):
+    """A character that isn't UNSTABLE is no mark and no later half of a pair, and NFC leaves it as it is."""
+    safe = re.sub(r"\\x\{(\w+)\}", lambda m: rf"\U{int(m[1], 16):08x}", udf.UNSTABLE.split("&&[^")[1][:-1])
+    stable = re.compile(rf"[\U00000000-\U000002ff{safe}")
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    pairs_ = (unicodedata.decomposition(c).split() for c in points)
+    later = {chr(int(d[1], 16)) for d in pairs_ if len(d) == 2 and not d[0].startswith("<")} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    held = [c for c in points if stable.match(c)]
+    assert len(held) > 30_000 and not [c for c in held if unicodedata.normalize("NFC", c) != c or unicodedata.combining(c) or c in later]
+    texts = ["plain “text” – é", "e\u0301", "a\u0301 Å", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["t"] for r in df.select("id", udf.composed(F.col("text")).alias("t")).collect()}
+    assert got == {k: t and unicodedata.normalize("NFC", t) for k, t in enumerate(texts)}
+
+
+def test_tokenizers_get_few_texts_at_once():
+    """Slices keep the order and hold few characters, whatever the batch."""
+    import pandas as pd
+
+    texts = pd.Series(["ab", None, "c" * 9, "", "de", "fgh"])
+    got = list(udf.slices(texts, 5))
+    assert got == [["ab", ""], ["c" * 9], ["", "de", "fgh"]] and list(udf.slices(texts[:0])) == []

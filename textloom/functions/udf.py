@@ -6,10 +6,12 @@ import math
 import re
 import unicodedata
 from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import accumulate, groupby
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +33,23 @@ ENDED = re.compile(rf"[{_END}][{re.escape(CLOSERS)}]*\Z")
 QUOTES = (('"', '"'), ("“", "”"), ("‘", "’"))
 
 
+#: Characters that NFC may change or join with others; a text without one is in NFC (tested on all code points).
+UNSTABLE = r"[\x{300}-\x{10FFFF}&&[^\x{400}-\x{482}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]]"
+#: Characters that a tokenizer gets at once: its results take many times a text's room.
+ENCODE_CHARS = 250_000
+
+
 @F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def composed(c: Column) -> Column:
+    """NFC of a column; only texts that may change go to Python. The column is read thrice, so it should be a plain one."""
+    unstable = c.rlike(UNSTABLE)
+    return F.when(unstable, nfc(F.when(unstable, c))).otherwise(c)
+
+
 def quotations(text: str) -> list[tuple[list[int], list[int]]]:
     """Places of the opening and the closing marks, for each kind whose marks are balanced."""
     found = []
@@ -113,12 +127,28 @@ def subwords(tokenizer_json: str):
 
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
-        found = loaded(tokenizer_json).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-        return pd.Series([len(e) for e in found], dtype="int64")
+        tokenizer, found = loaded(tokenizer_json), []
+        for some in slices(texts):
+            found += [len(e) for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return pd.Series(found, dtype="int64")
 
     return count
 
 
+def slices(texts: pd.Series, most: int = ENCODE_CHARS) -> Iterator[list[str]]:
+    """The texts, null as empty, in lists of at most `most` characters; a longer text is one of its own."""
+    some, size = [], 0
+    for t in texts:
+        t = t or ""
+        if some and size + len(t) > most:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
+
+
 _tokenizers: dict[int, object] = {}
 
 

@@ -119,9 +119,9 @@ def _tidied(c: str) -> str:
 
 @query(f"SELECT doc_id, {_tidied('text')} AS text FROM documents")
 def normalize_punct(spark, sf_dir):
-    from textloom.functions.udf import nfc
+    from textloom.functions.udf import composed
 
-    return docs(spark, sf_dir).select("doc_id", tx.tidy(nfc(F.col("text"))).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", tx.tidy(composed(F.col("text"))).alias("text"))
 
 
 _LATIN = r"regexp_replace(m, '[^\s]*[A-Za-z][^\s]*', '<LAT>', 'g')"
