@@ -562,3 +562,12 @@ def test_tokenizers_get_few_texts_at_once():
     texts = pd.Series(["ab", None, "c" * 9, "", "de", "fgh"])
     got = list(udf.slices(texts, 5))
     assert got == [["ab", ""], ["c" * 9], ["", "de", "fgh"]] and list(udf.slices(texts[:0])) == []
+
+
+def test_terms_are_counted_where_their_row_is(spark):
+    """Counting a row's terms shuffles its text, not its terms; rows that share an id count as one."""
+    df = spark.createDataFrame([(1, "a b b"), (1, "b c"), (2, "a c"), (3, None)], "id long, text string")
+    got = ml.tfidf(df, "id", "text", ngrams=(1,), min_df=2)
+    rows = {(r["id"], r["term"]): r["weight"] for r in got.collect()}
+    assert set(rows) == {(1, "a"), (1, "c"), (2, "a"), (2, "c")} and all(abs(w - 0.5**0.5) < 1e-12 for w in rows.values())
+    assert not re.search(r"Exchange hashpartitioning\(id#\d+L, term#\d+", got._jdf.queryExecution().executedPlan().toString())

@@ -39,8 +39,11 @@ def term_counts(df: DataFrame, id_col: str, text: str, ngrams: tuple[int, ...] =
 
 
 def vocabulary(train: DataFrame, id_col: str, text: str, ngrams: tuple[int, ...] = (1, 2), min_df: int = 2, chars: bool = False, max_features: int | None = None) -> DataFrame:
-    """(term, idf) of the terms in at least min_df rows, the max_features most frequent of them (of equal ones the first by name)."""
-    known = term_counts(train, id_col, text, ngrams, chars).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).filter(F.col("df") >= min_df)
+    """(term, idf) of the terms in at least min_df rows, the max_features most frequent of them (of equal ones the first by name).
+
+    Texts go to their row's partition before they are cut up, so that only counts by term are shuffled after that.
+    """
+    known = term_counts(train.select(id_col, text).repartition(id_col), id_col, text, ngrams, chars).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).filter(F.col("df") >= min_df)
     if max_features:
         known = known.orderBy(F.desc("all"), "term").limit(max_features)
     return known.select("term", (F.ln((1 + F.lit(train.count())) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -49,7 +52,7 @@ def vocabulary(train: DataFrame, id_col: str, text: str, ngrams: tuple[int, ...]
 def weigh(df: DataFrame, id_col: str, text: str, known: DataFrame, ngrams: tuple[int, ...] = (1, 2), chars: bool = False) -> DataFrame:
     """(id, term, weight, and what else `known` has): sublinear tf times idf, L2-normalised per row; rows without a known term have none."""
     more = [c for c in known.columns if c not in ("term", "idf")]
-    rows = term_counts(df, id_col, text, ngrams, chars).join(known, "term").select(id_col, "term", *more, ((1 + F.ln("tf")) * F.col("idf")).alias("v"))
+    rows = term_counts(df.select(id_col, text).repartition(id_col), id_col, text, ngrams, chars).join(known, "term").select(id_col, "term", *more, ((1 + F.ln("tf")) * F.col("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy(id_col)))
     return rows.select(id_col, "term", *more, (F.col("v") / norm).alias("weight"))
 
