@@ -259,6 +259,31 @@ def test_tfidf_experiment(spark):
         ml.tfidf_experiment(df.filter("label = 1"), "id")
 
 
+def test_penalised_fits_go_down_together(spark):
+    """Frequent and rare features: all strengths reach Newton's loss, in few jobs for all of them."""
+    rng = np.random.default_rng(5)
+    x = np.hstack([rng.random((300, 30)) * (rng.random((300, 30)) < 0.5 ** np.arange(30)), np.ones((300, 1))])
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=300) / 4 > 0).astype(int)
+    rows = [(int(k), np.flatnonzero(v).astype(np.int32), v[v != 0]) for k, v in zip(y, x, strict=True)]
+    blocks = spark.sparkContext.parallelize(range(300), 3).mapPartitions(lambda part: ml.in_blocks(rows[k] for k in part)).persist()
+    grid = (0.1, 1.0, 10.0, 100.0)
+    spark.sparkContext.setJobGroup("fits", "fits")
+    got = ml.penalised(blocks, x.shape[1], 300, grid)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("fits")) < 120
+    spark.sparkContext.setJobGroup("", "")
+    for c, w in zip(grid, got, strict=True):
+        loss = lambda v, c=c: c * np.logaddexp(0, -(2 * y - 1) * (x @ v)).sum() + v @ v / 2
+        assert loss(w) <= loss(newton(x, y, c, np.ones(x.shape[1]))) * (1 + 1e-4)
+
+
+@pytest.mark.parametrize(("ngrams", "chars"), [((1, 2), False), ((2, 5), True)])
+def test_terms_of_texts(spark, ngrams, chars):
+    texts = ["a bb  a\u00a0ccc a\x1cbb", " ", "", "x", "\U0001f600 d\u00e9j\u00e0 d\u00e9j\u00e0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {(r["id"], r["term"]): r["tf"] for r in ml.term_counts(df, "id", "t", ngrams, chars).collect()}
+    assert got == {(k, term): n for k, t in enumerate(texts) for term, n in ml.terms_of(t, ngrams, chars).items()}
+
+
 def test_logistic(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(50, 2)) * [3, 1] + [5, 0]
