@@ -596,3 +596,13 @@ def test_terms_are_counted_where_their_row_is(spark):
     rows = {(r["id"], r["term"]): r["weight"] for r in got.collect()}
     assert set(rows) == {(1, "a"), (1, "c"), (2, "a"), (2, "c")} and all(abs(w - 0.5**0.5) < 1e-12 for w in rows.values())
     assert not re.search(r"Exchange hashpartitioning\(id#\d+L, term#\d+", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_sentences_leave_tasks_in_parts(spark, monkeypatch):
+    """Rows are those of the rules, whatever the size of the parts; null and empty texts give none."""
+    texts = [None, "", "One sentence stands here. Another one follows it.", "No end at all", *[f"Sentence number {k} is here. " * 3 for k in range(40)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    for most in (1, 100, udf.SEGMENT_CHARS):
+        monkeypatch.setattr(udf, "SEGMENT_CHARS", most)
+        got = sorted(map(tuple, udf.segmented(df, "id").collect()))
+        assert got == [(k, i, s) for k, t in enumerate(texts) for i, s in enumerate(udf.split_sentences(t))]

@@ -11,9 +11,11 @@ from itertools import accumulate, groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Fixed values.
 ENDS = ".?!෴…"
@@ -37,6 +39,8 @@ QUOTES = (('"', '"'), ("“", "”"), ("‘", "’"))
 UNSTABLE = r"[\x{300}-\x{10FFFF}&&[^\x{400}-\x{482}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]]"
 #: Characters that a tokenizer gets at once: its results take many times a text's room.
 ENCODE_CHARS = 250_000
+#: Characters of sentences that leave a task at once.
+SEGMENT_CHARS = 500_000
 
 
 @F.pandas_udf(T.StringType())
@@ -101,9 +105,27 @@ def split_sentences(text: str | None) -> list[str]:
     return [" ".join(s.split()) for s in found]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def segment(texts: pd.Series) -> pd.Series:
-    return texts.map(split_sentences)
+def segmented(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, pos, sentence): the rule-based sentences of each row, one row each. A task holds the sentences of about SEGMENT_CHARS characters at once."""
+    keyed = df.select(F.col(key).alias(key), F.col(text).alias("text"))
+    out = T.StructType([keyed.schema[key], T.StructField("pos", T.IntegerType()), T.StructField("sentence", T.StringType())])
+
+    def split(batches):
+        schema, rows, size = to_arrow_schema(out), ([], [], []), 0
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                found = split_sentences(t.as_py())
+                rows[0].extend([k.as_py()] * len(found))
+                rows[1].extend(range(len(found)))
+                rows[2].extend(found)
+                size += sum(map(len, found))
+                if size >= SEGMENT_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+                    rows, size = ([], [], []), 0
+        if rows[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+
+    return keyed.mapInArrow(split, out)
 
 
 @F.pandas_udf(T.IntegerType())

@@ -194,9 +194,9 @@ def doc_fertility(spark, sf_dir):
 @query()
 def segmented_sentences(spark, sf_dir):
     """Rule-based sentences, one row each (no SQL: a stateful scan; tested against its rules)."""
-    from textloom.functions.udf import segment
+    from textloom.functions.udf import segmented
 
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(segment("text")).alias("pos", "sentence"))
+    return segmented(docs(spark, sf_dir), "doc_id")
 
 
 @query(f"SELECT doc_id, CAST(i // 32 AS INTEGER) AS win, i AS start, array_to_string(w[i + 1:i + 64], ' ') AS tokens FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), 32)) AS i FROM {SQL_DOCS}) WHERE i = 0 OR i < len(w) - 32")
