@@ -606,3 +606,14 @@ def test_sentences_leave_tasks_in_parts(spark, monkeypatch):
         monkeypatch.setattr(udf, "SEGMENT_CHARS", most)
         got = sorted(map(tuple, udf.segmented(df, "id").collect()))
         assert got == [(k, i, s) for k, t in enumerate(texts) for i, s in enumerate(udf.split_sentences(t))]
+
+
+def test_markup_round_every_character(spark):
+    """Patterns that look first at one character, or for a file's ending, find what they did without that; names of files go."""
+    kept = spark.range(0x3100).filter("id < 55296").select(F.udf(chr)("id").alias("k"))
+    c = F.concat(*[F.col("k") if x is None else F.lit(x) for x in ("x.pn", None, " a.jpg", None, " q.PNG l", None, "ink= 2 ", None, "right le", None, "t b.webp")])
+    plain = c
+    for p in tx.MARKUP:
+        plain = F.regexp_replace(plain, p.replace("(?=l)", "").replace("(?=[trlfu])", ""), " ")
+    assert kept.filter(~tx.strip_markup(c).eqNullSafe(plain)).count() == 0
+    assert spark.range(1).select(tx.strip_markup(F.lit("see a.jpg now"))).first()[0] == "see   now"

@@ -17,21 +17,23 @@ WS_CHARS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680,
 SPLIT = rf"(?U)[{WS}]+"
 SINHALA = r"\x{0D80}-\x{0DFF}"
 PLACEHOLDER = "<LAT>"
-EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2190}-\x{21FF}\x{2B00}-\x{2BFF}]+"
+#: First the range that holds all of them, so that other characters are passed over at one look.
+EMOJI = r"[\x{2190}-\x{1FAFF}&&[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2190}-\x{21FF}\x{2B00}-\x{2BFF}]]+"
 #: Word edges as letters, digits and underscore make them; vowel signs are no word characters.
 EDGE_L, EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+FILE_END = r"(?iU:\.(?:jpg|jpeg|png|gif|svg|ogg|webp))"
 MARKUP = [
     r"\[\[[^\]]*\]\]",
     r"\{\{[^}]*\}\}",
     rf"(?iU){EDGE_L}(?:File|Image)[{WS}]*:[{WS}]*[^{WS}]+",
-    rf"(?iU)(?<![^{WS}])[^{WS}]+\.(?:jpg|jpeg|png|gif|svg|ogg|webp){EDGE_R}",
-    rf"(?iU){EDGE_L}link[{WS}]*=[{WS}]*[^{WS}]*",
-    rf"(?iU){EDGE_L}(?:thumb|thumbnail|right|left|frameless|frame|upright){EDGE_R}",
+    rf"(?iU)(?<![^{WS}])[^{WS}]+{FILE_END}{EDGE_R}",
+    rf"(?iU)(?=l){EDGE_L}link[{WS}]*=[{WS}]*[^{WS}]*",
+    rf"(?iU)(?=[trlfu]){EDGE_L}(?:thumb|thumbnail|right|left|frameless|frame|upright){EDGE_R}",
 ]
 QUOTES_FROM, QUOTES_TO = "“”„‟‘’‚‛«»‹›`", "\"\"\"\"''''\"\"'''"
 DASHES_FROM, DASHES_TO = "‐‑‒–—―−", "-------"
 REPEATED = r"([!?.,;:\-_*#~])\1+"
-SPACE_RUN = "[ \t ​‌‍]{2,}"
+SPACE_RUN = "[[^!-~]&&[ \t ​‌‍]]{2,}"
 MARKS = ".,!?;:-_()[]{}\"'/\\|@#$%^&*+=<>~`"
 SENTENCE_END = r"[.!?\n]+"
 SINHALA_SUFFIXES = ["වලින්", "වලට", "වලදී", "වෙන්", "ගෙන්", "ලාගේ", "න්ගේ", "යින්", "ට්ම", "ෙන්", "ෙහි", "ගේ", "ට", "ෙක්", "යි", "ෙකි", "වේ", "යට", "ක්", "ම", "ය", "න්", "ව", "ි"]
@@ -82,8 +84,9 @@ def count_emoji(c: Column) -> Column:
 
 
 def strip_markup(c: Column) -> Column:
-    for pattern in MARKUP:
-        c = F.regexp_replace(c, pattern, " ")
+    for k, pattern in enumerate(MARKUP):
+        # files' names are sought from every word's start, so first whether there is an ending at all
+        c = let(c, lambda t: F.when(t.rlike(FILE_END), F.regexp_replace(t, MARKUP[3], " ")).otherwise(t)) if k == 3 else F.regexp_replace(c, pattern, " ")
     return c
 
 

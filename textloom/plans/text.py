@@ -129,7 +129,11 @@ _LATIN = r"regexp_replace(m, '[^\s]*[A-Za-z][^\s]*', '<LAT>', 'g')"
 
 @query(rf"""SELECT doc_id, {_tidied(_LATIN)} AS text FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\[\[[^\]]*\]\]', ' ', 'g'), '\{{\{{[^}}]*\}}\}}', ' ', 'g'), '(?i)[^\s]+\.(?:jpg|jpeg|png|gif|svg|ogg|webp)\b', ' ', 'g') AS m FROM documents)""")
 def normalize_full(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", tx.normalise(F.col("text")).alias("text"))
+    from textloom.functions.udf import composed
+
+    # two projections, so that only texts that NFC may change go to Python
+    stripped = docs(spark, sf_dir).select("doc_id", tx.normalise(F.col("text"), punctuation=False).alias("text"))
+    return stripped.select("doc_id", tx.tidy(composed(F.col("text"))).alias("text"))
 
 
 @query(
