@@ -14,6 +14,7 @@ import urllib.request
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,6 +277,51 @@ def test_penalised_fits_go_down_together(spark):
         assert loss(w) <= loss(newton(x, y, c, np.ones(x.shape[1]))) * (1 + 1e-4)
 
 
+def test_strong_constant_takes_few_steps():
+    """A constant beside short rows of terms, as TF-IDF has it: Newton's loss in few steps (65 when the constant went like a term)."""
+    rng = np.random.default_rng(6)
+    n, d, c = 400, 500, 100.0
+    x = rng.random((n, d)) * (rng.random((n, d)) < 1 / (1 + np.arange(d) / 10))
+    x = np.hstack([x / np.linalg.norm(x, axis=1)[:, None], np.ones((n, 1))])
+    y = (x[:, :20] @ rng.normal(size=20) > -0.35).astype(int)
+    run, steps = ml.descend(d + 1, 1 / (c * n)), 0
+    w = next(run)
+    try:
+        while True:
+            steps, m = steps + 1, x @ w
+            w = run.send(((np.logaddexp(0, m) - y * m).mean() + w @ w / (2 * c * n), x.T @ (1 / (1 + np.exp(-m)) - y) / n + w / (c * n)))
+    except StopIteration as done:
+        got = done.value
+    loss = lambda v: c * np.logaddexp(0, -(2 * y - 1) * (x @ v)).sum() + v @ v / 2
+    assert steps < 45 and loss(got) <= loss(newton(x, y, c, np.ones(d + 1))) * (1 + 1e-4)
+
+
+TERM_TEXTS = ["a bb  a\u00a0ccc a\x1cbb", " ", "", None, "x", "\U0001f600 d\u00e9j\u00e0 d\u00e9j\u00e0", "it\u2019s its \u0fff\u1000 \u0fff\u0fff \u4e2d\u6587", "a\x00b a\x01b abcdefghij", "\u2019"]
+
+
+@pytest.mark.parametrize(("ngrams", "chars"), [((1, 2), False), ((2, 5), True), ((1, 3), True), ((3, 12), True)])
+def test_keys_of_terms(spark, monkeypatch, ngrams, chars):
+    """Terms counted by keys, and places in vectors, equal the terms as strings, with characters that don't fit into a key too; whatever a task counts at once."""
+    of = [ml.terms_of(t, ngrams, chars) for t in TERM_TEXTS]
+    known = sorted({t for c in of for t in c})[::2]
+    rows = pa.RecordBatch.from_pydict({"text": TERM_TEXTS, "id": list(range(len(TERM_TEXTS)))})
+    idf = np.arange(1.0, len(known) + 1)
+    for row, at, weight in ml.vectors([rows], (ml.places_of(known, ngrams, chars), idf), ngrams, chars):
+        want = {k: (1 + math.log(of[row["id"]][t])) * idf[k] for k, t in enumerate(known) if t in of[row["id"]]}
+        norm = math.sqrt(sum(v * v for v in want.values())) or 1.0
+        got = dict(zip(at.tolist(), weight.tolist(), strict=True))
+        assert len(got) == len(at) and got == pytest.approx({k: v / norm for k, v in want.items()} | {len(known): 1.0})
+    df = spark.createDataFrame([(t,) for t in TERM_TEXTS], "text string").coalesce(1)
+    rows_with = Counter(t for c in of for t in c)
+    want = {t: math.log((1 + len(TERM_TEXTS)) / (1 + k)) + 1 for t, k in rows_with.items() if k >= 2}
+    total = sum(of, Counter())
+    order = sorted(want, key=lambda t: (-total[t], t.encode()))
+    for name, value in (("COUNTED", 250_000), ("COUNTED", 4), ("AT_ONCE", 10)):
+        monkeypatch.setattr(ml, name, value)
+        got = ml.frequent_terms(df, len(TERM_TEXTS), ngrams, 2, chars, 1000).collect()
+        assert [r["term"] for r in got] == order and [r["idf"] for r in got] == pytest.approx([want[t] for t in order])
+
+
 @pytest.mark.parametrize(("ngrams", "chars"), [((1, 2), False), ((2, 5), True)])
 def test_terms_of_texts(spark, ngrams, chars):
     texts = ["a bb  a\u00a0ccc a\x1cbb", " ", "", "x", "\U0001f600 d\u00e9j\u00e0 d\u00e9j\u00e0"]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,8 +78,8 @@ TERM_KINDS = {"word_1_2": ((1, 2), 2, False), "char_2_5": ((2, 5), 3, True)}
 MAX_FEATURES = 300_000
 
 
-#: Distinct terms that a task counts before it hands them on, and entries of vectors that lie in one block.
-COUNTED, BLOCK = 250_000, 500_000
+#: Distinct terms that a task counts before it hands them on, entries of vectors that lie in one block, and entries that a task counts at once.
+COUNTED, BLOCK, AT_ONCE = 250_000, 500_000, 2_000_000
 
 
 def terms_of(text: str | None, ngrams: tuple[int, ...], chars: bool) -> Counter:
@@ -87,14 +90,87 @@ def terms_of(text: str | None, ngrams: tuple[int, ...], chars: bool) -> Counter:
             found.update(w if n == 1 else map(" ".join, zip(*(w[k:] for k in range(n)), strict=False)))
         return found
     for word, k in Counter(w).items():
-        padded = f" {word} "
-        for n in range(min(ngrams), max(ngrams) + 1):
-            for i in range(len(padded) - n + 1):
-                gram = padded[i : i + n]
-                found[gram] = found.get(gram, 0) + k
+        for gram in grams_of(word, ngrams):
+            found[gram] = found.get(gram, 0) + k
     return found
 
 
+def grams_of(word: str, ngrams: tuple[int, ...]) -> list[str]:
+    """The character n-grams of one word, those of char_ngrams."""
+    padded = f" {word} "
+    return [padded[i : i + n] for n in range(min(ngrams), max(ngrams) + 1) for i in range(len(padded) - n + 1)]
+
+
+def packing(ngrams: tuple[int, ...]) -> tuple[int, re.Pattern]:
+    """Bits for one character, so that the longest n-gram has room in 63, and what finds a character that doesn't fit (any, if the space doesn't)."""
+    bits = min(63 // max(ngrams), 20)
+    return bits, re.compile(f"[^\x01-{chr((1 << bits) - 1)}]" if bits > 5 else "")
+
+
+def key_of(gram: str, bits: int) -> int:
+    """The codes of the characters side by side."""
+    key = 0
+    for c in gram:
+        key = key << bits | ord(c)
+    return key
+
+
+def gram_of(key: int, bits: int) -> str:
+    """The n-gram of key_of()."""
+    found = ""
+    while key:
+        found, key = chr(key & (1 << bits) - 1) + found, key >> bits
+    return found
+
+
+def keyed(odd, ngrams: tuple[int, ...], chars: bool):
+    """A function that gives the distinct keys of a text's terms, and how often each is there, as terms_of() counts.
+
+    Character n-grams have key_of() as their key where all characters fit. All other terms have what `odd` gives, a key below 0, or None to leave one out.
+    """
+    bits, wide = packing(ngrams)
+    low, high = min(ngrams), max(ngrams)
+
+    def of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        if not chars:
+            found = [(k, n) for t, n in terms_of(text, ngrams, chars).items() if (k := odd(t)) is not None]
+            return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+        words, others = (text or "").split(), []
+        if wide.search(" ".join(words)):
+            for word in words:
+                if wide.search(word):
+                    others += [odd(g) if wide.search(g) else key_of(g, bits) for g in grams_of(word, ngrams)]
+            words = [word for word in words if not wide.search(word)]
+        codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le") if words else b"", "<u4").astype(np.int64)
+        parts = [np.array([k for k in others if k is not None], np.int64)]
+        if low == 1:
+            parts += [codes[codes != 32], np.full(2 * len(words), 32)]
+        key, inside, letter = codes, np.ones(len(codes), bool), codes != 32
+        for n in range(2, high + 1):  # windows of n characters without a space between their ends
+            key = (key[:-1] << bits) + codes[n - 1 :]
+            inside = inside[:-1] if n == 2 else inside[:-1] & letter[n - 2 : -1]
+            if n >= low:
+                parts.append(key[inside])
+        keys = np.sort(np.concatenate(parts))
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        return keys[first], np.diff(np.append(first, len(keys)))
+
+    return of
+
+
+def places_of(terms: list[str], ngrams: tuple[int, ...], chars: bool) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """For keyed(): sorted keys with the places of their terms (and a last one that no term has), and the keys of the other terms, -1 - place."""
+    bits, wide = packing(ngrams)
+    odd, keys = {}, []
+    for k, t in enumerate(terms):
+        if chars and not wide.search(t):
+            keys.append((key_of(t, bits), k))
+        else:
+            odd[t] = -1 - k
+    keys, at = np.array([*sorted(keys), (2**63 - 1, -1)], np.int64).T
+    return keys.copy(), at.copy(), odd
+
+
 def frequent_terms(train: DataFrame, n: int, ngrams: tuple[int, ...], min_df: int, chars: bool, max_features: int) -> DataFrame:
     """(term, idf) of the terms in at least min_df of the n rows of `text`, as vocabulary() has them, but every row is a text of its own.
 
@@ -102,37 +178,55 @@ def frequent_terms(train: DataFrame, n: int, ngrams: tuple[int, ...], min_df: in
     """
 
     def counted(batches):
-        found: dict[str, int] = {}
+        texts = (text.as_py() for batch in batches for text in batch.column(0))
+        names: dict[str, int] = {}
+        of = keyed(lambda term: names.setdefault(term, -1 - len(names)), ngrams, chars)
+        bits, some, size = packing(ngrams)[0], [], 0
 
         def taken():
-            rows = pa.RecordBatch.from_pydict({"term": list(found), "df": [v >> 40 for v in found.values()], "all": [v & (1 << 40) - 1 for v in found.values()]})
-            found.clear()
-            return rows
-
-        for batch in batches:
-            for text in batch.column(0):
-                for term, k in terms_of(text.as_py(), ngrams, chars).items():
-                    found[term] = found.get(term, 0) + (1 << 40) + k
-                if len(found) >= COUNTED:
-                    yield taken()
-        if found:
-            yield taken()
+            """Sums by key of what was counted."""
+            keys, dfs, alls = map(np.concatenate, zip(*some, strict=True))
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+            return (keys[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (dfs, alls)))
+
+        def as_batch(keys, dfs, alls):
+            odd = list(names)
+            terms = [odd[-1 - k] if k < 0 else gram_of(k, bits) for k in keys.tolist()]
+            return pa.RecordBatch.from_pydict({"term": terms, "df": dfs, "all": alls})
+
+        for text in texts:
+            keys, tf = of(text)
+            some.append((keys, np.ones(len(keys), np.int64), tf))
+            size += len(keys) + 1
+            if size >= AT_ONCE or len(names) >= COUNTED:
+                some = [taken()]
+                size = len(some[0][0])
+                if size >= COUNTED:
+                    yield as_batch(*some[0])
+                    names.clear()
+                    some, size = [], 0
+        if some:
+            yield as_batch(*taken())
 
     known = train.select("text").mapInArrow(counted, "term string, df long, all long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("all").alias("all"))
     known = known.filter(F.col("df") >= min_df).orderBy(F.desc("all"), "term").limit(max_features)
     return known.select("term", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def vectors(batches, known: tuple[dict[str, int], np.ndarray], ngrams: tuple[int, ...], chars: bool):
+def vectors(batches, known: tuple[tuple[np.ndarray, np.ndarray, dict[str, int]], np.ndarray], ngrams: tuple[int, ...], chars: bool):
     """(row, places, weights) for rows with a `text`: sublinear tf times idf, L2-normalised, then the constant 1 at the last place."""
-    place, idf = known
+    (keys, places, odd), idf = known
+    of = keyed(odd.get, ngrams, chars)
     for batch in batches:
-        rest = batch.drop_columns(["text"])
-        for k, text in enumerate(batch.column("text")):
-            found = [(place[t], n) for t, n in terms_of(text.as_py(), ngrams, chars).items() if t in place]
-            at, tf = np.array(found, np.int64).reshape(-1, 2).T
+        for row, text in zip(batch.drop_columns(["text"]).to_pylist(), batch.column("text"), strict=True):
+            found, tf = of(text.as_py())
+            near = np.searchsorted(keys, found)
+            at = np.where(found < 0, -1 - found, np.where(keys[near] == found, places[near], -1))
+            at, tf = at[at >= 0], tf[at >= 0]
             v = (1 + np.log(tf)) * idf[at]
-            yield rest.slice(k, 1).to_pylist()[0], np.append(at, len(place)).astype(np.int32), np.append(v / (np.sqrt(v @ v) or 1.0), 1.0)
+            yield row, np.append(at, len(idf)).astype(np.int32), np.append(v / (np.sqrt(v @ v) or 1.0), 1.0)
 
 
 def record_batches(rows, schema: T.StructType, most: int = 200):
@@ -164,7 +258,7 @@ def losses(blocks, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum of the logistic losses over all rows and its gradient, at each of the points."""
     loss, slope = np.zeros(len(points)), np.zeros(points.shape)
     for y, sizes, at, weight in blocks:
-        starts = np.cumsum(sizes) - sizes
+        starts, at, weight = np.cumsum(sizes) - sizes, at.astype(np.intp), weight.astype(float)  # else numpy turns them into that each time
         for k, w in enumerate(points):
             m = np.add.reduceat(w[at] * weight, starts)
             loss[k] += (np.logaddexp(0, m) - y * m).sum()
@@ -172,12 +266,14 @@ def losses(blocks, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return loss, slope
 
 
-def descend(size: int, penalty: float, within: float = 1e-4, steps: int = 300, kept: int = 10):
+def descend(size: int, penalty: float, within: float = 1e-4, steps: int = 300, kept: int = 20, constant: float = 0.05):
     """L-BFGS from 0: yields points, is sent the loss (with the penalty of that strength) and its gradient there, and returns the point.
 
-    The loss exceeds its least by |gradient|^2 / (2 penalty) at most; it stops where that is at most `within` times the loss.
+    The last feature, the constant, is in every row and outweighs each term, so steps along it are shorter by the factor `constant`; that
+    changes the way, not the end. The loss exceeds its least by |gradient|^2 / (2 penalty) at most; it stops where that is at most `within` times the loss.
     """
-    x, past = np.zeros(size), []
+    x, past, scale = np.zeros(size), [], np.ones(size)
+    scale[-1] = constant
     f, g = yield x
     for _ in range(steps):
         if g @ g <= 2 * penalty * within * f:
@@ -189,7 +285,8 @@ def descend(size: int, penalty: float, within: float = 1e-4, steps: int = 300, k
             used.append(a)
         if past:
             s, y, r = past[-1]
-            d = d / (r * (y @ y))
+            d = d / (r * (y @ (scale * y)))
+        d = scale * d
         for (s, y, r), a in zip(past, reversed(used), strict=True):
             d = d + (a - r * (y @ d)) * s
         slope, t = g @ d, 1.0
@@ -234,30 +331,49 @@ def tfidf_experiment(df: DataFrame, key: str, text: str = "text", label: str = "
     without a known term has only the constant, one without a label takes no part. Train must hold both classes.
     To the driver go at most MAX_FEATURES terms and gradients.
     """
-    from textloom.operators import stats
+    return tfidf_experiments(df, key, text, label, split, domain, (kind,), grid)[0]
 
-    ngrams, min_df, chars = TERM_KINDS[kind]
+
+def tfidf_experiments(df: DataFrame, key: str, text: str = "text", label: str = "label", split: str = "split", domain: str = "domain", kinds: tuple[str, ...] = tuple(TERM_KINDS), grid: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)) -> list[tuple[dict, list[dict]]]:
+    """tfidf_experiment() of several kinds of terms, over rows that are kept once; the kinds run side by side."""
     context = df.sparkSession.sparkContext
     rows = df.filter(F.col(label).isNotNull()).select(key, F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.col(split).alias("split"), F.col(domain).alias("domain"))
     n, classes, whole = rows.agg(F.count_if(F.col("split") == "train"), F.count_distinct(F.when(F.col("split") == "train", F.col("label"))), F.count("*")).first()
     if classes != 2:
         raise ValueError("training needs both classes")
-    rows = rows.repartition(max(2 * context.defaultParallelism, whole // 2000 + 1), key).drop(key)
+    rows = rows.repartition(max(2 * context.defaultParallelism, whole // 2000 + 1), key).drop(key).persist()
+    try:
+        rows.count()  # else each kind would begin to make them
+        with ThreadPoolExecutor(len(kinds)) as pool:
+            # each its own copy of the caller's properties, as a running query writes its number into them
+            running = [pool.submit(inheritable_thread_target(partial(fit_and_score, rows, n, kind, grid))) for kind in kinds]
+            return [r.result() for r in running]
+    finally:
+        rows.unpersist()
+
+
+def fit_and_score(rows: DataFrame, n: int, kind: str, grid: tuple[float, ...]) -> tuple[dict, list[dict]]:
+    """The result of tfidf_experiment() for rows (text, label, split, domain), n of them in train; they are read several times."""
+    from textloom.operators import stats
+
+    ngrams, min_df, chars = TERM_KINDS[kind]
+    context = rows.sparkSession.sparkContext
     train, rest = rows.filter("split = 'train'"), rows.filter("split IN ('dev', 'test')")
     terms = frequent_terms(train, n, ngrams, min_df, chars, MAX_FEATURES).toArrow()
     size = len(terms)
-    known = context.broadcast(({t: k for k, t in enumerate(terms["term"].to_pylist())}, terms["idf"].to_numpy()))
+    known = context.broadcast((places_of(terms["term"].to_pylist(), ngrams, chars), terms["idf"].to_numpy()))
 
     flat = T.StructType.fromDDL("label int, at binary, weight binary")
     out = T.StructType([*rest.select("label", "split", "domain").schema, T.StructField("run", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("pred", T.IntegerType())])
 
     def packed(batches):
-        rows = ({"label": row["label"], "at": at.tobytes(), "weight": weight.tobytes()} for row, at, weight in vectors(batches, known.value, ngrams, chars))
+        rows = ({"label": row["label"], "at": at.tobytes(), "weight": weight.astype(np.float32).tobytes()} for row, at, weight in vectors(batches, known.value, ngrams, chars))
         return record_batches(rows, flat)
 
     def read(part):
-        return in_blocks((r["label"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["weight"])) for r in part)
+        return in_blocks((r["label"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["weight"], np.float32)) for r in part)
 
+    # every job reads them all, and that is most of its time: so weights are kept in 32 bits (7 digits) and summed in 64
     blocks = train.select("text", "label").mapInArrow(packed, flat).rdd.mapPartitions(read).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # what is kept goes through as many tasks as there are cores, each of which hands on one gradient
